@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media
+from . import bpe, media, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_simhash": simhash.op6,
+        "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
         "op9_media": media.op9,
     }
