@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, pii, simhash
+from . import bpe, fingerprints, media, mixing, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprints.op1,
         "op6_simhash": simhash.op6,
         "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
         "op9_media": media.op9,
+        "op10_mixing": mixing.op10,
     }
 
 
