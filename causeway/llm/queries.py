@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, media, mixing, pii, simhash
+from . import bpe, fingerprints, licenses, media, mixing, pii, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.op1,
+        "op2_licenses": licenses.op2,
+        "op4_url_filter": url_filter.op4,
         "op6_simhash": simhash.op6,
         "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
