@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, media, mixing, pii, simhash, url_filter
+from . import bpe, fingerprints, licenses, media, mixing, pii, quality, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": fingerprints.op1,
         "op2_licenses": licenses.op2,
         "op4_url_filter": url_filter.op4,
+        "op5_quality": quality.op5,
         "op6_simhash": simhash.op6,
         "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
