@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, media, mixing, pii, quality, simhash, url_filter
+from . import bpe, fingerprints, licenses, lm_scoring, media, mixing, pii, quality, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.op1,
         "op2_licenses": licenses.op2,
+        "op3_lm_scoring": lm_scoring.op3,
         "op4_url_filter": url_filter.op4,
         "op5_quality": quality.op5,
         "op6_simhash": simhash.op6,
