@@ -686,9 +686,9 @@ def _(spark, d):
     return X.relations(spark, d).select("id", S.first_of(F.col("cause_canonical"), F.col("cause_text"), F.col("cause_norm")).alias("text"))
 
 
-@add("x21_date", "SELECT id, strftime(make_timestamp(created_utc*1000000), '%d/%m/%Y') AS "day" FROM posts")
+@add("x21_date", "SELECT id, strftime(make_timestamp(created_utc*1000000), '%d/%m/%Y') AS date_text FROM posts")
 def _(spark, d):
-    return X.posts(spark, d).select("id", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.expr("cast(created_utc div 86400 as int)")), "dd/MM/yyyy").alias("day"))
+    return X.posts(spark, d).select("id", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.expr("cast(created_utc div 86400 as int)")), "dd/MM/yyyy").alias("date_text"))
 
 
 @add("x30_scale", "SELECT id, round(10+(60-10)*(least(greatest(member_count, 100), 4000)-100)/3900.0, 6)::double size FROM counted".replace("SELECT", f"{COUNTED} SELECT", 1))
