@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import workers
+
 #: Every pattern that models text gets these: case, Unicode classes, and only \n as a line end.
 FLAGS = "(?iuUd)"
 
@@ -34,7 +36,10 @@ def _ascii(text: pd.Series) -> pd.Series:
 
 def fold_unicode(column: Column, native_only: bool = False) -> Column:
     """Letters without marks, other than ASCII dropped. Compatibility decomposition has no native form, so it runs in Python; native_only is for text known to be ASCII."""
-    return column if native_only else _ascii(column)
+    if native_only:
+        return column
+    workers.ship()
+    return _ascii(column)
 
 
 def normalize(column: Column, native_only: bool = False) -> Column:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import workers
 from ..functions import text as X
 from . import patterns as P
 
@@ -58,6 +59,7 @@ def detect(posts: DataFrame, text: str = "title") -> DataFrame:
 @register("detect", "model")
 def detect_with_model(posts: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], text: str = "title", label: str = "causal") -> DataFrame:
     """Posts that a model labels `causal`. load() makes the model, once per worker and batch iterator."""
+    workers.ship(posts.sparkSession)
 
     @F.pandas_udf("string")
     def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
