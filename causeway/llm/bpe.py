@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Pieces up to so many bytes are remembered, and so many of them, in each Python worker: at most about 300 MB.
-KEEP_BYTES, KEEP = 48, 600_000
+#: Pieces up to so many characters are remembered, and so many of them in each of two generations, in every Python worker: at most about 350 MB.
+KEEP_CHARS, KEEP = 32, 700_000
 
 
 @lru_cache(maxsize=2)
@@ -86,29 +88,55 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def ascii_pattern(pattern: str) -> str | None:
+    """The pattern as ASCII texts see it, for Python's own engine, which is faster; None if it has more than letters, numbers and white space."""
+    inside, out, i = False, [], 0
+    while i < len(pattern):
+        for name, members in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9")):
+            if pattern.startswith(name, i):
+                out.append(members if inside else f"[{members}]")
+                i += len(name)
+                break
+        else:
+            inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+            out.append(pattern[i])
+            i += 1
+    made = "".join(out)
+    return None if r"\p" in made or r"\P" in made else made
+
+
 class Codec:
-    """Encodes and decodes with one rank file; remembers the ids of short pieces."""
+    """Encodes and decodes with one rank file. The ids of short pieces are remembered, as bytes of 32-bit integers, in two
+    generations: when the younger is full it becomes the older, whose pieces are taken over again when they are met."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.split = load_ranks(path), regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.ranks = load_ranks(path)
+        self.split = regex.compile(pattern).findall
+        plain = ascii_pattern(pattern)
+        self.plain = re.compile(plain, re.ASCII).findall if plain else self.split
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tokens = {i: t for t, i in self.ranks.items()}
 
-    def piece(self, piece: str) -> list[int]:
-        data = piece.encode()
-        ids = merge(data, self.ranks)
-        if len(data) <= KEEP_BYTES:
-            if len(self.known) >= KEEP:
-                self.known.clear()
-            self.known[piece] = ids
+    def piece(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
+        if len(piece) <= KEEP_CHARS:
+            if len(self.young) >= KEEP:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        get, make = self.known.get, self.piece
-        return np.fromiter(chain.from_iterable([get(p) or make(p) for p in self.split(text)]), np.int32)
+        get, make = self.young.get, self.piece
+        if len(self.young) + len(text) >= KEEP:  # a change of generations in between would leave get behind
+            self.old, self.young = self.young, {}
+            get = self.young.get
+        return np.frombuffer(b"".join([get(p) or make(p) for p in (self.plain if text.isascii() else self.split)(text)]), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -146,7 +174,8 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", data: str
     @F.arrow_udf(T.BinaryType())
     def run(values: pa.Array) -> pa.Array:
         own = codec(ranks, pattern)
-        return pa.array([own.decode(v) if v else b"" for v in values.to_pylist()], pa.binary())
+        flat, ends = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy())])
+        return pa.array([own.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
     return df.withColumn(data, run(F.col(ids)))
 
