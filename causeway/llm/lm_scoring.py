@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Slots of the hashed tables of words and word pairs, as powers of two. Tables have a fixed size, so what is broadcast is bounded: 2 x 4 x (2^19 + 2^21) bytes.
-WORD_BITS, PAIR_BITS = 19, 21
+#: Slots of the hashed tables of words and word pairs, as powers of two. Tables have a fixed size, so what is broadcast is bounded: 2 x 4 x (2^18 + 2^20) bytes.
+WORD_BITS, PAIR_BITS = 18, 20
 #: Share of the pair estimate; the rest is the word estimate, smoothed by adding SMOOTH to every slot.
 PAIR_SHARE, SMOOTH = 0.6, 0.5
 #: Word hashes that a Python worker remembers.
@@ -70,12 +71,16 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[1][at]), pa.array(sums[0][at] + sums[1][at])], names=["slot", "target", "background"])
 
 
-@dataclass(frozen=True)
+@dataclass
 class Models:
     """Both models: probabilities per word slot, counts per pair slot and per word slot as a history, for target and background."""
 
     counts: np.ndarray
 
+    @cached_property
+    def totals(self) -> list[float]:
+        return [float(c[: 1 << WORD_BITS].sum(dtype=np.float64)) for c in self.counts]
+
     def loss_difference(self, text: str) -> np.ndarray:
         """Per word: loss under the target model less loss under the background model, in nats."""
         w, p = slots(text)
@@ -86,8 +91,7 @@ class Models:
         words = 1 << WORD_BITS
         for row, sign in ((0, -1.0), (1, 1.0)):
             c = self.counts[row]
-            total = c[:words].sum(dtype=np.float64)
-            one = (c[w] + SMOOTH) / (total + SMOOTH * words)
+            one = (c[w] + SMOOTH) / (self.totals[row] + SMOOTH * words)
             seen = np.where(history >= 0, c[np.maximum(history, 0)], 0.0)
             two = np.minimum(c[words + p], seen) / np.maximum(seen, 1.0)
             share = np.where(seen > 0, PAIR_SHARE, 0.0)
@@ -99,7 +103,7 @@ def fit(docs: DataFrame, text: str = "text", aimed: str = "aimed") -> Models:
     """Counts words and word pairs of all texts (background) and of those marked `aimed` (target), in one pass.
 
     Every task sums into tables of fixed size and sends on what it has; the sums, one row per slot that occurs, come to the driver: at most
-    2^19 + 2^21 rows however large the corpus is. Both models have the same slots, so they share one vocabulary, unseen words included.
+    2^18 + 2^20 rows however large the corpus is. Both models have the same slots, so they share one vocabulary, unseen words included.
     """
     common.small_batches(docs.sparkSession)
     narrow = docs.select(common.whole_text(text).alias("text"), F.coalesce(F.col(aimed), F.lit(False)).alias("aimed"))
@@ -110,6 +114,14 @@ def fit(docs: DataFrame, text: str = "text", aimed: str = "aimed") -> Models:
     return Models(counts)
 
 
+def _models(shared) -> Models:
+    """The models of a broadcast, made once per worker."""
+    if _made.get("value") is not shared.value:
+        _made.update(value=shared.value, models=Models(shared.value))
+    return _made["models"]
+
+
+_made: dict = {}
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("difference", T.DoubleType()), T.StructField("worst", T.DoubleType())])
 
 
@@ -124,7 +136,7 @@ def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm")
 
     @F.arrow_udf(SCORE)
     def run(texts: pa.Array) -> pa.Array:
-        own, n, mean, worst = Models(shared.value), [], [], []
+        own, n, mean, worst = _models(shared), [], [], []
         for t in texts.to_pylist():
             d = own.loss_difference(t or "")
             n.append(len(d))
@@ -136,9 +148,9 @@ def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm")
 
 
 def aim(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with a column aimed: true for documents that labels mark as of good quality and not toxic."""
+    """docs with a column aimed: true for documents that labels mark as of good quality and not toxic. Labels grow with the documents, so both sides are dealt by key."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(key).distinct().withColumn("aimed", F.lit(True))
-    return docs.join(good, key, "left")
+    return docs.join(good.hint("merge"), key, "left")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
