@@ -65,7 +65,6 @@ class Pipeline:
     def infer(self) -> int:
         relations = self.tables.read("relations").where("relation_type <> 'no_rel'")
         clusters, members = steps.build("infer", self.config["infer"])(relations)
-        clusters, members = clusters.persist(), members.persist()
         self.tables.overwrite("members", schemas.conform(numbered(members, ["relation_id", "role"]), schemas.MEMBERS))
         self.tables.overwrite("clusters", schemas.conform(tree.member_counts(clusters, members), schemas.CLUSTERS))
         self.tables.overwrite("leaf_edges", schemas.conform(edges.leaf_edges(self.store()), schemas.LEAF_EDGES))

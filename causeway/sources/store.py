@@ -12,6 +12,15 @@ from pyspark.sql import types as T
 from .. import schemas
 
 
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a table in the shared folder of spark.checkpoint.dir: plans that use it several times stay small, and lost executors lose nothing."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints/causeway"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upserted(old: DataFrame | None, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Rows of both, the last written of each key: new before old; among new ones the greatest `order`, then the greatest row."""
     columns = new.columns
