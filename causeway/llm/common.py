@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workers
+
 #: Upper bound of rows in one Arrow batch sent to Python workers; texts are whole, so batches stay small.
 ARROW_ROWS = 512
 
@@ -26,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small enough for the memory of a Python worker."""
+    """Readies the session for Python workers: they find this package, and Arrow batches of whole texts stay small enough for their memory."""
+    workers.ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -50,11 +53,25 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, wherever the expression ends up: also in filters, which repeat what they refer to."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """A to Z in lower case; every other character stays as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows of ids that may be broadcast after they have been counted: 16 MB.
+SMALL = 1_000_000
+
+
+def sized(ids: DataFrame, most: int = SMALL) -> DataFrame:
+    """ids, marked for broadcast if they are `most` rows or fewer, counted here; more of them are left to a shuffled join."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids.hint("merge")
+
+
 def literal(values: list, kind: str) -> Column:
     """A constant array. It is one literal, so plans stay small."""
     if not values:

@@ -18,36 +18,38 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
-def statistics(text: str = "text") -> dict[str, Column]:
-    """Numbers about a whole text. Null and empty texts have the value 0 everywhere but in the log counts' zero."""
-    t = common.whole_text(text)
-    n = F.greatest(F.length(t), F.lit(1))
-    words = F.split(t, r"[\s]+")
-    count = F.greatest(F.size(words), F.lit(1))
-    lines = F.split(t, "\n")
-
-    def share(pattern: str) -> Column:
-        return F.regexp_count(t, F.lit(pattern)) / n
-
-    return {
-        "log_chars": F.log1p(F.length(t)),
-        "word_length": n / count,
-        "distinct_words": F.size(F.array_distinct(words)) / F.sqrt(count.cast("double")),
-        "word_variety": F.size(F.array_distinct(words)) / count,
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "line_length": n / F.size(lines),
-        "capitals": share(r"\p{Lu}"),
-        "digits": share(r"[0-9]"),
-        "symbols": share(r"[#$%&*|<>{}\[\]=_~^@\\+]"),
-        "stops": share(r"[!?]"),
-        "points": share(r"[.,;:]"),
-        "repeats": F.regexp_count(t, F.lit(r"(?<!\S)(\S++)(?: \1(?!\S))+")) / count,
-    }
-
-
-def statistic_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's columns and one struct column _stats of the statistics, each computed once."""
-    return df.withColumn("_stats", F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in statistics(text).items()]))
+NAMES = ("log_chars", "word_length", "distinct_words", "word_variety", "distinct_lines", "line_length", "capitals", "digits", "symbols", "stops", "points", "repeats")
+
+
+def statistics(text: str = "text") -> Column:
+    """A struct of numbers about a whole text, named as in NAMES, each computed once. Null counts as the empty text."""
+
+    def parts(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.split(t, r"[\s]+").alias("words"), F.split(t, "\n").alias("lines"))
+
+    def sizes(p: Column) -> Column:
+        n, words, lines = F.greatest(F.length(p["t"]), F.lit(1)), F.size(p["words"]), F.size(p["lines"])
+        return F.struct(p["t"].alias("t"), n.cast("double").alias("n"), words.cast("double").alias("words"), lines.cast("double").alias("lines"), F.size(F.array_distinct(p["words"])).cast("double").alias("kinds"), F.size(F.array_distinct(p["lines"])).cast("double").alias("line_kinds"))
+
+    def numbers(p: Column) -> Column:
+        share = lambda pattern: F.regexp_count(p["t"], F.lit(pattern)) / p["n"]
+        made = (
+            F.log1p(F.length(p["t"])),
+            p["n"] / p["words"],
+            p["kinds"] / F.sqrt(p["words"]),
+            p["kinds"] / p["words"],
+            p["line_kinds"] / p["lines"],
+            p["n"] / p["lines"],
+            share(r"\p{Lu}"),
+            share(r"[0-9]"),
+            share(r"[#$%&*|<>{}\[\]=_~^@\\+]"),
+            share(r"[!?]"),
+            share(r"[.,;:]"),
+            F.regexp_count(p["t"], F.lit(r"(?<!\S)(\S++)(?: \1(?!\S))+")) / p["words"],
+        )
+        return F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in zip(NAMES, made, strict=True)])
+
+    return common.let(common.let(common.let(common.whole_text(text), parts), sizes), numbers)
 
 
 @dataclass(frozen=True)
@@ -173,15 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     usable = labels.where(F.col(key).isNotNull() & F.col("quality").isin(0, 1) & (fold(key) != HELD_OUT)).select(key, "quality")
     picked = usable.orderBy(F.xxhash64(key), key, "quality").limit(rows)
     chosen = F.broadcast(spark.createDataFrame(picked.collect(), picked.schema))
-    found = statistic_columns(docs.select(key, text).join(chosen, key), text).select(key, "quality", "_stats.*").toPandas()
+    found = docs.select(key, text).join(chosen, key).select(key, "quality", statistics(text).alias("_s")).select(key, "quality", "_s.*").toPandas()
     found = found.sort_values([key, "quality", "log_chars"], kind="stable")
-    names = list(statistics(text))
-    return fit({k: found[k].to_numpy(float) for k in names}, found["quality"].to_numpy(float))
+    return fit({k: found[k].to_numpy(float) for k in NAMES}, found["quality"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Ensemble, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the model's score of every whole text; nothing but the text goes into it. A column named `out` is replaced."""
-    return statistic_columns(docs, text).withColumn(out, model.column(F.col("_stats"))).drop("_stats")
+    return docs.withColumn(out, common.let(statistics(text), model.column))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
