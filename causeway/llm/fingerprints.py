@@ -36,12 +36,12 @@ def tree(text: Column) -> Column:
 
 def runs(text: Column) -> Column:
     pieces = F.when(F.length(text) < BRIEF, F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{SHORT_RUN}}}"), 0)).otherwise(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{RUN}}}"), 0))
-    return F.transform(pieces, lambda c: F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(c), 40)), 6, "0"))
+    return F.transform(pieces, lambda c: F.left(F.md5(c.cast("binary")), F.lit(6)))
 
 
 def written(node: Column) -> Column:
     """A tree as one string: the root's hash, a colon, the runs' hashes."""
-    return F.concat(node["root"], F.lit(":"), F.lower(F.array_join(node["runs"], "")))
+    return F.concat(node["root"], F.lit(":"), F.array_join(node["runs"], ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -119,3 +119,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
         likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
     )
+
+
+def _sql_runs(x: str) -> str:
+    return f"list_transform(CASE WHEN length({x})<{BRIEF} THEN regexp_extract_all({x}, '[^\\n]{{1,{SHORT_RUN}}}') ELSE regexp_extract_all({x}, '[^\\n]{{1,{RUN}}}') END, lambda c: left(md5(c), 6))"
+
+
+def _sql_like(a: str, b: str) -> str:
+    both = f"(len(list_distinct({a}_runs)) + len(list_distinct({b}_runs)))"
+    return f"CASE WHEN {a}_root = {b}_root THEN 1.0::double WHEN {both} = 0 THEN 0.0::double ELSE 2.0::double * len(list_intersect(list_distinct({a}_runs), list_distinct({b}_runs))) / {both} END"
+
+
+_SQL_ROOT = "sha256(array_to_string(list_transform(string_split_regex({x}, '\\n[ \\t\\r]*\\n'), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ','))"
+SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+following AS (SELECT doc_id, t, length(t) n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) nt FROM docs),
+edited AS (SELECT *, left(t, n - n // 3) || left(nt, n // 3) e FROM following),
+trees AS (SELECT doc_id, n, e, {", ".join(f"{_SQL_ROOT.replace('{x}', x)} {k}_root, {_sql_runs(x)} {k}_runs" for k, x in (("a", "t"), ("b", "e"), ("c", "nt")))} FROM edited)
+SELECT doc_id, n::bigint n_chars, sha256(e) edited_sha256, a_root || ':' || array_to_string(a_runs, '') fingerprint, b_root || ':' || array_to_string(b_runs, '') edited_fingerprint,
+  {_sql_like("a", "b")} near_edited, {_sql_like("a", "c")} near_next FROM trees"""

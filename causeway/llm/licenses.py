@@ -122,3 +122,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _sql() -> str:
+    rows = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in phrase.split())}], {str(base).lower()})" for i, (label, phrase, base) in enumerate(TEMPLATES))
+    reach = max(len(phrase.split()) for _, phrase, _ in TEMPLATES) - 1
+    return f"""
+WITH templates AS (SELECT *, list_distinct(phrase) tokens FROM (VALUES {rows}) v(id, label, phrase, base)),
+docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') w FROM documents),
+places AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + len(phrase)) = phrase)) p FROM docs, templates WHERE base AND list_has_all(w, tokens)),
+blocks AS (SELECT doc_id, list_distinct(list_slice(w, b + 1, b + {STRIDE + reach})) words FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) b FROM docs)),
+loose AS (SELECT doc_id, label, len(list_intersect(words, tokens)) / len(tokens) score FROM blocks, templates WHERE NOT base AND len(list_intersect(words, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+said AS (SELECT doc_id, label, 1.0::double score, p, true AS base FROM places UNION ALL SELECT doc_id, label, score, NULL, false FROM loose)
+SELECT d.doc_id, len(any_value(w))::bigint n_words, count(p)::bigint n_base, min(p)::bigint first_word, max(p)::bigint last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') labels, coalesce(max(score), 0)::double score
+FROM docs d LEFT JOIN said USING (doc_id) GROUP BY 1"""
+
+
+SQL = _sql()

@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that have any. The others hash with XXH64, learn, compress or tokenize, which SQL can't; tests hold them against brute force."""
+    return {"op1_fingerprints": fingerprints.SQL, "op2_licenses": licenses.SQL, "op4_url_filter": url_filter.SQL}

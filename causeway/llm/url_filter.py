@@ -91,3 +91,22 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.read(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The verdicts for pages that name no other address, as in the tables: there, aliases are the spellings of one canonical form."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
+    pick = lambda f: " ".join(f"WHEN {fits(h, p)} THEN '{f((v, h + p))}'" for v, h, p in longest)
+    same = "|".join(SAME_SITE)
+    return f"""
+WITH parsed AS (SELECT page_id, url, coalesce({lower.format(f"regexp_extract(url, '{_URL}', 1)")}, '') host, coalesce(regexp_extract(url, '{_URL}', 2), '') path, coalesce(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '') q FROM pages),
+judged AS (SELECT *, CASE {pick(lambda r: r[1])} END AS rule, CASE {pick(lambda r: r[0])} END own, regexp_replace(host, ':[0-9]*$', '') h,
+  list_sort(list_filter(string_split(q, '&'), lambda k: k <> '' AND NOT regexp_matches(regexp_extract(k, '^([^=]*)', 1), '{TRACKING}'))) qs FROM parsed),
+named AS (SELECT *, CASE WHEN host = '' THEN url ELSE CASE WHEN regexp_matches(h, '^(?:{same})\\.[^.]+\\.') THEN regexp_replace(h, '^(?:{same})\\.', '') ELSE h END
+  || regexp_replace(regexp_replace(path, '(?:/index)?\\.html?$', ''), '/+$', '') || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END END form FROM judged)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN form IS NULL THEN 'allow' WHEN bool_or(own = 'allow') OVER (PARTITION BY form) THEN 'allow' WHEN bool_or(own = 'block') OVER (PARTITION BY form) THEN 'block' ELSE 'allow' END) verdict FROM named"""
+
+
+SQL = _sql()
