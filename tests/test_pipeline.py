@@ -22,14 +22,14 @@ def corpus(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("infer", [{"implementation": "tfidf", "max_features": 64, "unknown": 1}, {"implementation": "ward", "sizes": (8, 4, 2), "max_texts": 30}])
+@pytest.mark.parametrize("infer", [{"implementation": "tfidf", "max_features": 64, "unknown": 1}, {"implementation": "ward", "sizes": (8, 4, 2), "max_texts": 30}, {"implementation": "density", "min_sizes": (3, 2, 2), "max_texts": 60}])
 def test_pipeline(spark, corpus, tmp_path, infer):
     p = Pipeline(spark, str(tmp_path), {"input": corpus, "infer": infer})
     p.run()
     s = p.store()
     assert s.posts.count() == 90 and s.relations.count() == 90 and s.members.count() == 180
     assert [r.n for r in schemas.violations(s.posts, s.relations, s.clusters, s.members).collect()] == [0] * 9
-    tops = s.clusters.where("parent_id is null")
+    tops = s.clusters.where("parent_id is null").persist()
     assert {r.level for r in tops.collect()} == {2} and tops.agg(F.sum("member_count")).first()[0] == 180
     assert p.tables.runs().where("status = 'done'").count() == 4
     p.run(2)
@@ -85,3 +85,15 @@ def test_nearest_centroid_limit(spark):
     assert sorted(tuple(r)[:2] for r in vectors.nearest(v, "k", "v", c, "g").collect()) == [(7, 0), (8, 0)]
     with pytest.raises(ValueError):
         vectors.nearest(v, "k", "v", c, "g", most=1)
+
+
+def test_density():
+    r = np.random.default_rng(3)
+    spots = [(0, 0), (8, 0), (0, 8), (9, 9)]
+    x = np.vstack([r.normal(c, 0.4, size=(25, 2)) for c in spots] + [[[30, 30], [-30, 4]]])
+    labels = hierarchy.density_labels(x, 8)
+    assert len(set(labels[:100].tolist()) - {-1}) >= 4 and set(labels[100:].tolist()) == {-1}
+    for i in range(4):
+        others = set(labels[[j for j in range(100) if j // 25 != i]].tolist()) - {-1}
+        assert not others & (set(labels[25 * i : 25 * i + 25].tolist()) - {-1})
+    assert hierarchy.density_labels(x[:3], 8).tolist() == [-1] * 3
