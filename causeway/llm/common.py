@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
@@ -97,8 +98,9 @@ def range_bucket(value: Column, points: list[int]) -> Column:
         return F.lit(0)
     step = max(1, math.isqrt(len(points)))
     runs = [points[i : i + step] for i in range(0, len(points), step)]
-    heads = literal([r[0] for r in runs], "bigint")
-    table = F.array(*[literal(r, "bigint") for r in runs])
+    # parsed from one constant: a plan with a node for every point would be slow to make
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>")
+    table = F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
     run = F.size(F.filter(heads, lambda x: x <= value))
     inside = F.size(F.filter(F.element_at(table, F.greatest(run, F.lit(1))), lambda x: x <= value))
     return F.when(run == 0, F.lit(0)).otherwise((run - 1) * step + inside)

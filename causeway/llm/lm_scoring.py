@@ -150,7 +150,7 @@ def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm")
 def aim(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with a column aimed: true for documents that labels mark as of good quality and not toxic. Labels grow with the documents, so both sides are dealt by key."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(key).distinct().withColumn("aimed", F.lit(True))
-    return docs.join(good.hint("merge"), key, "left")
+    return docs.drop("aimed").join(good.hint("merge"), key, "left")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
