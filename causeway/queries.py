@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from . import schemas
 from .functions import text as S
+from .functions import urls as U
 from .operators import edges as E
 from .operators import evidence as V
 from .operators import tree as T
@@ -139,6 +140,12 @@ def _(spark, d):
     return D.latest_runs(e).select("run", F.col("started_at").alias("first_event"), "status")
 
 
+@add("s26_url_state", r"SELECT page_id, try_cast(nullif(regexp_extract(url, '^[^?#]*\?(?:[^#]*&)?page=([^&#]*)', 1), '') AS bigint) page, regexp_matches(url, '^(?i:https?)://[^/?#\s]+') is_http, regexp_replace(url, '[?#].*$', '') || '?from=' || page_id link FROM pages", "")
+def _(spark, d):
+    url = F.col("url")
+    return X.table(spark, d, "pages").select("page_id", U.number(url, "page").alias("page"), U.is_http(url).alias("is_http"), U.share(url, {"from": F.col("page_id"), "none": F.lit(None)}).alias("link"))
+
+
 @add("s19_counts", "SELECT (SELECT count(*) FROM posts) posts, (SELECT count(*) FROM relations) relations")
 def _(spark, d):
     s = X.store(spark, d)
