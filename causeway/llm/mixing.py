@@ -175,10 +175,13 @@ def repaired(rows: DataFrame, most: float, near: float = NEAR, rounds: int = ROU
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
-    """The rows of df as often as the mix takes them, columns as they are; rows that it doesn't take are left out."""
-    found = plan(df, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")).dropDuplicates(["_row"])
+    """The rows of df as often as the mix takes them, columns as they are; rows that it doesn't take are left out.
+
+    Texts move only if the copy numbers, a row of two integers for each text taken, are too many to be broadcast.
+    """
+    found, _ = common.materialize(plan(df, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")).dropDuplicates(["_row"]), "copies")
     keyed = df.withColumn("_row", F.xxhash64(F.col("doc_id"), common.whole_text(), F.col("source")))
-    return keyed.join(found, "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(df.columns)
+    return keyed.join(common.sized(found), "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
