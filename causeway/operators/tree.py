@@ -13,7 +13,7 @@ def closure(clusters: DataFrame, max_depth: int = DEPTH) -> DataFrame:
     """(node, ancestor, depth): every node with itself at depth 0 and all above it; the least depth of each pair.
 
     A recursive query walks up all nodes at once, a level a step. A cycle of parents ends at max_depth and yields no pair twice. Parents that don't exist
-    are ancestors too, as ids.
+    are ancestors too, as ids. Closures of over a million rows need a higher spark.sql.cteRecursionRowLimit; otherwise the query fails rather than losing any.
     """
     walk = """
         WITH RECURSIVE up(node, ancestor, depth) AS (
