@@ -98,8 +98,8 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3
 
 #: Bands of minimum hashes and hashes in each: two sets that share the fraction 0.8 agree in a band with probability 0.41, in one of 16 with 0.9998.
 BANDS, ROWS = 16, 4
-#: Buckets of up to so many texts are compared pair by pair, larger ones with their least text and its next ones in order of another hash.
-FEW = 24
+#: Buckets of up to so many texts are compared pair by pair; in larger ones each text is compared with some, found by so many other bands.
+FEW, MATES = 24, 5
 _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -142,17 +142,18 @@ def _sets(size: int):
 
 
 def _bucket_pairs(rows: DataFrame, few: int = FEW) -> DataFrame:
-    """(a, b) with a < b of rows (bucket, node): all pairs of small buckets; in large ones each node with the least one and with the next one by a hash."""
+    """(a, b) with a < b of rows (bucket, node, mates): all pairs of small buckets; in large ones each node with the least one, with the least and the greatest of a
+    cell of about `few` by a hash, and with those of the cell that shares one of its mates, hashes of other bands: these are most alike."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     held = rows.join(sizes, "bucket")
     small, large = held.where(F.col("n") <= few).select("bucket", "node"), held.where(F.col("n") > few)
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     stars = large.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    # neighbours: nodes of a large bucket fall into cells of about `few` by a hash, and each cell has a least node of its own
-    cells = large.withColumn("cell", F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("n") / few)))
-    heads = cells.groupBy("bucket", "cell").agg(F.min("node").alias("head"))
-    chains = cells.join(heads, ["bucket", "cell"]).where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return pairs.unionByName(stars).unionByName(chains).distinct()
+    spread = F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("n") / few)).cast("bigint")
+    cells = large.select("node", F.explode(F.array_append("mates", spread)).alias("mate"), "bucket").select("node", F.xxhash64("bucket", "mate").alias("cell"))
+    ends = cells.groupBy("cell").agg(F.min("node").alias("head"), F.max("node").alias("tail"))
+    near = cells.join(ends, "cell").select("node", F.explode(F.array("head", "tail")).alias("end")).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    return pairs.unionByName(stars).unionByName(near).distinct()
 
 
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -161,7 +162,7 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     Texts are near copies if their sets of shingles of `size` words share `similarity` or more (Jaccard), counted exactly. What is compared comes from two
     indexes: fingerprints at two bits or fewer (links()), and equal bands of minimum hashes, since fingerprints of texts that share
     0.8 of their shingles differ in up to a dozen of 64 bits, too many to look up. Texts with the same fingerprint and bands are one class, so copies are
-    never paired; large buckets are compared with some of their members only, in every band anew, and make no pairs by the square of their size.
+    never paired; the texts of large buckets are compared with some of the others only, in every band anew, and make no pairs by the square of their number.
     Blank texts are copies of each other. Rows with a null key are left out.
     """
     common.small_batches(df.sparkSession)
@@ -176,7 +177,8 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     of = lambda c: by_print.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
     alike = near.join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     same = classes.join(by_print.select("fp", F.col("node").alias("first")), "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    buckets = classes.select("node", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("bucket"))
+    other = lambda k: F.get("bands", F.pmod(F.col("i") + k, F.size("bands")))
+    buckets = classes.select("node", "bands", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("bucket"), F.array(*[other(k) for k in range(1, MATES + 1)]).alias("mates"))
     pairs, _ = common.materialize(alike.unionByName(same).unionByName(_bucket_pairs(buckets)).distinct(), "pairs")
     wanted, _ = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     # repeated rows of one key would repeat its set: the greatest text stands for the key
