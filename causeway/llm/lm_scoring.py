@@ -2,149 +2,192 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Slots of the hashed tables of words and word pairs, as powers of two. Tables have a fixed size, so what is broadcast is bounded: 2 x 4 x (2^18 + 2^20) bytes.
-WORD_BITS, PAIR_BITS = 18, 20
-#: Share of the pair estimate; the rest is the word estimate, smoothed by adding SMOOTH to every slot.
+#: Share of the pair estimate; the rest is the word estimate, smoothed by adding SMOOTH to every word and to one that stands for all unseen ones.
 PAIR_SHARE, SMOOTH = 0.6, 0.5
-#: Word hashes that a Python worker remembers.
-KEEP = 500_000
-#: Counts that one output row of the counting step carries.
-CHUNK = 1 << 14
+#: Word pairs that a task counts before it sends them on, and rows that it sends at once.
+KEEP, CHUNK = 200_000, 1 << 14
+#: What makes up one part in so many of all words is frequent: at most so many words or pairs, which tasks hold to spare them the shuffle. Results are the same without.
+HOT = 50_000
 
 
-class _Hashes(dict):
-    """Slot-independent hashes of words, made on first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def slots(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the words of a text, A to Z in lower case, between white space, and of the pairs of a word and the one before (the first has a start mark)."""
+def pairs_of(text: str) -> list[bytes]:
+    """Each word of a text behind the word before it (nothing before the first) and a space. Words are runs of other than ASCII white space, A to Z in lower case."""
     words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    before = np.empty_like(h)
-    before[0], before[1:] = 0, h[:-1]
-    pair = (before * np.uint64(0x9E3779B97F4A7C15) ^ h) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    return list(map(b" ".join, zip([b"", *words], words, strict=False)))
 
 
-COUNTS = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("target", T.LongType()), T.StructField("background", T.LongType())])
+COUNTS = T.StructType([T.StructField("pair", T.StringType()), T.StructField("target", T.LongType()), T.StructField("background", T.LongType())])
 
 
 def _count(batches):
-    """Counts of one task: word slots are 0.., pair slots follow. Only slots that occur are sent on."""
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    sums = np.zeros((2, size), np.int64)
+    """Counts of word pairs, sent on whenever a task holds KEEP of them."""
+    target, every = Counter(), Counter()
+
+    def sent():
+        keys = list(every)
+        for i in range(0, len(keys), CHUNK):
+            part = keys[i : i + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([target[k] for k in part], pa.int64()), pa.array([every[k] for k in part], pa.int64())], names=["pair", "target", "background"])
+        target.clear()
+        every.clear()
+
     for batch in batches:
-        part = ([], [])
         for text, aimed in zip(batch.column("text").to_pylist(), batch.column("aimed").to_pylist(), strict=True):
-            w, p = slots(text or "")
-            part[bool(aimed)].extend((w, p + (1 << WORD_BITS)))
-        for k in (0, 1):
-            if part[k]:
-                at, n = np.unique(np.concatenate(part[k]), return_counts=True)
-                sums[k][at] += n
-    full = np.flatnonzero(sums.any(axis=0))
-    for i in range(0, len(full), CHUNK):
-        at = full[i : i + CHUNK]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[1][at]), pa.array(sums[0][at] + sums[1][at])], names=["slot", "target", "background"])
+            pairs = pairs_of(text or "")
+            every.update(pairs)
+            if aimed:
+                target.update(pairs)
+            if len(every) >= KEEP:
+                yield from sent()
+    yield from sent()
 
 
 @dataclass
 class Models:
-    """Both models: probabilities per word slot, counts per pair slot and per word slot as a history, for target and background."""
-
-    counts: np.ndarray
-
-    @cached_property
-    def totals(self) -> list[float]:
-        return [float(c[: 1 << WORD_BITS].sum(dtype=np.float64)) for c in self.counts]
-
-    def loss_difference(self, text: str) -> np.ndarray:
-        """Per word: loss under the target model less loss under the background model, in nats."""
-        w, p = slots(text)
-        if not len(w):
-            return np.zeros(0)
-        out = np.zeros(len(w))
-        history = np.concatenate([[-1], w[:-1]])
-        words = 1 << WORD_BITS
-        for row, sign in ((0, -1.0), (1, 1.0)):
-            c = self.counts[row]
-            one = (c[w] + SMOOTH) / (self.totals[row] + SMOOTH * words)
-            seen = np.where(history >= 0, c[np.maximum(history, 0)], 0.0)
-            two = np.minimum(c[words + p], seen) / np.maximum(seen, 1.0)
-            share = np.where(seen > 0, PAIR_SHARE, 0.0)
-            out += sign * np.log(share * two + (1 - share) * one)
-        return out
+    """Both models, exact: tables (pair, target, background) and (word, target, background) in the shared folder, the sums of counts, and the number of distinct words."""
+
+    pairs: DataFrame
+    words: DataFrame
+    target: int
+    background: int
+    vocabulary: int
+
+    def frequent(self, table: DataFrame) -> DataFrame:
+        """The rows of a table of counts that make up a part in HOT of all words each: HOT rows at most."""
+        return table.where(F.col("background") * HOT >= max(1, self.background))
+
+    def _with_word(self, pairs: DataFrame, key: str, out: str) -> DataFrame:
+        """pairs with the counts of the word in column `key`, 0 if unseen. Frequent words are looked up in each task; the others, in few pairs each, are joined by word."""
+        word = lambda df, n: df.select(F.col("word").alias(key), F.col("target").alias(f"{n}t"), F.col("background").alias(f"{n}b"))
+        first = pairs.join(F.broadcast(word(self.frequent(self.words), "_h")), key, "left")  # HOT rows at most
+        # a key that is found already is replaced by the pair, which has a space in it and so is no word: these rows are dealt evenly
+        dealt = first.withColumn(key, F.when(F.col("_hb").isNotNull(), F.col("pair")).otherwise(F.col(key)))
+        both = dealt.join(word(self.words, "_c").hint("merge"), key, "left")
+        return both.withColumn(f"{out}t", F.coalesce("_ht", "_ct", F.lit(0))).withColumn(f"{out}b", F.coalesce("_hb", "_cb", F.lit(0))).drop(key, "_ht", "_hb", "_ct", "_cb")
+
+    def losses(self, more: DataFrame | None = None) -> DataFrame:
+        """(pair, d, background): loss of the pair's second word under the target model less that under the background model, in nats; of counted pairs and of those of `more`."""
+        pairs = self.pairs
+        if more is not None:
+            pairs = pairs.unionByName(more.select("pair").join(pairs.select("pair").hint("merge"), "pair", "left_anti").select("pair", F.lit(0).cast("bigint").alias("target"), F.lit(0).cast("bigint").alias("background")))
+        ends = pairs.withColumn("before", F.substring_index("pair", " ", 1)).withColumn("word", F.substring_index("pair", " ", -1))
+        full = self._with_word(self._with_word(ends, "word", "w"), "before", "h")
+
+        def loss(c: str, k: str, total: int) -> Column:
+            one = (F.col(f"w{k}") + SMOOTH) / (total + SMOOTH * (self.vocabulary + 1))
+            seen = F.col(f"h{k}")
+            two = F.col(c) / F.greatest(seen, F.lit(1))
+            share = F.when(seen > 0, PAIR_SHARE).otherwise(0.0)
+            return -F.log(share * two + (1 - share) * one)
+
+        return full.select("pair", (loss("target", "t", self.target) - loss("background", "b", self.background)).alias("d"), "background")
 
 
 def fit(docs: DataFrame, text: str = "text", aimed: str = "aimed") -> Models:
-    """Counts words and word pairs of all texts (background) and of those marked `aimed` (target), in one pass.
+    """Counts words and word pairs of all texts (background) and of those marked `aimed` (target), in one pass, each for itself: nothing is hashed together or left out.
 
-    Every task sums into tables of fixed size and sends on what it has; the sums, one row per slot that occurs, come to the driver: at most
-    2^18 + 2^20 rows however large the corpus is. Both models have the same slots, so they share one vocabulary, unseen words included.
+    Tasks count in parts, Spark adds these up by pair, and the table goes to the shared folder. A word's count is that of the pairs that end in it. The driver sees
+    three numbers. Both models have the words of all texts as vocabulary, and one word more for all unseen ones.
     """
     common.small_batches(docs.sparkSession)
     narrow = docs.select(common.whole_text(text).alias("text"), F.coalesce(F.col(aimed), F.lit(False)).alias("aimed"))
-    sums = narrow.mapInArrow(_count, COUNTS).groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    counts = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.float32)
-    at = sums.column("slot").to_numpy()
-    counts[0][at], counts[1][at] = sums.column("target").to_numpy(), sums.column("background").to_numpy()
-    return Models(counts)
+    sums = lambda df, key: df.groupBy(key).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    pairs, _ = common.materialize(sums(narrow.mapInArrow(_count, COUNTS), "pair"), "word-pairs")
+    words, _ = common.materialize(sums(pairs.withColumn("word", F.substring_index("pair", " ", -1)), "word"), "words")
+    r = words.agg(F.sum("target").alias("t"), F.sum("background").alias("b"), F.count("*").alias("n")).first()
+    return Models(pairs, words, r["t"] or 0, r["b"] or 0, r["n"])
 
 
-def _models(shared) -> Models:
-    """The models of a broadcast, made once per worker."""
-    if _made.get("value") is not shared.value:
-        _made.update(value=shared.value, models=Models(shared.value))
-    return _made["models"]
+def _frequent_losses(losses: DataFrame, models: Models) -> dict[bytes, float]:
+    """Losses of the frequent pairs: HOT rows at most."""
+    table = models.frequent(losses).select("pair", "d").toArrow()
+    return {p.encode(): d for p, d in zip(table.column("pair").to_pylist(), table.column("d").to_pylist(), strict=True)}
 
 
-_made: dict = {}
-SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("difference", T.DoubleType()), T.StructField("worst", T.DoubleType())])
+def by_row(docs: DataFrame, losses: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """docs without texts, and with n_words, difference and worst of each row, given the losses of all their pairs.
+
+    A row's frequent pairs are added up where it is read; its other distinct pairs meet their losses in a join by pair, and what comes of them is added up by row.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared = spark.sparkContext.broadcast(_frequent_losses(losses, models))
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_own"), common.whole_text(text).alias("_text"))
+    kept = T.StructType([rows.schema["_row"], rows.schema["_own"], T.StructField("pair", T.StringType()), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("top", T.DoubleType())])
+
+    def cut(batches):
+        known = shared.value
+        for batch in batches:
+            at, pair, n, loss, top = [], [], [], [], []
+
+            def sent(batch=batch, at=at, pair=pair, n=n, loss=loss, top=top):
+                i = pa.array(at, pa.int64())
+                out = pa.RecordBatch.from_arrays([batch.column("_row").take(i), batch.column("_own").take(i), pa.array(pair, pa.string()), pa.array(n, pa.int64()), pa.array(loss, pa.float64()), pa.array(top, pa.float64())], names=kept.names)
+                for x in (at, pair, n, loss, top):
+                    x.clear()
+                return out
+
+            for i, (row, t) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
+                words, total, most = 0, 0.0, None
+                for p, k in Counter(pairs_of(t or "")).items():
+                    d = known.get(p)
+                    if d is None:
+                        at.append(i)
+                        pair.append(p)
+                        n.append(k)
+                        loss.append(None)
+                        top.append(None)
+                    else:
+                        words, total, most = words + k, total + d * k, d if most is None or d > most else most
+                # one row for what is known already, under a key that is no pair, so that these are dealt evenly
+                at.append(i)
+                pair.append(b"%d" % row)
+                n.append(words)
+                loss.append(total)
+                top.append(most)
+                if len(at) >= CHUNK:
+                    yield sent()
+            if at:
+                yield sent()
+
+    parts = rows.mapInArrow(cut, kept)
+    met = parts.join(losses.select("pair", "d").hint("merge"), "pair", "left")
+    sums = met.groupBy("_row", "_own").agg(F.sum("n").alias("n_words"), F.sum(F.coalesce("loss", F.col("d") * F.col("n"))).alias("_sum"), F.max(F.coalesce("top", "d")).alias("_top"))
+    return sums.select("_own.*", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("_sum") / F.col("n_words"), 9)).otherwise(0.0).alias("difference"), F.round(F.coalesce("_top", F.lit(0.0)), 9).alias("worst"))
+
+
+PAIRS = T.StructType([T.StructField("pair", T.StringType())])
+
+
+def _distinct(batches):
+    for batch in batches:
+        for t in batch.column("text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(list(set(pairs_of(t or ""))), pa.string())], names=["pair"])
 
 
 def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm") -> DataFrame:
     """docs with a struct: n_words, difference (mean loss difference per word; below 0: nearer to the target) and worst (the largest of one word).
 
     Null, empty and blank texts have no words and difference 0. Whole texts are scored; repeated rows have equal scores. A column named `out` is replaced.
+    docs can be others than the models were fitted on.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(models.counts)
-
-    @F.arrow_udf(SCORE)
-    def run(texts: pa.Array) -> pa.Array:
-        own, n, mean, worst = _models(shared), [], [], []
-        for t in texts.to_pylist():
-            d = own.loss_difference(t or "")
-            n.append(len(d))
-            mean.append(float(d.mean()) if len(d) else 0.0)
-            worst.append(float(d.max()) if len(d) else 0.0)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(worst, pa.float64())], names=["n_words", "difference", "worst"])
-
-    return docs.withColumn(out, run(common.whole_text(text)))
+    common.small_batches(docs.sparkSession)
+    held, _ = common.materialize(docs.drop(out).withColumn("_id", F.monotonically_increasing_id()), "scored")
+    pairs = held.select(common.whole_text(text).alias("text")).mapInArrow(_distinct, PAIRS).distinct()
+    losses, _ = common.materialize(models.losses(pairs), "losses")
+    found = by_row(held.select("_id", text), losses, models, text).select("_id", F.struct("n_words", "difference", "worst").alias(out))
+    return held.join(found.hint("merge"), "_id").drop("_id")
 
 
 def aim(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -156,4 +199,5 @@ def aim(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     models = fit(aim(docs, common.read(spark, sf_dir, "labels")))
-    return score(docs, models).select("doc_id", "lm.n_words", F.col("lm.difference").alias("score"), F.col("lm.worst").alias("worst_word"))
+    losses, _ = common.materialize(models.losses(), "losses")
+    return by_row(docs, losses, models).select("doc_id", "n_words", F.col("difference").alias("score"), F.col("worst").alias("worst_word"))

@@ -130,6 +130,40 @@ def test_scores_tell_target_from_rest(spark):
     assert lm_scoring.score(df.limit(0), lm_scoring.fit(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 20])
+def test_scores_by_exact_counts(spark, monkeypatch, hot):
+    """More distinct words and pairs than fixed tables of 2^18 and 2^20 slots keep apart; and texts that the models don't know."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    r = random.Random(12)
+    made = [" ".join(r.choice(["the", "of", f"W{r.randint(0, 900_000)}"]) for _ in range(r.randint(1, 3000))) for _ in range(400)]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(made + made[:2] + [None, " ", "the \u00c9 the"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, aimed boolean")
+    grams = lambda t: list(zip([b"", *(t or "").encode().lower().split()], (t or "").encode().lower().split()))
+    pairs, words = [{}, {}], [{}, {}]
+    for _, t, aimed in rows:
+        for k in (0, 1) if aimed else (1,):
+            for p in grams(t):
+                pairs[k][p] = pairs[k].get(p, 0) + 1
+                words[k][p[1]] = words[k].get(p[1], 0) + 1
+    assert len(words[1]) > 2**17
+
+    totals = [sum(w.values()) for w in words]
+
+    def loss(k, p):
+        one = (words[k].get(p[1], 0) + 0.5) / (totals[k] + 0.5 * (len(words[1]) + 1))
+        seen = words[k].get(p[0], 0)
+        return -np.log(0.6 * pairs[k].get(p, 0) / seen + 0.4 * one if seen else one)
+
+    models = lm_scoring.fit(df)
+    other = [(9000, "the of the unseen words", None), (9001, made[5][:200] + " of new", None)]
+    got = by_id(lm_scoring.score(df.where("doc_id % 40 = 1 or doc_id >= 400").unionByName(spark.createDataFrame(other, df.schema)), models))
+    assert len(got) == 17
+    for k, t, _ in [x for x in rows + other if x[0] in got]:
+        want = [loss(0, p) - loss(1, p) for p in grams(t)]
+        assert got[k].lm.n_words == len(want)
+        assert np.isclose(got[k].lm.difference, np.mean(want) if want else 0.0, atol=1e-8) and np.isclose(got[k].lm.worst, max(want, default=0.0), atol=1e-8)
+
+
 # 4
 
 
