@@ -100,6 +100,8 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3
 BANDS, ROWS = 16, 4
 #: Buckets of up to so many texts are compared pair by pair; in larger ones each text is compared with some, found by so many other bands.
 FEW, MATES = 24, 5
+#: Shingles that count as common, texts of which one is looked at for them, and texts of one shingle in a cell.
+OFTEN, SAMPLE, CELL = 1 << 18, 16, 2000
 _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -112,9 +114,8 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
 
 
-def bands_of(text: str, size: int) -> list[int]:
-    """One hash per band of the text's minimum hashes; none for texts without words."""
-    h = shingle_hashes(text, size)
+def _bands_of(h: np.ndarray) -> list[int]:
+    """One hash per band of the minimum hashes of a set; none for empty sets."""
     if not len(h):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -125,14 +126,60 @@ def bands_of(text: str, size: int) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
 
 
-def _bands(size: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+def prefix_of(h: np.ndarray, common_ones: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in an order of all shingles, rare before common ones: so many that sets which share `similarity` have one of them in common."""
+    if not len(h):
+        return h
+    often = np.isin(h, common_ones, assume_unique=True)
+    # a little under the bound, so that rounding never shortens a prefix
+    return np.concatenate([h[~often], h[often]])[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]
+
+
+MARKS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+
+def _marks(size: int, similarity: float, shared):
+    """Of every text: bands, a hash of its whole set of shingles, the size of the set, and its prefix."""
+
+    @F.arrow_udf(MARKS)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([bands_of(t, size) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        bands, whole, sizes, prefixes = [], [], [], []
+        for t in texts.to_pylist():
+            h = np.sort(shingle_hashes(t, size))
+            bands.append(_bands_of(h))
+            whole.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+            sizes.append(len(h))
+            prefixes.append(prefix_of(h, shared.value, similarity).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(bands, pa.list_(pa.int64())), pa.array(whole, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=MARKS.names)
 
     return run
 
 
+def _common_shingles(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
+    """Shingles of many texts, at most OFTEN, as found in one text of SAMPLE. They only set the order of shingles: any order gives the same groups, a good one fewer pairs."""
+    some = df.where(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select(_sets(size)(common.whole_text(text)).alias("set"))
+    found = some.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(OFTEN)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: all pairs of rows (node, component, size, prefix) in different components that can share `similarity` by their prefixes, lengths and positions.
+
+    Shingles whose texts are all in one component make no pairs. Those of many texts are dealt to cells: each text is in one cell and meets all others there.
+    """
+    flat = rows.select("node", "component", "size", F.posexplode("prefix").alias("pos", "token"))
+    live = flat.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    live, _ = common.materialize(live, "live")
+    held, _ = common.materialize(flat.join(common.sized(live), "token"), "prefixes")
+    x = held.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
+    y = held.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
+    sx, sy = F.col("x.size"), F.col("y.size")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (sx + sy) - 1e-6)
+    fits = (F.least(sx, sy) >= similarity * F.greatest(sx, sy) - 1e-6) & (F.least(sx - F.col("x.pos"), sy - F.col("y.pos")) >= least)
+    met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def _sets(size: int):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def run(texts: pa.Array) -> pa.Array:
@@ -159,16 +206,18 @@ def _bucket_pairs(rows: DataFrame, few: int = FEW) -> DataFrame:
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of df: key and component, the least key of its group of near copies.
 
-    Texts are near copies if their sets of shingles of `size` words share `similarity` or more (Jaccard), counted exactly. What is compared comes from two
-    indexes: fingerprints at two bits or fewer (links()), and equal bands of minimum hashes, since fingerprints of texts that share
-    0.8 of their shingles differ in up to a dozen of 64 bits, too many to look up. Texts with the same fingerprint and bands are one class, so copies are
-    never paired; the texts of large buckets are compared with some of the others only, in every band anew, and make no pairs by the square of their number.
+    Texts are near copies if their sets of shingles of `size` words share `similarity` or more (Jaccard), counted exactly. Texts with equal sets are one class.
+    Classes are first compared where they are easily found: fingerprints at two bits or fewer (links()), and equal bands of minimum hashes, in large buckets with some others
+    only. That joins large groups without all of their pairs. Then every pair of texts in different groups that can be similar at all is compared (_prefix_pairs()), so
+    no link between groups is missed, however many texts share a template.
     Blank texts are copies of each other. Rows with a null key are left out.
     """
     common.small_batches(df.sparkSession)
     spark = df.sparkSession
-    rows = with_fingerprint(df.where(F.col(key).isNotNull()).select(key, text), text, "fp")
-    rows = rows.withColumn("bands", _bands(size)(common.whole_text(text))).select(F.col(key).alias("key"), "fp", "bands", F.xxhash64("fp", "bands").alias("cls"))
+    keyed = df.where(F.col(key).isNotNull()).select(key, text)
+    shared = spark.sparkContext.broadcast(_common_shingles(keyed, text, key, size))
+    rows = with_fingerprint(keyed, text, "fp").withColumn("m", _marks(size, similarity, shared)(common.whole_text(text)))
+    rows = rows.select(F.col(key).alias("key"), "fp", "m.bands", "m.size", "m.prefix", F.xxhash64("fp", "m.bands", "m.whole").alias("cls"))
     marked, _ = common.materialize(rows, "near")
     classes = marked.groupBy("cls").agg(F.min("key").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes, _ = common.materialize(classes, "classes")
@@ -180,16 +229,27 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     other = lambda k: F.get("bands", F.pmod(F.col("i") + k, F.size("bands")))
     buckets = classes.select("node", "bands", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("bucket"), F.array(*[other(k) for k in range(1, MATES + 1)]).alias("mates"))
     pairs, _ = common.materialize(alike.unionByName(same).unionByName(_bucket_pairs(buckets)).distinct(), "pairs")
+    found = common.connected_components(_similar(df, pairs, text, key, size, similarity))
+    placed, _ = common.materialize(classes.select("cls", "node").join(found, "node", "left").select("cls", "node", F.coalesce("component", "node").alias("component")), "placed")
+    where = placed.select("cls", F.col("node").alias("key"), "component")
+    prefixes = marked.select("key", "cls", "size", "prefix").join(common.sized(where), ["key", "cls"]).select(F.col("key").alias("node"), "component", "size", "prefix")
+    more, _ = common.materialize(_prefix_pairs(prefixes, similarity), "pairs")
+    added = _similar(df, more, text, key, size, similarity)
+    of = lambda c: placed.groupBy("node").agg(F.min("component").alias(f"c{c}")).withColumnRenamed("node", c)
+    joined = common.connected_components(added.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    placed = placed.join(joined.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("cls", F.coalesce("final", "component").alias("component"))
+    return marked.select("key", "cls").join(placed, "cls").select(F.col("key").alias(key), "component")
+
+
+def _similar(df: DataFrame, pairs: DataFrame, text: str, key: str, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets of shingles share `similarity` or more."""
     wanted, _ = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     # repeated rows of one key would repeat its set: the greatest text stands for the key
     bare = df.select(F.col(key).alias("node"), common.whole_text(text).alias("text")).join(common.sized(wanted), "node", "left_semi")
     sets, _ = common.materialize(bare.withColumn("set", _sets(size)(F.col("text"))).select("node", "set").groupBy("node").agg(F.max("set").alias("set")), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    linked = both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
-    found = common.connected_components(linked)
-    placed = classes.select("cls", "node").join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
-    return marked.join(placed, "cls").select(F.col("key").alias(key), "component")
+    return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:

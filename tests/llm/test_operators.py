@@ -306,6 +306,14 @@ def test_near_copies(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_near_copies_that_share_a_template(spark):
+    """Pairs at 0.84 among 400 texts at 0.796, just below the bound: each pair is found, and nothing else."""
+    part = lambda name, n: [f"{name}_{i}" for i in range(n)]
+    rows = [(i, " ".join(part("t", 266) + part(f"p{i // 2}", 8) + part(f"o{i}", 26))) for i in range(400)]
+    got = by_id(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {k: x.component for k, x in got.items()} == {i: i // 2 * 2 for i in range(400)}
+
+
 def test_large_buckets_make_few_pairs(spark):
     rows = spark.createDataFrame([(1, i, [i % 3]) for i in range(500)] + [(2, i, [7]) for i in range(5)], "bucket long, node long, mates array<bigint>")
     pairs = {tuple(x) for x in simhash._bucket_pairs(rows).collect()}
