@@ -97,3 +97,24 @@ def test_density():
         others = set(labels[[j for j in range(100) if j // 25 != i]].tolist()) - {-1}
         assert not others & (set(labels[25 * i : 25 * i + 25].tolist()) - {-1})
     assert hierarchy.density_labels(x[:3], 8).tolist() == [-1] * 3
+
+
+def test_density_of_all_texts(spark):
+    """Groups and noise that come after the first max_texts texts are kept apart from the groups before."""
+    r = np.random.default_rng(5)
+    spots = [(0, 0), (50, 0), (0, 50), (50, 50)]
+    points = [(f"g{g} {i}", (r.normal(c, 0.3, size=2)).tolist()) for g, c in enumerate(spots) for i in range(30)] + [("far 0", [400.0, 400.0])]
+    vector = {t: v for t, v in points}
+    relations = spark.createDataFrame([(k, t, points[k - 1][0]) for k, (t, _) in enumerate(points) if k], "id long, cause_norm string, effect_norm string")
+    for side in ("cause", "effect"):
+        relations = relations.withColumn(f"{side}_text", F.col(f"{side}_norm")).withColumn(f"{side}_canonical", F.col(f"{side}_norm"))
+    table = spark.createDataFrame(list(vector.items()), "norm string, vector array<double>")
+    _, members = hierarchy.infer_density(relations, lambda df: df.select("norm").join(table, "norm"), min_sizes=(8, 2), max_texts=24)
+    assert members.count() == 240
+    groups = {}
+    for m in members.collect():
+        groups.setdefault(m.event_text.split()[0], []).append(m.cluster_id)
+    main = {g: max(set(c), key=c.count) for g, c in groups.items()}
+    assert len(main) == 5 and len(set(main.values())) == 5
+    parts = {g: set(c) - {main["far"]} for g, c in groups.items() if g != "far"}
+    assert all(parts.values()) and not any(parts[a] & parts[b] for a in parts for b in parts if a < b)
