@@ -415,6 +415,12 @@ def _(spark, d):
     return V.relations_of(s, s.posts.where(F.col("id").cast("bigint") % 10 == 0)).select("id", "cause_cluster_id", "effect_cluster_id")
 
 
+@add("j6_all_relation_clusters", "SELECT r.id, a.cluster_id cause_cluster_id, b.cluster_id effect_cluster_id FROM relations r LEFT JOIN members a ON a.relation_id=r.id AND a.role='cause' LEFT JOIN members b ON b.relation_id=r.id AND b.role='effect' JOIN posts p ON p.id=r.post_id")
+def _(spark, d):
+    s = X.store(spark, d)
+    return V.relations_of(s, s.posts).select("id", "cause_cluster_id", "effect_cluster_id")
+
+
 @add("j15_closure", f"{CLOSURE} SELECT node, ancestor, depth FROM closure")
 def _(spark, d):
     return T.closure(X.clusters(spark, d))
