@@ -118,3 +118,17 @@ def test_density_of_all_texts(spark):
     assert len(main) == 5 and len(set(main.values())) == 5
     parts = {g: set(c) - {main["far"]} for g, c in groups.items() if g != "far"}
     assert all(parts.values()) and not any(parts[a] & parts[b] for a in parts for b in parts if a < b)
+
+
+def test_linkage_needs_no_third_axis():
+    """600 vectors of 512 places: an array by row, row and place would take 1.5 GB."""
+    import tracemalloc
+
+    x = np.random.default_rng(9).normal(size=(600, 512))
+    tracemalloc.start()
+    hierarchy.cuts(x, [5])
+    hierarchy.density_labels(x, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    assert np.allclose(hierarchy._squares(x[:40]), ((x[:40, None] - x[None, :40]) ** 2).sum(-1))
