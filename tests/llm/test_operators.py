@@ -346,6 +346,14 @@ def test_personal_data(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("token", ["a1B2" * 32, "a1B2" * 33, "Zq7-" * 5000, "x" * 100 + "9"])
+def test_long_tokens_are_candidates(token):
+    text = f"key = {token}, and more"
+    assert pii.candidates(text, *pii.base_spans(text)) == [(4, 6, 6 + len(token))]
+    assert pii.votes(text, 4, 6, 6 + len(token))[0] == pii.votes("key = " + "a1B2" * 8, 4, 6, 38)[0]
+    assert pii.candidates("x" * 500, [], []) == [] and pii.candidates("no 9 " + "x" * 500, [], []) == []
+
+
 def test_redaction(spark):
     rows = [(1, "mail é a@b.co now", 7), (2, None, 7), (3, "no data", 7), (4, 'token = "0123456789abcdef0123456789abcdef01234567" +1 (212) 555-0100', 7)] + [(10 + i, f'token = "{hashlib.sha1(bytes([i])).hexdigest()}"', 7) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
