@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set only where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none, a local session (one machine, as in tests) gets a temporary folder of its own; on a cluster that is an error, since
+    executors would write where others can't read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file:///tmp/checkpoints/causeway"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='causeway-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -35,18 +42,36 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Removes the shuffle files of a query when it has ended; what materialize() writes is read from its table, never from these.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, lost executors lose nothing."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, lost executors lose nothing. discard() or sweep() delete the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/causeway-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table that materialize() wrote, once nothing reads it any more."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that materialize() wrote, once nothing reads them any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _written.discard(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that materialize() wrote in this process. Call it when the results of the operators have been written or read: they read these tables."""
+    discard(spark, *list(_written))
 
 
 def whole_text(column: str = "text") -> Column:
@@ -106,14 +131,33 @@ def range_bucket(value: Column, points: list[int]) -> Column:
     return F.when(run == 0, F.lit(0)).otherwise((run - 1) * step + inside)
 
 
+#: A node of more edges than this, and than one part in HUBS of all, is a hub; there are 2 * HUBS hubs at most.
+HUB, HUBS = 256, 50_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
+    """rows joined with table by key; table has one row per key and, in column n, how many rows have it.
+
+    Keys of more than `most` rows are few, so they are looked up in each task and their rows stay where they are; the others are shuffled. `most` is a part
+    in HUBS of all rows or more, which bounds what is broadcast.
+    """
+    often = F.broadcast(table.where(F.col("n") > most))
+    rest = rows.join(often.select(key), key, "left_anti").join(table.where(F.col("n") <= most).hint("merge"), key)
+    return rows.join(often, key).unionByName(rest)
+
+
+def hub_bound(rows: int) -> int:
+    """From how many rows on a key of a table of so many rows is a hub."""
+    return max(HUB, rows // HUBS)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as (node, component); component is the least node that can be reached.
 
     edges: columns a, b of one orderable type. Rows with a null end and self loops name no link and are ignored, so
     isolated nodes aren't in the result; an empty table gives an empty one. Large-star and small-star steps alternate
-    until nothing changes: every step is a grouped minimum (combined before the shuffle) and an equi join, so a node with
-    a third of all edges is no single task's work: its minimum is pre-aggregated and AQE splits its join partition. Each round is
-    written to the shared folder; the one before is deleted.
+    until nothing changes: every step is a grouped minimum (combined before the shuffle) and an equi join in which hubs are looked up from a broadcast table of
+    bounded size, so a node with a third of all edges is no single task's work. Each round is written to the shared folder; the one before is deleted.
     """
     spark = edges.sparkSession
     one = F.col("a") > F.col("b")
@@ -128,15 +172,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        most = hub_bound(before[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        star = spread_join(both, least, "u", most).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, large_path = materialize(star, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "u", most).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = materialize(small, "edges")
         after = mark(new)
-        discard(spark, path)
+        discard(spark, path, large_path)
         now, path = new, new_path
         if after == before:
             break

@@ -98,8 +98,6 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3
 
 #: Bands of minimum hashes and hashes in each: two sets that share the fraction 0.8 agree in a band with probability 0.41, in one of 16 with 0.9998.
 BANDS, ROWS = 16, 4
-#: Buckets of up to so many texts are compared pair by pair; in larger ones each text is compared with some, found by so many other bands.
-FEW, MATES = 24, 5
 #: Shingles that count as common, texts of which one is looked at for them, and texts of one shingle in a cell.
 OFTEN, SAMPLE, CELL = 1 << 18, 16, 2000
 _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -135,11 +133,11 @@ def prefix_of(h: np.ndarray, common_ones: np.ndarray, similarity: float) -> np.n
     return np.concatenate([h[~often], h[often]])[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]
 
 
-MARKS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+MARKS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
 def _marks(size: int, similarity: float, shared):
-    """Of every text: bands, a hash of its whole set of shingles, the size of the set, and its prefix."""
+    """Of every text: bands, a 128-bit hash of its whole set of shingles, the size of the set, and its prefix."""
 
     @F.arrow_udf(MARKS)
     def run(texts: pa.Array) -> pa.Array:
@@ -147,109 +145,133 @@ def _marks(size: int, similarity: float, shared):
         for t in texts.to_pylist():
             h = np.sort(shingle_hashes(t, size))
             bands.append(_bands_of(h))
-            whole.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+            whole.append(xxhash.xxh3_128_digest(h.tobytes()))
             sizes.append(len(h))
             prefixes.append(prefix_of(h, shared.value, similarity).view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(bands, pa.list_(pa.int64())), pa.array(whole, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=MARKS.names)
+        return pa.StructArray.from_arrays([pa.array(bands, pa.list_(pa.int64())), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=MARKS.names)
 
     return run
 
 
-def _common_shingles(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
+def _sets(size: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t, size).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return run
+
+
+def _common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of many texts, at most OFTEN, as found in one text of SAMPLE. They only set the order of shingles: any order gives the same groups, a good one fewer pairs."""
-    some = df.where(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select(_sets(size)(common.whole_text(text)).alias("set"))
+    some = docs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(_sets(size)("text").alias("set"))
     found = some.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(OFTEN)
-    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    table, path = common.materialize(found.select("h"), "common")
+    out = np.sort(table.toArrow().column("h").to_numpy().view(np.uint64))
+    common.discard(docs.sparkSession, path)
+    return out
 
 
-def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a < b: all pairs of rows (node, component, size, prefix) in different components that can share `similarity` by their prefixes, lengths and positions.
+def _documents(df: DataFrame, text: str, key: str) -> tuple[DataFrame, list[str]]:
+    """(node, text), one row per key that isn't null: of rows that repeat a key the one of the greatest text."""
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("node"), common.whole_text(text).alias("text"))
+    again, path = common.materialize(docs.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
+    if again.isEmpty():
+        common.discard(df.sparkSession, path)
+        return docs, []
+    ids = common.sized(again)
+    return docs.join(ids, "node", "left_anti").unionByName(docs.join(ids, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))), [path]
 
-    Shingles whose texts are all in one component make no pairs. Those of many texts are dealt to cells: each text is in one cell and meets all others there.
-    """
-    flat = rows.select("node", "component", "size", F.posexplode("prefix").alias("pos", "token"))
-    live = flat.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
-    live, _ = common.materialize(live, "live")
-    held, _ = common.materialize(flat.join(common.sized(live), "token"), "prefixes")
-    x = held.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
-    y = held.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
-    sx, sy = F.col("x.size"), F.col("y.size")
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (sx + sy) - 1e-6)
-    fits = (F.least(sx, sy) >= similarity * F.greatest(sx, sy) - 1e-6) & (F.least(sx - F.col("x.pos"), sy - F.col("y.pos")) >= least)
-    met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
+def _print_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes whose fingerprints are equal or at two bits or fewer, by multi-index hashing; equal ones each with the least class of their fingerprint."""
+    first = classes.groupBy("fp").agg(F.min("node").alias("node"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
+    alike = links(first.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return alike.unionByName(classes.join(first.withColumnRenamed("node", "a"), "fp").where("a < node").select("a", F.col("node").alias("b")))
 
-def _sets(size: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t, size).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    return run
+def _band_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): each class with the class most like it among the middles of its buckets, one bucket for each band.
+
+    The middle of a bucket is the class that meets most others in all of its buckets, as the original of many edited copies does. So large groups
+    get one pair for each class, and most of them are joined.
+    """
+    flat = classes.select("node", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("bucket"))
+    buckets, b_path = common.materialize(flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    most = common.hub_bound(int(buckets.agg(F.sum("n")).first()[0] or 0))
+    held, h_path = common.materialize(common.spread_join(flat, buckets, "bucket", most), "held")
+    scored = held.join(held.groupBy("node").agg(F.sum("n").alias("met")).hint("merge"), "node")
+    middles = scored.groupBy("bucket").agg(F.max_by("node", F.struct("met", F.col("node"))).alias("middle"), F.count("*").alias("n"))
+    met = common.spread_join(held.drop("n"), middles, "bucket", most).where("node <> middle").groupBy("node", "middle").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.max_by("middle", F.struct("n", "middle")).alias("middle"))
+    out, path = common.materialize(best.select(F.col("middle").alias("a"), F.col("node").alias("b")), "middles")
+    common.discard(classes.sparkSession, b_path, h_path)
+    return out
 
 
-def _bucket_pairs(rows: DataFrame, few: int = FEW) -> DataFrame:
-    """(a, b) with a < b of rows (bucket, node, mates): all pairs of small buckets; in large ones each node with the least one, with the least and the greatest of a
-    cell of about `few` by a hash, and with those of the cell that shares one of its mates, hashes of other bands: these are most alike."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    held = rows.join(sizes, "bucket")
-    small, large = held.where(F.col("n") <= few).select("bucket", "node"), held.where(F.col("n") > few)
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    stars = large.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    spread = F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("n") / few)).cast("bigint")
-    cells = large.select("node", F.explode(F.array_append("mates", spread)).alias("mate"), "bucket").select("node", F.xxhash64("bucket", "mate").alias("cell"))
-    ends = cells.groupBy("cell").agg(F.min("node").alias("head"), F.max("node").alias("tail"))
-    near = cells.join(ends, "cell").select("node", F.explode(F.array("head", "tail")).alias("end")).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
-    return pairs.unionByName(stars).unionByName(near).distinct()
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of rows (node, component, size, prefix) in different components that can share `similarity` by their prefixes, lengths and positions.
+
+    If two sets share that much, their first common shingle leaves enough of both behind it; in the smaller set it then stands in the first part of the prefix (`near`). Shingles
+    whose texts are all in one component, or that are near in none, make no pairs. Those of many texts are dealt to cells: each text is in one cell and meets all others there.
+    """
+    spark, share = rows.sparkSession, 2 * similarity / (1 + similarity)
+    flat = rows.select("node", "component", "size", F.posexplode("prefix").alias("pos", "token")).withColumn("near", F.col("size") - F.col("pos") >= F.ceil(share * F.col("size") - 1e-6))
+    live = flat.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("near").alias("near"), F.count("*").alias("n")).where("lo < hi and near")
+    live, path = common.materialize(live.select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "live")
+    held, held_path = common.materialize(flat.join(common.sized(live), "token"), "prefixes")
+    common.discard(spark, path)
+    x = held.where("near").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("x")
+    y = held.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("y")
+    sx, sy = F.col("x.size"), F.col("y.size")
+    least = F.ceil(F.lit(share / 2) * (sx + sy) - 1e-6)
+    smaller = (sx < sy) | ((sx == sy) & (F.col("x.node") < F.col("y.node")))
+    fits = smaller & (sx >= similarity * sy - 1e-6) & (sx - F.col("x.pos") >= least) & (sy - F.col("y.pos") >= least)
+    met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & fits)
+    out, out_path = common.materialize(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "met")
+    common.discard(spark, held_path)
+    return out
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles share `similarity` or more."""
+    wanted, path = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets, s_path = common.materialize(docs.join(common.sized(wanted), "node", "left_semi").select("node", _sets(size)("text").alias("set")), "sets")
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    out, _ = common.materialize(both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b"), "alike")
+    common.discard(docs.sparkSession, path, s_path)
+    return out
 
 
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of df: key and component, the least key of its group of near copies.
+    """One row per key of df: key and component, the least key of its group of near copies.
 
     Texts are near copies if their sets of shingles of `size` words share `similarity` or more (Jaccard), counted exactly. Texts with equal sets are one class.
-    Classes are first compared where they are easily found: fingerprints at two bits or fewer (links()), and equal bands of minimum hashes, in large buckets with some others
-    only. That joins large groups without all of their pairs. Then every pair of texts in different groups that can be similar at all is compared (_prefix_pairs()), so
+    Classes are first compared where they are easily found: fingerprints at two bits or fewer (links()), and one class each that shares bands of minimum hashes. That joins
+    large groups without all of their pairs. Then every pair of classes in different groups that can be similar at all is compared (_prefix_pairs()), so
     no link between groups is missed, however many texts share a template.
-    Blank texts are copies of each other. Rows with a null key are left out.
+    Blank texts are copies of each other. Rows with a null key are left out; of rows that repeat a key the greatest text counts. An empty table gives none.
     """
     common.small_batches(df.sparkSession)
     spark = df.sparkSession
-    keyed = df.where(F.col(key).isNotNull()).select(key, text)
-    shared = spark.sparkContext.broadcast(_common_shingles(keyed, text, key, size))
-    rows = with_fingerprint(keyed, text, "fp").withColumn("m", _marks(size, similarity, shared)(common.whole_text(text)))
-    rows = rows.select(F.col(key).alias("key"), "fp", "m.bands", "m.size", "m.prefix", F.xxhash64("fp", "m.bands", "m.whole").alias("cls"))
-    marked, _ = common.materialize(rows, "near")
-    classes = marked.groupBy("cls").agg(F.min("key").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes, _ = common.materialize(classes, "classes")
-    by_print = classes.groupBy("fp").agg(F.min("node").alias("node"))
-    near = links(by_print.select("fp"))
-    of = lambda c: by_print.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
-    alike = near.join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    same = classes.join(by_print.select("fp", F.col("node").alias("first")), "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    other = lambda k: F.get("bands", F.pmod(F.col("i") + k, F.size("bands")))
-    buckets = classes.select("node", "bands", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("bucket"), F.array(*[other(k) for k in range(1, MATES + 1)]).alias("mates"))
-    pairs, _ = common.materialize(alike.unionByName(same).unionByName(_bucket_pairs(buckets)).distinct(), "pairs")
-    found = common.connected_components(_similar(df, pairs, text, key, size, similarity))
-    placed, _ = common.materialize(classes.select("cls", "node").join(found, "node", "left").select("cls", "node", F.coalesce("component", "node").alias("component")), "placed")
-    where = placed.select("cls", F.col("node").alias("key"), "component")
-    prefixes = marked.select("key", "cls", "size", "prefix").join(common.sized(where), ["key", "cls"]).select(F.col("key").alias("node"), "component", "size", "prefix")
-    more, _ = common.materialize(_prefix_pairs(prefixes, similarity), "pairs")
-    added = _similar(df, more, text, key, size, similarity)
-    of = lambda c: placed.groupBy("node").agg(F.min("component").alias(f"c{c}")).withColumnRenamed("node", c)
-    joined = common.connected_components(added.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    placed = placed.join(joined.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("cls", F.coalesce("final", "component").alias("component"))
-    return marked.select("key", "cls").join(placed, "cls").select(F.col("key").alias(key), "component")
-
-
-def _similar(df: DataFrame, pairs: DataFrame, text: str, key: str, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets of shingles share `similarity` or more."""
-    wanted, _ = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    # repeated rows of one key would repeat its set: the greatest text stands for the key
-    bare = df.select(F.col(key).alias("node"), common.whole_text(text).alias("text")).join(common.sized(wanted), "node", "left_semi")
-    sets, _ = common.materialize(bare.withColumn("set", _sets(size)(F.col("text"))).select("node", "set").groupBy("node").agg(F.max("set").alias("set")), "sets")
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
+    docs, _ = _documents(df, text, key)
+    shared = spark.sparkContext.broadcast(_common_shingles(docs, size))
+    rows = with_fingerprint(docs, "text", "fp").withColumn("m", _marks(size, similarity, shared)("text"))
+    marked, m_path = common.materialize(rows.select("node", "fp", "m.bands", "m.size", "m.prefix", F.col("m.whole").alias("cls")), "near")
+    first, f_path = common.materialize(marked.groupBy("cls").agg(F.min("node").alias("node")), "first")
+    classes = marked.join(common.sized(first.select("node")), "node", "left_semi")
+    pairs, p_path = common.materialize(_print_pairs(classes.select("node", "fp")).unionByName(_band_pairs(classes.select("node", "bands"))).distinct(), "pairs")
+    found = common.connected_components(_similar(docs, pairs, size, similarity))
+    placed, placed_path = common.materialize(first.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "placed")
+    more = _prefix_pairs(classes.select("node", "size", "prefix").join(common.sized(placed), "node"), similarity)
+    of = lambda c: placed.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    added = _similar(docs, more, size, similarity).join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = common.connected_components(added).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    final = first.join(placed, "node").join(joined, "component", "left").select("cls", F.coalesce("final", "component").alias("component"))
+    out, _ = common.materialize(marked.select("node", "cls").join(final, "cls").select(F.col("node").alias(key), "component"), "groups")
+    common.discard(spark, m_path, f_path, p_path, placed_path)
+    return out
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -258,10 +280,10 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     Rows that repeat that key stay once. Rows without a key stay, but for exact copies among themselves. Columns stay as they are. Texts move only if
     the ids that go are too many to be broadcast.
     """
-    found, _ = common.materialize(near_groups(df, text, key, size, similarity).groupBy(key).agg(F.min("component").alias("component"), F.count("*").alias("n")), "kept")
+    found = near_groups(df, text, key, size, similarity)
     gone = common.sized(found.where(F.col("component") != F.col(key)).select(key))
     kept = df.where(F.col(key).isNotNull()).join(gone, key, "left_anti")
-    repeated, _ = common.materialize(found.where("n > 1").select(key), "repeated")
+    repeated, _ = common.materialize(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
     if not repeated.isEmpty():
         kept = kept.join(common.sized(repeated), key, "left_anti").unionByName(kept.join(common.sized(repeated), key, "left_semi").dropDuplicates([key]))
     bare = df.where(F.col(key).isNull()).dropDuplicates([text])
