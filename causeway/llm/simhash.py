@@ -98,6 +98,8 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3
 
 #: Bands of minimum hashes and hashes in each: two sets that share the fraction 0.8 agree in a band with probability 0.41, in one of 16 with 0.9998.
 BANDS, ROWS = 16, 4
+#: Words of 64 bits in the parity bitmap of a set.
+LANES = 8
 #: Shingles that count as common, texts of which one is looked at for them, and texts of one shingle in a cell.
 OFTEN, SAMPLE, CELL = 1 << 18, 16, 2000
 _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -133,22 +135,30 @@ def prefix_of(h: np.ndarray, common_ones: np.ndarray, similarity: float) -> np.n
     return np.concatenate([h[~often], h[often]])[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]
 
 
-MARKS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def parity(h: np.ndarray) -> list[int]:
+    """LANES words of bits, each of which tells whether an odd number of shingles falls on it. Bitmaps of two sets never differ in more bits than the sets do in shingles."""
+    odd = np.bincount((h >> np.uint64(7)) % np.uint64(64 * LANES), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+MARKS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
 
 def _marks(size: int, similarity: float, shared):
-    """Of every text: bands, a 128-bit hash of its whole set of shingles, the size of the set, and its prefix."""
+    """Of every text: bands, a 128-bit hash of its whole set of shingles, the size of the set, its prefix and its parity bitmap."""
 
     @F.arrow_udf(MARKS)
     def run(texts: pa.Array) -> pa.Array:
-        bands, whole, sizes, prefixes = [], [], [], []
+        bands, whole, sizes, prefixes, bits = [], [], [], [], []
         for t in texts.to_pylist():
             h = np.sort(shingle_hashes(t, size))
             bands.append(_bands_of(h))
             whole.append(xxhash.xxh3_128_digest(h.tobytes()))
             sizes.append(len(h))
             prefixes.append(prefix_of(h, shared.value, similarity).view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(bands, pa.list_(pa.int64())), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=MARKS.names)
+            bits.append(parity(h))
+        longs = lambda x: pa.array(x, pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([longs(bands), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), longs(prefixes), longs(bits)], names=MARKS.names)
 
     return run
 
@@ -210,16 +220,16 @@ def _band_pairs(classes: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of rows (node, component, size, prefix) in different components that can share `similarity` by their prefixes, lengths and positions.
+    """(a, b): all pairs of rows (node, component, size, prefix, bits) in different components that can share `similarity` by their prefixes, lengths, positions and bitmaps.
 
     If two sets share that much, their first common shingle leaves enough of both behind it; in the smaller set it then stands in the first part of the prefix (`near`). Shingles
     whose texts are all in one component, or that are near in none, make no pairs. Those of many texts are dealt to cells: each text is in one cell and meets all others there.
     """
     spark, share = rows.sparkSession, 2 * similarity / (1 + similarity)
-    flat = rows.select("node", "component", "size", F.posexplode("prefix").alias("pos", "token")).withColumn("near", F.col("size") - F.col("pos") >= F.ceil(share * F.col("size") - 1e-6))
+    flat = rows.select("node", "component", "size", "bits", F.posexplode("prefix").alias("pos", "token")).withColumn("near", F.col("size") - F.col("pos") >= F.ceil(share * F.col("size") - 1e-6))
     live = flat.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("near").alias("near"), F.count("*").alias("n")).where("lo < hi and near")
     live, path = common.materialize(live.select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "live")
-    held, held_path = common.materialize(flat.join(common.sized(live), "token"), "prefixes")
+    held, held_path = common.materialize(flat.join(common.sized(live), "token").select("*", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(LANES)]).drop("bits"), "prefixes")
     common.discard(spark, path)
     x = held.where("near").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("x")
     y = held.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("y")
@@ -227,6 +237,9 @@ def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     least = F.ceil(F.lit(share / 2) * (sx + sy) - 1e-6)
     smaller = (sx < sy) | ((sx == sy) & (F.col("x.node") < F.col("y.node")))
     fits = smaller & (sx >= similarity * sy - 1e-6) & (sx - F.col("x.pos") >= least) & (sy - F.col("y.pos") >= least)
+    # the sets differ in as many shingles at least
+    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, LANES)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+    fits = fits & (apart <= (sx + sy) - 2 * least)
     met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & fits)
     out, out_path = common.materialize(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "met")
     common.discard(spark, held_path)
@@ -258,13 +271,13 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     docs, _ = _documents(df, text, key)
     shared = spark.sparkContext.broadcast(_common_shingles(docs, size))
     rows = with_fingerprint(docs, "text", "fp").withColumn("m", _marks(size, similarity, shared)("text"))
-    marked, m_path = common.materialize(rows.select("node", "fp", "m.bands", "m.size", "m.prefix", F.col("m.whole").alias("cls")), "near")
+    marked, m_path = common.materialize(rows.select("node", "fp", "m.bands", "m.size", "m.prefix", "m.bits", F.col("m.whole").alias("cls")), "near")
     first, f_path = common.materialize(marked.groupBy("cls").agg(F.min("node").alias("node")), "first")
     classes = marked.join(common.sized(first.select("node")), "node", "left_semi")
     pairs, p_path = common.materialize(_print_pairs(classes.select("node", "fp")).unionByName(_band_pairs(classes.select("node", "bands"))).distinct(), "pairs")
     found = common.connected_components(_similar(docs, pairs, size, similarity))
     placed, placed_path = common.materialize(first.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "placed")
-    more = _prefix_pairs(classes.select("node", "size", "prefix").join(common.sized(placed), "node"), similarity)
+    more = _prefix_pairs(classes.select("node", "size", "prefix", "bits").join(common.sized(placed), "node"), similarity)
     of = lambda c: placed.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     added = _similar(docs, more, size, similarity).join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = common.connected_components(added).select(F.col("node").alias("component"), F.col("component").alias("final"))
