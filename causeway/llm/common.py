@@ -74,6 +74,18 @@ def sweep(spark: SparkSession) -> None:
     discard(spark, *list(_written))
 
 
+def free_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name a column name that df doesn't have, so that helper columns never clash with the caller's."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        made = f"_{name}"
+        while made.lower() in taken:
+            made = f"_{made}"
+        out[name] = made
+        taken.add(made.lower())
+    return out
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -1,10 +1,11 @@
-"""LM scoring: the cross-entropy difference of a target and a background n-gram model that share one vocabulary."""
+"""LM scoring: the cross-entropy difference of a target and a background n-gram model over one vocabulary, the bytes of UTF-8."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,192 +13,227 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Share of the pair estimate; the rest is the word estimate, smoothed by adding SMOOTH to every word and to one that stands for all unseen ones.
-PAIR_SHARE, SMOOTH = 0.6, 0.5
-#: Word pairs that a task counts before it sends them on, and rows that it sends at once.
-KEEP, CHUNK = 200_000, 1 << 14
-#: What makes up one part in so many of all words is frequent: at most so many words or pairs, which tasks hold to spare them the shuffle. Results are the same without.
-HOT = 50_000
+#: Bytes of an n-gram: the last one is the token, those before it its history. 6 bytes fit a 64-bit integer beside a row number.
+ORDER = 6
+#: What the estimate by the byte before weighs, in occurrences of a history.
+MASS = 8.0
+#: What makes up one part in so many of all tokens is frequent: at most so many n-grams, which tasks hold to spare them the shuffle. Results are the same without.
+HOT = 1 << 19
+#: Positions that are counted at once, distinct n-grams that a task holds before it sends them on, and rows that it sends at once.
+SLICE, KEEP, CHUNK = 1 << 21, 1 << 21, 1 << 15
+_BITS = 8 * ORDER
+_LOW = (1 << _BITS) - 1
 
 
-def pairs_of(text: str) -> list[bytes]:
-    """Each word of a text behind the word before it (nothing before the first) and a space. Words are runs of other than ASCII white space, A to Z in lower case."""
-    words = text.encode().lower().split()
-    return list(map(b" ".join, zip([b"", *words], words, strict=False)))
+def slices(texts: list[str]) -> Iterator[np.ndarray]:
+    """The n-grams of a list of texts, as integers: the number of the text above ORDER bytes. A to Z count in lower case; before a text stand zero bytes.
 
-
-COUNTS = T.StructType([T.StructField("pair", T.StringType()), T.StructField("target", T.LongType()), T.StructField("background", T.LongType())])
+    At most about SLICE positions come at once, however long a text is.
+    """
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        data = b"\0" * (ORDER - 1) + text.encode().lower()
+        for at in range(0, len(data) - ORDER + 1, SLICE):
+            part = data[at : at + SLICE + ORDER - 1]
+            held.append((i, part))
+            size += len(part)
+            if size >= SLICE:
+                yield _grams(held)
+                held, size = [], 0
+    if held:
+        yield _grams(held)
+
+
+def _grams(parts: list[tuple[int, bytes]]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(p for _, p in parts), np.uint8).astype(np.int64)
+    lengths = np.array([len(p) for _, p in parts])
+    n = len(flat) - ORDER + 1
+    out = np.repeat(np.array([i for i, _ in parts], np.int64), lengths)[:n]
+    for j in range(ORDER):
+        out = (out << 8) | flat[j : n + j]
+    # what reaches into the next part is no n-gram
+    valid = np.ones(n, bool)
+    ends = np.cumsum(lengths)[:-1]
+    for j in range(1, ORDER):
+        valid[ends - j] = False
+    return out[valid]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def tally(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in parts:
+        part = np.sort(part)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+        new = part[first], np.diff(np.append(first, len(part)))
+        keys, counts = new if not len(keys) else _summed(np.concatenate([keys, new[0]]), np.concatenate([counts, new[1]]))
+    return keys, counts
+
+
+COUNTS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("target", T.LongType()), T.StructField("background", T.LongType())])
 
 
 def _count(batches):
-    """Counts of word pairs, sent on whenever a task holds KEEP of them."""
-    target, every = Counter(), Counter()
+    """Counts of n-grams, sent on whenever a task holds KEEP of them."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def sent():
-        keys = list(every)
-        for i in range(0, len(keys), CHUNK):
-            part = keys[i : i + CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([target[k] for k in part], pa.int64()), pa.array([every[k] for k in part], pa.int64())], names=["pair", "target", "background"])
-        target.clear()
-        every.clear()
+        for at in range(0, len(keys), CHUNK):
+            k, n = keys[at : at + CHUNK], counts[at : at + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(n * (k & 1)), pa.array(n)], names=COUNTS.names)
 
     for batch in batches:
-        for text, aimed in zip(batch.column("text").to_pylist(), batch.column("aimed").to_pylist(), strict=True):
-            pairs = pairs_of(text or "")
-            every.update(pairs)
-            if aimed:
-                target.update(pairs)
-            if len(every) >= KEEP:
-                yield from sent()
+        aimed = batch.column("aimed").to_numpy(zero_copy_only=False).astype(np.int64)
+        marked = (((g & _LOW) << 1) | aimed[g >> _BITS] for g in slices(batch.column("text").to_pylist()))
+        new = tally(marked)
+        keys, counts = _summed(np.concatenate([keys, new[0]]), np.concatenate([counts, new[1]]))
+        if len(keys) >= KEEP:
+            yield from sent()
+            keys, counts = keys[:0], counts[:0]
     yield from sent()
 
 
 @dataclass
 class Models:
-    """Both models, exact: tables (pair, target, background) and (word, target, background) in the shared folder, the sums of counts, and the number of distinct words."""
+    """Both models, exact: a table of histories (h, target, background, nexts: token, target, background) in the shared folder, the sums of counts, and both estimates by the byte before."""
 
-    pairs: DataFrame
-    words: DataFrame
+    histories: DataFrame
     target: int
     background: int
-    vocabulary: int
-
-    def frequent(self, table: DataFrame) -> DataFrame:
-        """The rows of a table of counts that make up a part in HOT of all words each: HOT rows at most."""
-        return table.where(F.col("background") * HOT >= max(1, self.background))
-
-    def _with_word(self, pairs: DataFrame, key: str, out: str) -> DataFrame:
-        """pairs with the counts of the word in column `key`, 0 if unseen. Frequent words are looked up in each task; the others, in few pairs each, are joined by word."""
-        word = lambda df, n: df.select(F.col("word").alias(key), F.col("target").alias(f"{n}t"), F.col("background").alias(f"{n}b"))
-        first = pairs.join(F.broadcast(word(self.frequent(self.words), "_h")), key, "left")  # HOT rows at most
-        # a key that is found already is replaced by the pair, which has a space in it and so is no word: these rows are dealt evenly
-        dealt = first.withColumn(key, F.when(F.col("_hb").isNotNull(), F.col("pair")).otherwise(F.col(key)))
-        both = dealt.join(word(self.words, "_c").hint("merge"), key, "left")
-        return both.withColumn(f"{out}t", F.coalesce("_ht", "_ct", F.lit(0))).withColumn(f"{out}b", F.coalesce("_hb", "_cb", F.lit(0))).drop(key, "_ht", "_hb", "_ct", "_cb")
-
-    def losses(self, more: DataFrame | None = None) -> DataFrame:
-        """(pair, d, background): loss of the pair's second word under the target model less that under the background model, in nats; of counted pairs and of those of `more`."""
-        pairs = self.pairs
-        if more is not None:
-            pairs = pairs.unionByName(more.select("pair").join(pairs.select("pair").hint("merge"), "pair", "left_anti").select("pair", F.lit(0).cast("bigint").alias("target"), F.lit(0).cast("bigint").alias("background")))
-        ends = pairs.withColumn("before", F.substring_index("pair", " ", 1)).withColumn("word", F.substring_index("pair", " ", -1))
-        full = self._with_word(self._with_word(ends, "word", "w"), "before", "h")
-
-        def loss(c: str, k: str, total: int) -> Column:
-            one = (F.col(f"w{k}") + SMOOTH) / (total + SMOOTH * (self.vocabulary + 1))
-            seen = F.col(f"h{k}")
-            two = F.col(c) / F.greatest(seen, F.lit(1))
-            share = F.when(seen > 0, PAIR_SHARE).otherwise(0.0)
-            return -F.log(share * two + (1 - share) * one)
-
-        return full.select("pair", (loss("target", "t", self.target) - loss("background", "b", self.background)).alias("d"), "background")
+    pairs: tuple[np.ndarray, np.ndarray]
+
+    @property
+    def scale(self) -> float:
+        """What matches the models: the background's counts are weighted down to as much text as the target's, so neither is the smoother one for having more."""
+        return self.target / self.background if self.background else 0.0
+
+    def frequent(self) -> tuple[np.ndarray, ...]:
+        """gram, its counts and its history's counts of the frequent n-grams, HOT rows at most, by gram."""
+        flat = self.histories.select("h", F.col("target").alias("ht"), F.col("background").alias("hb"), F.explode("nexts").alias("x"))
+        rows = flat.where(F.col("x.background") * HOT >= max(1, self.background))
+        table = rows.select((F.shiftleft("h", 8) + F.col("x.token")).alias("gram"), "x.target", "x.background", "ht", "hb").toArrow()
+        columns = [c.to_numpy() for c in table.columns]
+        order = np.argsort(columns[0])
+        return tuple(c[order] for c in columns)
 
 
 def fit(docs: DataFrame, text: str = "text", aimed: str = "aimed") -> Models:
-    """Counts words and word pairs of all texts (background) and of those marked `aimed` (target), in one pass, each for itself: nothing is hashed together or left out.
+    """Counts the n-grams of all texts (background) and of those marked `aimed` (target), in one pass, each for itself: nothing is hashed together or left out.
 
-    Tasks count in parts, Spark adds these up by pair, and the table goes to the shared folder. A word's count is that of the pairs that end in it. The driver sees
-    three numbers. Both models have the words of all texts as vocabulary, and one word more for all unseen ones.
+    Tasks count in parts, Spark adds these up by history, of which each has 256 next bytes at most, and the table goes to the shared folder. The driver sees two sums and one row for each
+    pair of bytes.
     """
     common.small_batches(docs.sparkSession)
     narrow = docs.select(common.whole_text(text).alias("text"), F.coalesce(F.col(aimed), F.lit(False)).alias("aimed"))
-    sums = lambda df, key: df.groupBy(key).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    pairs, _ = common.materialize(sums(narrow.mapInArrow(_count, COUNTS), "pair"), "word-pairs")
-    words, _ = common.materialize(sums(pairs.withColumn("word", F.substring_index("pair", " ", -1)), "word"), "words")
-    r = words.agg(F.sum("target").alias("t"), F.sum("background").alias("b"), F.count("*").alias("n")).first()
-    return Models(pairs, words, r["t"] or 0, r["b"] or 0, r["n"])
-
-
-def _frequent_losses(losses: DataFrame, models: Models) -> dict[bytes, float]:
-    """Losses of the frequent pairs: HOT rows at most."""
-    table = models.frequent(losses).select("pair", "d").toArrow()
-    return {p.encode(): d for p, d in zip(table.column("pair").to_pylist(), table.column("d").to_pylist(), strict=True)}
-
-
-def by_row(docs: DataFrame, losses: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """docs without texts, and with n_words, difference and worst of each row, given the losses of all their pairs.
-
-    A row's frequent pairs are added up where it is read; its other distinct pairs meet their losses in a join by pair, and what comes of them is added up by row.
+    grams = narrow.mapInArrow(_count, COUNTS).groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    next_ = F.struct(F.col("gram").bitwiseAND(F.lit(255)).alias("token"), "target", "background")
+    by_history = grams.groupBy(F.shiftright("gram", 8).alias("h")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"), F.collect_list(next_).alias("nexts"))
+    histories, _ = common.materialize(by_history, "histories")
+    flat = histories.select(F.col("h").bitwiseAND(F.lit(255)).alias("before"), F.explode("nexts").alias("x"))
+    sums = flat.groupBy("before", "x.token").agg(F.sum("x.target").alias("t"), F.sum("x.background").alias("b")).toArrow()  # 65536 rows at most
+    counts = np.zeros((2, 256, 256))
+    at = sums.column("before").to_numpy().astype(int), sums.column("token").to_numpy().astype(int)
+    counts[0][at], counts[1][at] = sums.column("t").to_numpy(), sums.column("b").to_numpy()
+    target, background = int(counts[0].sum()), int(counts[1].sum())
+    counts[1] *= target / background if background else 0.0
+    # every byte once more after every other, so that none is impossible
+    pairs = tuple(((c + 1) / (c.sum(axis=1, keepdims=True) + 256)).ravel() for c in counts)
+    return Models(histories, target, background, pairs)
+
+
+def _difference(log, t, ht, b, hb, one_t, one_b, scale: float):
+    """Loss of a token under the target model less that under the background model, in nats, from the counts of n-gram and history."""
+    return log((scale * b + MASS * one_b) / (scale * hb + MASS)) - log((t + MASS * one_t) / (ht + MASS))
+
+
+def by_row(docs: DataFrame, models: Models, text: str = "text", own: bool = True) -> DataFrame:
+    """docs without texts, and with n_tokens, difference and worst of each row.
+
+    own: docs are those that the models were fitted on, with the column aimed: a row's own counts are taken out of the n-gram counts before it is
+    scored, so no text is known for its own sake. A row's frequent n-grams are added up where it is read; its other distinct n-grams meet their
+    history in a join, and what comes of them is added up by row.
     """
-    spark = docs.sparkSession
+    spark, scale = docs.sparkSession, models.scale
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(_frequent_losses(losses, models))
+    shared = spark.sparkContext.broadcast((models.frequent(), models.pairs))
     others = [c for c in docs.columns if c != text]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_own"), common.whole_text(text).alias("_text"))
-    kept = T.StructType([rows.schema["_row"], rows.schema["_own"], T.StructField("pair", T.StringType()), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("top", T.DoubleType())])
+    flag = F.coalesce(F.col("aimed"), F.lit(False)) if own else F.lit(False)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_own"), flag.alias("_aimed"), common.whole_text(text).alias("_text"))
+    fields = [("h", T.LongType()), ("token", T.LongType()), ("n", T.LongType()), ("nh", T.LongType()), ("aimed", T.BooleanType()), ("loss", T.DoubleType()), ("top", T.DoubleType())]
+    kept = T.StructType([rows.schema["_row"], T.StructField("_own", rows.schema["_own"].dataType), *[T.StructField(k, t) for k, t in fields]])
 
     def cut(batches):
-        known = shared.value
+        (known, t, b, ht, hb), (one_t, one_b) = shared.value
         for batch in batches:
-            at, pair, n, loss, top = [], [], [], [], []
-
-            def sent(batch=batch, at=at, pair=pair, n=n, loss=loss, top=top):
-                i = pa.array(at, pa.int64())
-                out = pa.RecordBatch.from_arrays([batch.column("_row").take(i), batch.column("_own").take(i), pa.array(pair, pa.string()), pa.array(n, pa.int64()), pa.array(loss, pa.float64()), pa.array(top, pa.float64())], names=kept.names)
-                for x in (at, pair, n, loss, top):
-                    x.clear()
-                return out
-
-            for i, (row, t) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
-                words, total, most = 0, 0.0, None
-                for p, k in Counter(pairs_of(t or "")).items():
-                    d = known.get(p)
-                    if d is None:
-                        at.append(i)
-                        pair.append(p)
-                        n.append(k)
-                        loss.append(None)
-                        top.append(None)
-                    else:
-                        words, total, most = words + k, total + d * k, d if most is None or d > most else most
-                # one row for what is known already, under a key that is no pair, so that these are dealt evenly
-                at.append(i)
-                pair.append(b"%d" % row)
-                n.append(words)
-                loss.append(total)
-                top.append(most)
-                if len(at) >= CHUNK:
-                    yield sent()
-            if at:
-                yield sent()
+            ids, aim = batch.column("_row").to_numpy(), batch.column("_aimed").to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, n = tally(slices(batch.column("_text").to_pylist()))
+            doc, gram = keys >> _BITS, keys & _LOW
+            # a row's n-grams of one history stand together
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 8 != keys[:-1] >> 8])) if len(keys) else np.empty(0, np.int64)
+            nh = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys)))) if len(keys) else n
+            at = np.searchsorted(known, gram)
+            at[at == len(known)] = 0
+            found = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+            hit, d, k = at[found], doc[found], n[found]
+            less, less_h, pair = k * own, nh[found] * own, gram[found] & 0xFFFF
+            loss = _difference(np.log, t[hit] - less * aim[d], ht[hit] - less_h * aim[d], b[hit] - less, hb[hit] - less_h, one_t[pair], one_b[pair], scale)
+            size, total, top = np.bincount(d, k, len(ids)), np.bincount(d, k * loss, len(ids)), np.full(len(ids), -np.inf)
+            np.maximum.at(top, d, loss)
+            # one row for what is known already, under a history that no n-gram has, so that these are dealt evenly
+            none = pa.nulls(len(ids), pa.float64())
+            tops = pa.array(np.where(np.isinf(top), 0.0, top), mask=np.isinf(top))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_own"), pa.array(-1 - ids), pa.array(np.zeros(len(ids), np.int64)), pa.array(size.astype(np.int64)), pa.array(np.zeros(len(ids), np.int64)), pa.array(aim.astype(bool)), pa.array(total), tops], names=kept.names)
+            doc, gram, n, nh = doc[~found], gram[~found], n[~found], nh[~found]
+            empty = pa.nulls(1, batch.column("_own").type)
+            for i in range(0, len(doc), CHUNK):
+                s = slice(i, i + CHUNK)
+                m = len(doc[s])
+                none = pa.nulls(m, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[s]]), empty.take(pa.array(np.zeros(m, np.int64))), pa.array(gram[s] >> 8), pa.array(gram[s] & 255), pa.array(n[s]), pa.array(nh[s]), pa.array(aim[doc[s]].astype(bool)), none, none], names=kept.names)
 
     parts = rows.mapInArrow(cut, kept)
-    met = parts.join(losses.select("pair", "d").hint("merge"), "pair", "left")
-    sums = met.groupBy("_row", "_own").agg(F.sum("n").alias("n_words"), F.sum(F.coalesce("loss", F.col("d") * F.col("n"))).alias("_sum"), F.max(F.coalesce("top", "d")).alias("_top"))
-    return sums.select("_own.*", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("_sum") / F.col("n_words"), 9)).otherwise(0.0).alias("difference"), F.round(F.coalesce("_top", F.lit(0.0)), 9).alias("worst"))
-
-
-PAIRS = T.StructType([T.StructField("pair", T.StringType())])
-
-
-def _distinct(batches):
-    for batch in batches:
-        for t in batch.column("text").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(list(set(pairs_of(t or ""))), pa.string())], names=["pair"])
-
-
-def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm") -> DataFrame:
-    """docs with a struct: n_words, difference (mean loss difference per word; below 0: nearer to the target) and worst (the largest of one word).
-
-    Null, empty and blank texts have no words and difference 0. Whole texts are scored; repeated rows have equal scores. A column named `out` is replaced.
-    docs can be others than the models were fitted on.
+    ones = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(*models.pairs, strict=True))], "pair long, one_t double, one_b double")  # a row for each pair of bytes
+    model = models.histories.select("h", F.col("target").alias("ht"), F.col("background").alias("hb"), "nexts")
+    met = parts.join(model.hint("merge"), "h", "left").withColumn("x", F.get(F.filter("nexts", lambda x: x["token"] == F.col("token")), F.lit(0))).drop("nexts")
+    met = met.withColumn("pair", F.col("h").bitwiseAND(F.lit(255)) * 256 + F.col("token")).join(F.broadcast(ones), "pair", "left")
+    seen = lambda c: F.coalesce(F.col(c), F.lit(0))
+    less, less_h = (F.col("n"), F.col("nh")) if own else (F.lit(0), F.lit(0))
+    mine = F.when(F.col("aimed"), 1).otherwise(0)
+    d = _difference(F.log, seen("x.target") - less * mine, seen("ht") - less_h * mine, seen("x.background") - less, seen("hb") - less_h, F.col("one_t"), F.col("one_b"), scale)
+    d = F.when(F.col("loss").isNull(), d)
+    sums = met.select("_row", "_own", "n", F.coalesce("loss", F.col("n") * d).alias("_sum"), F.when(F.col("loss").isNull(), d).otherwise(F.col("top")).alias("_top")).groupBy("_row").agg(F.first("_own", True).alias("_own"), F.sum("n").alias("n_tokens"), F.sum("_sum").alias("_sum"), F.max("_top").alias("_top"))
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("_sum") / F.col("n_tokens"), 9)).otherwise(0.0)
+    return sums.select("_own.*", "n_tokens", mean.alias("difference"), F.round(F.coalesce("_top", F.lit(0.0)), 9).alias("worst"))
+
+
+def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm", own: bool = False) -> DataFrame:
+    """docs with a struct: n_tokens, difference (mean loss difference per byte; below 0: nearer to the target) and worst (the largest of one byte).
+
+    Null and empty texts have no tokens and difference 0. Whole texts are scored; repeated rows have equal scores. A column named `out` is replaced, all others
+    stay, whatever their names. docs can be others than the models were fitted on; if they are the same, own=True takes each row's own counts out (docs then has the column aimed). An empty
+    table gives none; models fitted on none, or on no target, give differences of 0.
     """
     common.small_batches(docs.sparkSession)
-    held, _ = common.materialize(docs.drop(out).withColumn("_id", F.monotonically_increasing_id()), "scored")
-    pairs = held.select(common.whole_text(text).alias("text")).mapInArrow(_distinct, PAIRS).distinct()
-    losses, _ = common.materialize(models.losses(pairs), "losses")
-    found = by_row(held.select("_id", text), losses, models, text).select("_id", F.struct("n_words", "difference", "worst").alias(out))
-    return held.join(found.hint("merge"), "_id").drop("_id")
+    names = common.free_names(docs, "id")
+    held, _ = common.materialize(docs.drop(out).withColumn(names["id"], F.monotonically_increasing_id()), "scored")
+    narrow = held.select(F.col(names["id"]).alias("id"), F.col(text).alias("text"), *([F.col("aimed")] if own else []))
+    found = by_row(narrow, models, own=own).select(F.col("id").alias(names["id"]), F.struct("n_tokens", "difference", "worst").alias(out))
+    return held.join(found.hint("merge"), names["id"]).drop(names["id"])
 
 
 def aim(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with a column aimed: true for documents that labels mark as of good quality and not toxic. Labels grow with the documents, so both sides are dealt by key."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(key).distinct().withColumn("aimed", F.lit(True))
-    return docs.drop("aimed").join(good.hint("merge"), key, "left")
+    """docs with a column aimed: true for documents that labels mark as of good quality and not toxic. Texts move only if these are too many to be broadcast."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(key).where(F.col(key).isNotNull()).distinct().withColumn("aimed", F.lit(True))
+    return docs.drop("aimed").join(common.sized(good), key, "left")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    models = fit(aim(docs, common.read(spark, sf_dir, "labels")))
-    losses, _ = common.materialize(models.losses(), "losses")
-    return by_row(docs, losses, models).select("doc_id", "n_words", F.col("difference").alias("score"), F.col("worst").alias("worst_word"))
+    docs = aim(common.read(spark, sf_dir, "documents").select("doc_id", "text"), common.read(spark, sf_dir, "labels"))
+    return by_row(docs, fit(docs)).select("doc_id", "n_tokens", F.col("difference").alias("score"), F.col("worst").alias("worst_token"))

@@ -19,12 +19,19 @@ CROWD = 256
 STEP = 1 << 16
 
 
+def shingle_list(text: str, size: int) -> list[bytes]:
+    """The shingles of a text, repeats included; all its words as one if they are fewer than a shingle, none without words."""
+    words = text.encode().lower().split()
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+
+
 def fingerprint(text: str, size: int = 3) -> int:
     """The fingerprint of one text, as a signed 64-bit integer."""
-    words = text.encode().lower().split()
-    if not words:
+    shingles = shingle_list(text, size)
+    if not shingles:
         return 0
-    shingles = [b" ".join(words)] if len(words) < size else list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
     votes = np.zeros(64, np.int64)
     hash_of = xxhash.xxh64_intdigest
     for at in range(0, len(shingles), STEP):
@@ -107,10 +114,7 @@ _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, size=BANDS * ROWS, d
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
     """Hashes of the distinct shingles of a text; of all its words if they are fewer than a shingle."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    shingles = {b" ".join(words)} if len(words) < size else set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+    shingles = set(shingle_list(text, size))
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
 
 
@@ -141,16 +145,17 @@ def parity(h: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-MARKS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+MARKS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
 
 def _marks(size: int, similarity: float, shared):
-    """Of every text: bands, a 128-bit hash of its whole set of shingles, the size of the set, its prefix and its parity bitmap."""
+    """Of every text: fingerprint, bands, a 128-bit hash of its whole set of shingles, the size of the set, its prefix and its parity bitmap."""
 
     @F.arrow_udf(MARKS)
     def run(texts: pa.Array) -> pa.Array:
-        bands, whole, sizes, prefixes, bits = [], [], [], [], []
+        prints, bands, whole, sizes, prefixes, bits = [], [], [], [], [], []
         for t in texts.to_pylist():
+            prints.append(fingerprint(t))
             h = np.sort(shingle_hashes(t, size))
             bands.append(_bands_of(h))
             whole.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -158,7 +163,7 @@ def _marks(size: int, similarity: float, shared):
             prefixes.append(prefix_of(h, shared.value, similarity).view(np.int64))
             bits.append(parity(h))
         longs = lambda x: pa.array(x, pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([longs(bands), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), longs(prefixes), longs(bits)], names=MARKS.names)
+        return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), longs(bands), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), longs(prefixes), longs(bits)], names=MARKS.names)
 
     return run
 
@@ -270,8 +275,8 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     spark = df.sparkSession
     docs, _ = _documents(df, text, key)
     shared = spark.sparkContext.broadcast(_common_shingles(docs, size))
-    rows = with_fingerprint(docs, "text", "fp").withColumn("m", _marks(size, similarity, shared)("text"))
-    marked, m_path = common.materialize(rows.select("node", "fp", "m.bands", "m.size", "m.prefix", "m.bits", F.col("m.whole").alias("cls")), "near")
+    rows = docs.select("node", _marks(size, similarity, shared)("text").alias("m"))
+    marked, m_path = common.materialize(rows.select("node", "m.fp", "m.bands", "m.size", "m.prefix", "m.bits", F.col("m.whole").alias("cls")), "near")
     first, f_path = common.materialize(marked.groupBy("cls").agg(F.min("node").alias("node")), "first")
     classes = marked.join(common.sized(first.select("node")), "node", "left_semi")
     pairs, p_path = common.materialize(_print_pairs(classes.select("node", "fp")).unionByName(_band_pairs(classes.select("node", "bands"))).distinct(), "pairs")

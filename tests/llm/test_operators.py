@@ -126,42 +126,64 @@ def test_scores_tell_target_from_rest(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, aimed boolean")
     got = by_id(lm_scoring.score(df, lm_scoring.fit(df)))
     assert max(got[i].lm.difference for i in range(1, 40, 2)) < min(got[i].lm.difference for i in range(0, 40, 2))
-    assert got[40].lm.n_words == 0 and got[41].lm.difference == 0.0
+    assert got[40].lm.n_tokens == 0 and got[41].lm.difference == 0.0
     assert lm_scoring.score(df.limit(0), lm_scoring.fit(df.limit(0))).count() == 0
+    assert {x.lm.difference for x in lm_scoring.score(df, lm_scoring.fit(df.withColumn("aimed", F.lit(False)))).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("hot", [50_000, 20])
-def test_scores_by_exact_counts(spark, monkeypatch, hot):
-    """More distinct words and pairs than fixed tables of 2^18 and 2^20 slots keep apart; and texts that the models don't know."""
-    monkeypatch.setattr(lm_scoring, "HOT", hot)
-    r = random.Random(12)
-    made = [" ".join(r.choice(["the", "of", f"W{r.randint(0, 900_000)}"]) for _ in range(r.randint(1, 3000))) for _ in range(400)]
-    rows = [(i, t, i % 3 == 0) for i, t in enumerate(made + made[:2] + [None, " ", "the \u00c9 the"])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, aimed boolean")
-    grams = lambda t: list(zip([b"", *(t or "").encode().lower().split()], (t or "").encode().lower().split()))
-    pairs, words = [{}, {}], [{}, {}]
+def lm_model(rows):
+    """Counts of n-grams and histories as plain dictionaries; differences(text, aimed, own) of every byte."""
+    n, grams, pasts, pairs = lm_scoring.ORDER, [{}, {}], [{}, {}], [{}, {}]
+    cut = lambda t: [d[i : i + n] for d in [b"\0" * (n - 1) + (t or "").encode().lower()] for i in range(len(d) - n + 1)]
+    add = lambda m, k, by=1: m.__setitem__(k, m.get(k, 0) + by)
     for _, t, aimed in rows:
         for k in (0, 1) if aimed else (1,):
-            for p in grams(t):
-                pairs[k][p] = pairs[k].get(p, 0) + 1
-                words[k][p[1]] = words[k].get(p[1], 0) + 1
-    assert len(words[1]) > 2**17
-
-    totals = [sum(w.values()) for w in words]
-
-    def loss(k, p):
-        one = (words[k].get(p[1], 0) + 0.5) / (totals[k] + 0.5 * (len(words[1]) + 1))
-        seen = words[k].get(p[0], 0)
-        return -np.log(0.6 * pairs[k].get(p, 0) / seen + 0.4 * one if seen else one)
-
-    models = lm_scoring.fit(df)
+            for g in cut(t):
+                add(grams[k], g)
+                add(pasts[k], g[:-1])
+                add(pairs[k], g[-2:])
+    totals = [sum(m.values()) for m in grams]
+    weight = [1.0, totals[0] / totals[1]]
+
+    def differences(t, aimed, own):
+        mine, past = {}, {}
+        for g in cut(t) if own else []:
+            add(mine, g)
+            add(past, g[:-1])
+        out = []
+        for g in cut(t):
+            p = []
+            for k in (0, 1):
+                less = own and (aimed or k == 1)
+                seen = weight[k] * (grams[k].get(g, 0) - less * mine.get(g, 0))
+                before = weight[k] * (pasts[k].get(g[:-1], 0) - less * past.get(g[:-1], 0))
+                one = (weight[k] * pairs[k].get(g[-2:], 0) + 1) / (weight[k] * sum(v for x, v in pairs[k].items() if x[0] == g[-2]) + 256)
+                p.append((seen + lm_scoring.MASS * one) / (before + lm_scoring.MASS))
+            out.append(np.log(p[1]) - np.log(p[0]))
+        return out
+
+    return differences
+
+
+@pytest.mark.parametrize("hot,cut", [(1 << 19, 1 << 21), (200, 50)])
+def test_losses_by_brute_force(spark, monkeypatch, hot, cut):
+    """Losses of every byte, of the fitted documents without their own counts and of others; few frequent n-grams and short slices give the same."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "SLICE", cut)
+    r = random.Random(12)
+    made = [" ".join(r.choice(["the", "of", f"W{r.randint(0, 900)}", "\u00c9t\u00e9"]) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(made + made[:2] + [None, "", " ", "a", "the \u00c9 the", "x" * 3000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, aimed boolean").withColumn("_id", F.lit("mine")).withColumn("h", F.lit(1))
+    model, models = lm_model(rows), lm_scoring.fit(df.repartition(3))
     other = [(9000, "the of the unseen words", None), (9001, made[5][:200] + " of new", None)]
-    got = by_id(lm_scoring.score(df.where("doc_id % 40 = 1 or doc_id >= 400").unionByName(spark.createDataFrame(other, df.schema)), models))
-    assert len(got) == 17
-    for k, t, _ in [x for x in rows + other if x[0] in got]:
-        want = [loss(0, p) - loss(1, p) for p in grams(t)]
-        assert got[k].lm.n_words == len(want)
-        assert np.isclose(got[k].lm.difference, np.mean(want) if want else 0.0, atol=1e-8) and np.isclose(got[k].lm.worst, max(want, default=0.0), atol=1e-8)
+    for part, own in ((rows, True), (other, False)):
+        given = df if own else spark.createDataFrame(part, "doc_id long, text string, aimed boolean").withColumn("_id", F.lit("mine")).withColumn("h", F.lit(1))
+        got = by_id(lm_scoring.score(given, models, own=own))
+        assert len(got) == len(part) and {x["_id"] for x in got.values()} == {"mine"}
+        for k, t, aimed in part:
+            want = model(t, aimed, own)
+            assert got[k].lm.n_tokens == len(want)
+            assert np.isclose(got[k].lm.difference, np.mean(want) if want else 0.0, atol=1e-8) and np.isclose(got[k].lm.worst, max(want, default=0.0), atol=1e-8)
 
 
 # 4
