@@ -17,7 +17,7 @@ from . import common
 ORDER = 6
 #: What the estimate by the byte before weighs, in occurrences of a history.
 MASS = 8.0
-#: What makes up one part in so many of all tokens is frequent: at most so many n-grams, which tasks hold to spare them the shuffle. Results are the same without.
+#: The most frequent n-grams, so many at most, which tasks hold to spare them the shuffle. Results are the same without.
 HOT = 1 << 19
 #: Positions that are counted at once, distinct n-grams that a task holds before it sends them on, and rows that it sends at once.
 SLICE, KEEP, CHUNK = 1 << 21, 1 << 21, 1 << 15
@@ -115,9 +115,16 @@ class Models:
         return self.target / self.background if self.background else 0.0
 
     def frequent(self) -> tuple[np.ndarray, ...]:
-        """gram, its counts and its history's counts of the frequent n-grams, HOT rows at most, by gram."""
+        """gram, its counts and its history's counts of the most frequent n-grams, HOT rows at most, by gram."""
         flat = self.histories.select("h", F.col("target").alias("ht"), F.col("background").alias("hb"), F.explode("nexts").alias("x"))
-        rows = flat.where(F.col("x.background") * HOT >= max(1, self.background))
+        # how many n-grams there are of about each count: a few hundred rows, summed up from the most frequent ones on
+        level, least, held = F.floor(F.log2("x.background") * 8), float("inf"), 0
+        for r in sorted(flat.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+            held += r["n"]
+            if held > HOT:
+                break
+            least = r["level"]
+        rows = flat.where(level >= least)
         table = rows.select((F.shiftleft("h", 8) + F.col("x.token")).alias("gram"), "x.target", "x.background", "ht", "hb").toArrow()
         columns = [c.to_numpy() for c in table.columns]
         order = np.argsort(columns[0])
