@@ -75,14 +75,14 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
     starts = common.literal(sorted({w for t in made for w in t["prefix"]}), "string")
     known = common.literal(vocabulary, "string")
 
-    narrow = df.select(*keep, words_of(text).alias("words"))
+    narrow = df.select(F.struct(*keep).alias("_own"), words_of(text).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(starts, w), i)), lambda i: i.isNotNull())
     hits = F.when(F.arrays_overlap("words", starts), hits).otherwise(F.expr("cast(array() as array<int>)"))
     # a word belongs to the block it stands in and, near its start, to the tail of the blocks before
     back = math.ceil(reach / stride)
     owners = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(F.lit(0), F.floor(i / stride).cast("int") - back), F.floor(i / stride).cast("int")))))
     blocks = F.transform(owners, lambda b: F.struct((b * stride).alias("start"), F.slice(F.col("words"), b * stride + 1, stride + reach).alias("words")))
-    rows = narrow.select(*keep, F.monotonically_increasing_id().alias("_row"), F.size("words").cast("long").alias("n_words"), blocks.alias("blocks"))
+    rows = narrow.select("_own", F.monotonically_increasing_id().alias("_row"), F.size("words").cast("long").alias("n_words"), blocks.alias("blocks"))
     rows, _ = common.materialize(rows, "blocks")
 
     prefixes = F.broadcast(spark.createDataFrame([(w, t["id"]) for t in made for w in t["prefix"]], "token string, template int"))
@@ -104,7 +104,7 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: floa
     matches = met.select("_row", "label", "score", "consecutive", F.explode(places).alias("start"))
     packed = matches.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "label", F.col("consecutive").alias("base"), "score"))).alias("matches"))
     empty = F.expr("cast(array() as array<struct<start: int, label: string, base: boolean, score: double>>)")
-    return rows.drop("blocks").join(packed, "_row", "left").select(*keep, "n_words", F.coalesce("matches", empty).alias("matches"))
+    return rows.drop("blocks").join(packed, "_row", "left").select("_own.*", "n_words", F.coalesce("matches", empty).alias("matches"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
