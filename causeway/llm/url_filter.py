@@ -57,9 +57,9 @@ def named(html: Column, url: Column) -> Column:
     return F.array_compact(F.array(absolute(link), absolute(move)))
 
 
-def node_of(url: Column) -> Column:
-    """Addresses as 128-bit graph nodes."""
-    return F.unhex(F.md5(url.cast("binary")))
+def node_of(kind: str, name: Column) -> Column:
+    """Addresses and canonical forms as 128-bit graph nodes."""
+    return F.unhex(F.md5(F.concat(F.lit(f"{kind}:"), name).cast("binary")))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     redirects: further edges, as columns url and target. A page that a rule fits has the longest rule's verdict. The others have that of their aliases: addresses that redirects, refreshes,
     canonical links and equal canonical forms connect form components; if an allow rule fits one page or named address of the component the verdict
     is allow, else if a block rule fits one, block; without either, allow. Null urls are connected with nothing: allow. Repeated rows have repeated results; html
-    may be null. Edges between an address and its canonical form are stars, so their components cost no pairs.
+    may be null. One graph decides: its edges are what addresses name, and an address and its canonical form, which stands between all spellings, so these cost no pairs.
     """
     rule = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
     seen = pages.select("page_id", "url", named(F.col("html"), F.col("url")).alias("named"))
@@ -77,15 +77,16 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     if redirects is not None:
         edges = edges.unionByName(redirects.select("url", "target").where("url is not null and target is not null"))
     addresses = seen.where("url is not null").select("url").unionByName(edges.select(F.col("target").alias("url"))).unionByName(edges.select("url")).distinct()
-    forms = addresses.select("url", canonical(F.col("url")).alias("form"), rule.alias("r")).select("url", "form", "r.verdict")
-    # each canonical form is one node, which stands for all its spellings
-    direct = forms.groupBy("form").agg(F.max(F.col("verdict") == "allow").alias("allow"), F.max(F.col("verdict") == "block").alias("block")).select(node_of(F.col("form")).alias("node"), "allow", "block")
-    linked = edges.select(node_of(canonical(F.col("url"))).alias("a"), node_of(canonical(F.col("target"))).alias("b"))
-    parts = common.connected_components(linked)
-    placed = direct.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "allow", "block")
-    said = placed.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-    verdicts = placed.select("node", "component").join(said, "component").select("node", F.when(F.col("allow"), "allow").when(F.col("block"), "block").otherwise("allow").alias("said"))
-    judged = seen.select("page_id", "url", rule.alias("r"), node_of(canonical(F.col("url"))).alias("node")).join(verdicts, "node", "left")
+    known, path = common.materialize(addresses.select(node_of("address", F.col("url")).alias("node"), node_of("form", canonical(F.col("url"))).alias("form"), rule.alias("r")).select("node", "form", "r.verdict"), "addresses")
+    address = lambda c: node_of("address", F.col(c))
+    linked = known.select(F.col("node").alias("a"), F.col("form").alias("b")).unionByName(edges.select(address("url").alias("a"), address("target").alias("b")))
+    placed, placed_path = common.materialize(known.select("node", "verdict").join(common.connected_components(linked).hint("merge"), "node"), "placed")
+    said = placed.groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allow"), F.max(F.col("verdict") == "block").alias("block"), F.count("*").alias("n"))
+    blocked = said.where(F.coalesce("block", F.lit(False)) & ~F.coalesce("allow", F.lit(False))).select("component", "n")
+    # without any rule the verdict is allow, so only the addresses of blocked components are looked up
+    verdicts, _ = common.materialize(common.spread_join(placed.select("node", "component"), blocked, "component", common.hub_bound(placed.count())).select("node", F.lit("block").alias("said")), "verdicts")
+    common.discard(pages.sparkSession, path, placed_path)
+    judged = seen.select("page_id", "url", rule.alias("r"), address("url").alias("node")).join(verdicts.hint("merge"), "node", "left")
     return judged.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "said", F.lit("allow")).alias("verdict"))
 
 
