@@ -109,7 +109,8 @@ class Codec:
     """Encodes and decodes with one rank file. The ids of short pieces are remembered, as bytes of 32-bit integers, in two
     generations: when the younger is full it becomes the older, whose pieces are taken over again when they are met."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: int = KEEP):
+        self.keep = keep
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         plain = ascii_pattern(pattern)
@@ -123,14 +124,14 @@ class Codec:
         if ids is None:
             ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= KEEP_CHARS:
-            if len(self.young) >= KEEP:
+            if len(self.young) >= self.keep:
                 self.old, self.young = self.young, {}
             self.young[piece] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         get, make = self.young.get, self.piece
-        if len(self.young) + len(text) >= KEEP:  # a change of generations in between would leave get behind
+        if len(self.young) + len(text) >= self.keep:  # a change of generations in between would leave get behind
             self.old, self.young = self.young, {}
             get = self.young.get
         return np.frombuffer(b"".join([get(p) or make(p) for p in (self.plain if text.isascii() else self.split)(text)]), np.int32)
@@ -140,8 +141,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, keep: int = KEEP) -> Codec:
+    return Codec(path, pattern, keep)
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -150,10 +151,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", keep: int = KEEP) -> DataFrame:
     """df with the token ids of every whole text, as an array of integers.
 
-    ranks: path of a rank file, which every executor must have; pattern: splits a text into pieces, each encoded separately. Null and
+    keep: pieces that a worker remembers in each of two generations, about 250 bytes each; ids are the same whatever it is. ranks: path of a rank file, which every executor must have; pattern: splits a text into pieces, each encoded separately. Null and
     empty texts give an empty array; special tokens are ordinary text. A column named `ids` is replaced, others stay. Rows are independent, so
     repeated rows and ties need no rule. A piece of n bytes takes about n log n steps, so very long words are no trouble.
     """
@@ -161,19 +162,19 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(texts: pa.Array) -> pa.Array:
-        own = codec(ranks, pattern)
+        own = codec(ranks, pattern, keep)
         return _lists([own.encode(t) if t else np.empty(0, np.int32) for t in texts.to_pylist()])
 
     return df.withColumn(ids, run(common.whole_text(text)))
 
 
-def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", data: str = "decoded", keep: int = KEEP) -> DataFrame:
     """df with the bytes that arrays of ids stand for; a null array gives no bytes, an unknown id fails the job."""
     common.small_batches(df.sparkSession)
 
     @F.arrow_udf(T.BinaryType())
     def run(values: pa.Array) -> pa.Array:
-        own = codec(ranks, pattern)
+        own = codec(ranks, pattern, keep)
         flat, ends = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy())])
         return pa.array([own.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 

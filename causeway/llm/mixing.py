@@ -179,9 +179,11 @@ def mix(df: DataFrame, **options) -> DataFrame:
 
     Texts move only if the copy numbers, a row of two integers for each text taken, are too many to be broadcast.
     """
-    found, _ = common.materialize(plan(df, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")).dropDuplicates(["_row"]), "copies")
-    keyed = df.withColumn("_row", F.xxhash64(F.col("doc_id"), common.whole_text(), F.col("source")))
-    return keyed.join(common.sized(found), "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(df.columns)
+    names = common.free_names(df, "row", "copies")
+    row, copies = names["row"], names["copies"]
+    found, _ = common.materialize(plan(df, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies)).dropDuplicates([row]), "copies")
+    keyed = df.withColumn(row, F.xxhash64(F.col("doc_id"), common.whole_text(), F.col("source")))
+    return keyed.join(common.sized(found), row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

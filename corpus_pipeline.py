@@ -16,7 +16,8 @@ from causeway.llm import bpe, common, mixing, pii, quality, simhash
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rule ensemble, fitted on the labels of sf_dir, scores below its threshold."""
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= quality.THRESHOLD).select(docs.columns)
+    out = common.free_names(docs, "score")["score"]
+    return quality.score(docs, model, out=out).where(F.col(out) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, the ids of every text, and whether decoding them gives the text's bytes again."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", common.whole_text().alias("text")), ranks, pattern), ranks, pattern)
+    # fewer pieces than by default, as the workers have served the stages before
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", common.whole_text().alias("text")), ranks, pattern, keep=KEEP), ranks, pattern, keep=KEEP)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 
+#: Pieces that a worker remembers in the last stage.
+KEEP = 250_000
+
 STAGES = [
     ("quality classifier", keep_quality),
     ("SimHash near-dedup", drop_near_copies),
