@@ -82,7 +82,7 @@ def id_list(text: str) -> list[int]:
     """Ids from a comma-separated list; what is no integer is left out, repeats too."""
     out: list[int] = []
     for part in (p.strip() for p in text.split(",")):
-        if part.lstrip("-").isdigit() and part.count("-") <= 1 and int(part) not in out:
+        if part.lstrip("-").isdecimal() and part.count("-") <= 1 and int(part) not in out:
             out.append(int(part))
     return out
 

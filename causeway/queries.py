@@ -409,10 +409,10 @@ def _(spark, d):
     return V.one_post(X.store(spark, d), "7").select("id", "title", "relation_id")
 
 
-@add("j6_relation_clusters", "SELECT r.id, a.cluster_id cause_cluster_id, b.cluster_id effect_cluster_id FROM relations r LEFT JOIN members a ON a.relation_id=r.id AND a.role='cause' LEFT JOIN members b ON b.relation_id=r.id AND b.role='effect' WHERE cast(post_id AS bigint)%10=0")
+@add("j6_relation_clusters", "SELECT r.id, min(cluster_id) FILTER (m.role='cause') cause_cluster_id, min(cluster_id) FILTER (m.role='effect') effect_cluster_id FROM relations r SEMI JOIN posts p ON p.id=r.post_id LEFT JOIN members m ON m.relation_id=r.id GROUP BY r.id")
 def _(spark, d):
     s = X.store(spark, d)
-    return V.relations_of(s, s.posts.where(F.col("id").cast("bigint") % 10 == 0)).select("id", "cause_cluster_id", "effect_cluster_id")
+    return V.relations_of(s, s.posts).select("id", "cause_cluster_id", "effect_cluster_id")
 
 
 @add("j6_all_relation_clusters", "SELECT r.id, a.cluster_id cause_cluster_id, b.cluster_id effect_cluster_id FROM relations r LEFT JOIN members a ON a.relation_id=r.id AND a.role='cause' LEFT JOIN members b ON b.relation_id=r.id AND b.role='effect' JOIN posts p ON p.id=r.post_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,11 +13,21 @@ from pyspark.sql import types as T
 from .. import schemas
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; on a cluster that is an error, since executors would write where others can't read."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='causeway-')}"
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table in the shared folder of spark.checkpoint.dir: plans that use it several times stay small, and lost executors lose nothing."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints/causeway"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,21 +73,24 @@ def resolved(memberships: DataFrame, relations: DataFrame, clusters: DataFrame)
 
 
 class Tables:
-    """Parquet tables under one folder. A write goes to a new version folder; a pointer file then names it, so readers see whole tables only."""
+    """Parquet tables under one folder. A write goes to a new, numbered version folder, which counts once Spark has put its success marker there: the last such
+    version is the table. So readers see whole tables only, and a write that dies leaves the version before. vacuum() deletes old versions."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
-
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def versions(self, name: str) -> list[str]:
+        """The complete versions of a table, oldest first."""
+        folder, fs = self._fs(f"{self.root}/{name}")
+        found = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(v for v in found if v[:1].isdigit() and fs.exists(self._fs(f"{self.root}/{name}/{v}/_SUCCESS")[0]))
+
     def version(self, name: str) -> str | None:
-        p, fs = self._fs(self._pointer(name))
-        return self.spark.read.text(self._pointer(name)).first()[0] if fs.exists(p) else None
+        return (self.versions(name) or [None])[-1]
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame | None:
         version = self.version(name)
@@ -85,9 +99,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        last = self.version(name)
+        number = int(last.split("-")[0]) + 1 if last else 1
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}/{number:012d}-{uuid.uuid4().hex}")
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Deletes all but the last `keep` versions; call it when nothing reads older ones."""
+        for version in self.versions(name)[: -max(1, keep)]:
+            path, fs = self._fs(f"{self.root}/{name}/{version}")
+            fs.delete(path, True)
 
     def clear(self, *names: str) -> None:
         """Empties tables that exist; they keep their columns."""

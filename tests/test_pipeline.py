@@ -132,3 +132,17 @@ def test_linkage_needs_no_third_axis():
     tracemalloc.stop()
     assert most < 100e6
     assert np.allclose(hierarchy._squares(x[:40]), ((x[:40, None] - x[None, :40]) ** 2).sum(-1))
+
+
+def test_writes_that_die_leave_the_version_before(spark, tmp_path):
+    tables = Tables(spark, f"file://{tmp_path}")
+    tables.overwrite("t", spark.range(3))
+    tables.overwrite("t", spark.range(5))
+    assert tables.read("t").count() == 5
+    # a version without its success marker is not the table, whatever is in it
+    spark.range(9).write.parquet(f"file://{tmp_path}/t/000000000003-dead")
+    (tmp_path / "t/000000000003-dead/_SUCCESS").unlink()
+    assert tables.read("t").count() == 5
+    tables.vacuum("t", 1)
+    assert len(tables.versions("t")) == 1 and tables.read("t").count() == 5
+    assert tables.read("none") is None

@@ -110,6 +110,6 @@ def test_small_expressions(spark):
 def test_analyze(spark):
     docs = spark.createDataFrame([(1, "Tea causes joy. Joy leads to sleep!\nTea does not cause harm"), (2, "  "), (3, None)], "doc_id long, text string")
     events, relations = analyze.analyze(docs)
-    assert [(r.index, r.span_text, r.start, r.end) for r in events.orderBy("index").collect()] == [(0, "Tea", 0, 3), (1, "joy", 11, 14), (2, "sleep!", 29, 35), (3, "harm", 55, 59)]
+    assert [(r["index"], r.span_text, r.start, r.end) for r in events.orderBy("index").collect()] == [(0, "Tea", 0, 3), (1, "joy", 11, 14), (2, "sleep!", 29, 35), (3, "harm", 55, 59)]
     assert [(r.cause_event_index, r.effect_event_index, r.relation_type, r.p_causal) for r in relations.orderBy("sentence_index").collect()] == [(0, 1, "causal", 1.0), (1, 2, "causal", 1.0), (0, 3, "countercausal", 0.0)]
     assert analyze.response(docs).count() == 3
