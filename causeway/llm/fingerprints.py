@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Code points of a run, the finest branch of a tree: paragraphs are cut into runs, so edits inside long ones can be located.
-#: Texts of fewer than BRIEF code points have shorter runs.
-RUN, SHORT_RUN, BRIEF = 24, 4, 96
+#: A run, the finest branch of a tree: up to the first word that ends in a vowel or a full stop, RUN code points at most. Cuts depend on what stands there, so an insertion moves no
+#: later run, and edits inside long paragraphs can be located.
+RUN = 48
+RUNS = rf"[^\n]{{0,{RUN - 2}}}?[aeiou.][ \t]|[^\n]{{1,{RUN}}}"
 #: A section ends at a blank line, a paragraph at a line end.
 SECTION, PARAGRAPH = r"\n[ \t\r]*\n", r"\n"
 
@@ -17,9 +18,9 @@ SECTION, PARAGRAPH = r"\n[ \t\r]*\n", r"\n"
 def tree(text: Column) -> Column:
     """The Merkle tree of a text: root, sections (hash, paragraphs), runs.
 
-    A paragraph's hash is the SHA-256 of its text, a section's that of its paragraphs' hashes, the root's that of its sections' hashes, so
-    roots are equal for equal texts and only for them. runs: 24-bit hashes, as hex, of every 24 code points (4 in short texts) inside each
-    paragraph, in order. Null counts as the empty text: one section with one empty paragraph and no runs.
+    A paragraph's hash is the SHA-256 of its text, a section's that of its paragraphs' hashes, the root's that of its sections' hashes and of the blank lines between them, so
+    roots are equal for equal texts and only for them. runs: 24-bit hashes, as hex, of the runs of each paragraph, in order, cut by one rule for
+    texts of any length. Null counts as the empty text: one section with one empty paragraph and no runs.
     """
     whole = F.coalesce(text.cast("string"), F.lit(""))
 
@@ -31,11 +32,12 @@ def tree(text: Column) -> Column:
         return F.struct(F.sha2(F.array_join(hashes, ","), 256).alias("hash"), hashes.alias("paragraphs"))
 
     sections = F.transform(F.split(whole, SECTION, -1), section)
-    return F.struct(F.sha2(F.concat(F.lit(""), F.array_join(F.transform(sections, lambda s: s["hash"]), ",")), 256).alias("root"), sections.alias("sections"), runs(whole).alias("runs"))
+    between = F.transform(F.regexp_extract_all(whole, F.lit(SECTION), 0), lambda s: F.sha2(s, 256))
+    return F.struct(F.sha2(F.concat(F.array_join(F.transform(sections, lambda s: s["hash"]), ","), F.lit(";"), F.array_join(between, ",")), 256).alias("root"), sections.alias("sections"), runs(whole).alias("runs"))
 
 
 def runs(text: Column) -> Column:
-    pieces = F.when(F.length(text) < BRIEF, F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{SHORT_RUN}}}"), 0)).otherwise(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{RUN}}}"), 0))
+    pieces = F.regexp_extract_all(text, F.lit(RUNS), 0)
     return F.transform(pieces, lambda c: F.left(F.md5(c.cast("binary")), F.lit(6)))
 
 
@@ -122,7 +124,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_runs(x: str) -> str:
-    return f"list_transform(CASE WHEN length({x})<{BRIEF} THEN regexp_extract_all({x}, '[^\\n]{{1,{SHORT_RUN}}}') ELSE regexp_extract_all({x}, '[^\\n]{{1,{RUN}}}') END, lambda c: left(md5(c), 6))"
+    return f"list_transform(regexp_extract_all({x}, '{RUNS}'), lambda c: left(md5(c), 6))"
 
 
 def _sql_like(a: str, b: str) -> str:
@@ -130,7 +132,8 @@ def _sql_like(a: str, b: str) -> str:
     return f"CASE WHEN {a}_root = {b}_root THEN 1.0::double WHEN {both} = 0 THEN 0.0::double ELSE 2.0::double * len(list_intersect(list_distinct({a}_runs), list_distinct({b}_runs))) / {both} END"
 
 
-_SQL_ROOT = "sha256(array_to_string(list_transform(string_split_regex({x}, '\\n[ \\t\\r]*\\n'), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ','))"
+_SQL_BETWEEN = "array_to_string(list_transform(regexp_extract_all({x}, '\\n[ \\t\\r]*\\n'), lambda s: sha256(s)), ',')"
+_SQL_ROOT = "sha256(array_to_string(list_transform(string_split_regex({x}, '\\n[ \\t\\r]*\\n'), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',') || ';' || " + _SQL_BETWEEN + ")"
 SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') t FROM documents),
 following AS (SELECT doc_id, t, length(t) n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) nt FROM docs),

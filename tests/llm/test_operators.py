@@ -71,6 +71,15 @@ def test_fingerprint_differences(spark):
     assert [[tuple(x) for x in r.d] for r in got] == [[(0, 1), (1, 1)], [], [], [(1, 0)]]
 
 
+def test_separators_and_lengths(spark):
+    """Blank lines count; texts on either side of any length are cut by one rule; an insertion moves no later run."""
+    words = " ".join(f"lake w{i} stone" for i in range(60))
+    df = spark.createDataFrame([("a\n \nb", "a\n\nb"), ("x" * 95, "x" * 95 + "y"), (words, "new " + words)], "u string, v string")
+    u, v = fingerprints.tree(F.col("u")), fingerprints.tree(F.col("v"))
+    got = df.select((u["root"] == v["root"]).alias("same"), fingerprints.likeness(u, v).alias("near")).collect()
+    assert not any(r.same for r in got) and got[1].near > 0.3 and got[2].near > 0.95
+
+
 def test_edges_of_ranges(spark, tmp_path):
     rows = [(None, "n"), (5, "five"), (5, "fivefive"), (9, "nine nine"), (-3, "minus"), (None, "null id")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
