@@ -19,6 +19,8 @@ from . import common
 
 #: Pieces up to so many characters are remembered, and so many of them in each of two generations, in every Python worker: at most about 350 MB.
 KEEP_CHARS, KEEP = 32, 700_000
+#: Pieces of a text that are looked up at once.
+STEP = 4096
 
 
 @lru_cache(maxsize=2)
@@ -124,17 +126,17 @@ class Codec:
         if ids is None:
             ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= KEEP_CHARS:
-            if len(self.young) >= self.keep:
-                self.old, self.young = self.young, {}
             self.young[piece] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        get, make = self.young.get, self.piece
-        if len(self.young) + len(text) >= self.keep:  # a change of generations in between would leave get behind
-            self.old, self.young = self.young, {}
-            get = self.young.get
-        return np.frombuffer(b"".join([get(p) or make(p) for p in (self.plain if text.isascii() else self.split)(text)]), np.int32)
+        pieces, out = (self.plain if text.isascii() else self.split)(text), []
+        for at in range(0, len(pieces), STEP):  # generations change between steps only, so a text of any length can outgrow one by STEP pieces at most
+            if len(self.young) >= self.keep:
+                self.old, self.young = self.young, {}
+            get, make = self.young.get, self.piece
+            out.append(b"".join([get(p) or make(p) for p in pieces[at : at + STEP]]))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
