@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,29 +17,29 @@ SEED = 42
 HALF = 32
 #: Buckets with more distinct fingerprints than this are linked by shared neighbours instead of pair by pair; the links' components are the same.
 CROWD = 256
-#: Shingle hashes that are counted at once; longer texts take several steps.
-STEP = 1 << 16
+#: Shingles that are made and hashed at once; longer texts take several steps.
+STEP = 1 << 14
 
 
-def shingle_list(text: str, size: int) -> list[bytes]:
-    """The shingles of a text, repeats included; all its words as one if they are fewer than a shingle, none without words."""
+def shingle_steps(text: str, size: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, repeats included, STEP at a time; all its words as one if they are fewer than a shingle, none without words."""
     words = text.encode().lower().split()
-    if len(words) < size:
-        return [b" ".join(words)] if words else []
-    return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+    if 0 < len(words) < size:
+        yield [b" ".join(words)]
+    for at in range(0, len(words) - size + 1, STEP):
+        part = words[at : at + STEP + size - 1]
+        yield list(map(b" ".join, zip(*(part[i:] for i in range(size)), strict=False)))
 
 
 def fingerprint(text: str, size: int = 3) -> int:
-    """The fingerprint of one text, as a signed 64-bit integer."""
-    shingles = shingle_list(text, size)
-    if not shingles:
-        return 0
-    votes = np.zeros(64, np.int64)
+    """The fingerprint of one text, as a signed 64-bit integer; zero without words."""
+    votes, n = np.zeros(64, np.int64), 0
     hash_of = xxhash.xxh64_intdigest
-    for at in range(0, len(shingles), STEP):
-        part = np.fromiter((hash_of(s, SEED) for s in shingles[at : at + STEP]), np.uint64)
+    for shingles in shingle_steps(text, size):
+        n += len(shingles)
+        part = np.fromiter((hash_of(s, SEED) for s in shingles), np.uint64, len(shingles))
         votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "simhash", size: int = 3) -> DataFrame:
@@ -113,9 +115,9 @@ _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, size=BANDS * ROWS, d
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a text; of all its words if they are fewer than a shingle."""
-    shingles = set(shingle_list(text, size))
-    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    """Hashes of the distinct shingles of a text, ascending; of all its words if they are fewer than a shingle."""
+    parts = [np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in set(shingles)), np.uint64) for shingles in shingle_steps(text, size)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
 def _bands_of(h: np.ndarray) -> list[int]:
@@ -156,7 +158,7 @@ def _marks(size: int, similarity: float, shared):
         prints, bands, whole, sizes, prefixes, bits = [], [], [], [], [], []
         for t in texts.to_pylist():
             prints.append(fingerprint(t))
-            h = np.sort(shingle_hashes(t, size))
+            h = shingle_hashes(t, size)
             bands.append(_bands_of(h))
             whole.append(xxhash.xxh3_128_digest(h.tobytes()))
             sizes.append(len(h))
