@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import workers
 
-#: Upper bound of rows in one Arrow batch sent to Python workers; texts are whole, so batches stay small.
-ARROW_ROWS = 512
+#: Upper bounds of rows and bytes in one Arrow batch sent to Python workers; a text is whole, so one of more bytes is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +41,7 @@ def small_batches(spark: SparkSession) -> None:
     workers.ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set(_BYTES, str(ARROW_BYTES))
 
 
 #: Removes the shuffle files of a query when it has ended; what materialize() writes is read from its table, never from these.
