@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Pieces that a worker remembers in the last stage.
-KEEP = 120_000
+KEEP = 60_000
 
 STAGES = [
     ("quality classifier", keep_quality),
