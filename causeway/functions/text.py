@@ -40,7 +40,8 @@ def fold_unicode(column: Column, native_only: bool = False) -> Column:
     if native_only:
         return column
     workers.ship()
-    return _ascii(column)
+    plain = ~column.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(F.when(plain, column), _ascii(F.when(~plain, column)))  # only what needs it is sent to Python
 
 
 def normalize(column: Column, native_only: bool = False) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import workers
 from ..functions import text as X
 from . import patterns as P
+from . import vectors as V
 
 _REGISTRY: dict[tuple[str, str], Callable] = {}
 
@@ -73,18 +74,19 @@ def detect_with_model(posts: DataFrame, load: Callable[[], Callable[[list[str]],
 def pair(title: Column, study_first: bool = False) -> Column:
     """(cause, effect, kind) of the first pattern whose phrases are both there and differ after cleaning; null if none fits. kind: negation or regex.
 
-    Every pattern's groups are taken once into an array, which is then cleaned and searched: one small expression instead of nested branches.
+    Patterns are tried in turn: a title that one fits isn't matched with the later ones, and one whose cause isn't there isn't searched for the effect.
     """
     affirmed = list(P.AFFIRMED)
     if study_first:
         affirmed.insert(0, affirmed.pop(P.REPORT))
-    made = []
-    for kind, rows in (("negation", P.NEGATED), ("regex", affirmed)):
-        for pattern, cause, effect in rows:
-            group = lambda g, p=pattern: F.regexp_extract(title, X.FLAGS + p, g)
-            made.append(F.struct(group(cause).alias("cause"), group(effect).alias("effect"), F.lit(kind).alias("kind")))
-    cleaned = F.transform(F.array(*made), lambda s: F.struct(X.clean_phrase(s["cause"]).alias("cause"), X.clean_phrase(s["effect"]).alias("effect"), s["kind"].alias("kind")))
-    return F.get(F.filter(cleaned, lambda s: (s["cause"] != "") & (s["effect"] != "") & (s["cause"] != s["effect"])), F.lit(0))
+
+    def attempt(kind: str, pattern: str, cause: int, effect: int) -> Column:
+        group = lambda g: F.regexp_extract(title, X.FLAGS + pattern, g)
+        cleaned = lambda c: F.struct(X.clean_phrase(c).alias("cause"), X.clean_phrase(group(effect)).alias("effect"), F.lit(kind).alias("kind"))
+        fits = lambda s: F.when((s["cause"] != "") & (s["effect"] != "") & (s["cause"] != s["effect"]), s)
+        return V.let(group(cause), lambda c: F.when(c != "", V.let(cleaned(c), fits)))
+
+    return F.coalesce(*[attempt(kind, *row) for kind, rows in (("negation", P.NEGATED), ("regex", affirmed)) for row in rows])
 
 
 @register("extract", "regex")

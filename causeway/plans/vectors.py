@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, though body is run for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(v: Column) -> Column:
     """v over its length, which counts as 1e-9 at least, so zero vectors stay zero."""
-    n = F.greatest(F.sqrt(dot(v, v)), F.lit(FLOOR))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return let(F.greatest(F.sqrt(dot(v, v)), F.lit(FLOOR)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def means(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -37,6 +43,7 @@ def nearest(df: DataFrame, key: str, vector: str, centers: DataFrame, group: str
     table = centers.select(F.struct(F.col(group).alias("g"), unit(F.col(vector)).alias("c")).alias("s")).limit(most + 1).agg(F.array_sort(F.collect_list("s")).alias("_all"))
     if centers.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} centroids; cluster them first")
-    scored = df.crossJoin(F.broadcast(table)).select(key, F.transform("_all", lambda s: F.struct(dot(unit(F.col(vector)), s["c"]).alias("cosine"), (-s["g"]).alias("k"))).alias("_s"))  # one row
+    against = let(unit(F.col(vector)), lambda u: F.transform("_all", lambda s: F.struct(dot(u, s["c"]).alias("cosine"), (-s["g"]).alias("k"))))
+    scored = df.crossJoin(F.broadcast(table)).select(key, against.alias("_s"))  # one row
     best = scored.select(key, F.array_max("_s").alias("b"))
     return best.select(key, (-F.col("b.k")).alias(group), F.col("b.cosine").alias("cosine"))
