@@ -20,6 +20,8 @@ WINDOW, GRAM, CHUNK = 20, 8, 1 << 20
 STEP, WORDS = 1 << 16, 1 << 19
 #: Passages in a shard; anchors with more different passages than CROWD go by windows.
 SHARD, CROWD = 2000, 512
+#: Numbers that give other orders of grams, for the anchors of crowded passages.
+ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: The key that rows without one count as: before all others.
 NO_KEY = -(1 << 63)
 _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -57,12 +59,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(h: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors(h: np.ndarray, window: int = WINDOW, order: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """(at, hash, passage) of the anchors of a text of these word hashes, some windows at a time.
 
     Every window of `window` words has one anchor: the gram in it of least hash, the first of equal ones. So equal windows have equal anchors at equal places. The windows
     of one anchor follow each other; the words from the first's start to the last's end are its passage. `at` holds the anchor's place and, in four bits
-    each, how far before it the first and the last of its windows start.
+    each, how far before it the first and the last of its windows start. Another `order` of the grams gives other anchors.
     """
     reach = window - GRAM + 1
     for at in range(0, len(h) - window + 1, STEP):
@@ -70,7 +72,7 @@ def anchors(h: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, .
         grams = part[: len(part) - GRAM + 1].copy()
         for k in range(1, GRAM):
             grams = grams * _ODD + part[k : len(part) - GRAM + 1 + k]
-        grams = _mixed(grams)
+        grams = _mixed(grams ^ np.uint64(order))
         places = np.lib.stride_tricks.sliding_window_view(grams, reach).argmin(axis=1)
         places += np.arange(len(places))
         first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
@@ -225,6 +227,39 @@ def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
     return docs.join(common.sized(again), "id", "left").select("id", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("bigint").alias("tie"), "text")
 
 
+_PARTS = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "tie", "start", "a", "c")] + [T.StructField("words", T.ArrayType(T.LongType()))])
+
+
+def _part_passages(window: int, order: int):
+    """Passages (id, tie, start, a, words) to the passages of their windows' anchors in another order of grams; a goes into the new anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                h = np.array(row["words"], np.int64)
+                for at, a, c in anchors(h.view(np.uint64), window, order):
+                    place = at >> 8
+                    first, last = (place - (at >> 4 & 15)).tolist(), (place - (at & 15) + window).tolist()
+                    both = _mixed(a ^ np.uint64(row["a"] & (1 << 64) - 1) * _ODD).view(np.int64).tolist()
+                    out += [(row["id"], row["tie"], row["start"] + i, x, y, h[i:j]) for i, j, x, y in zip(first, last, both, c.view(np.int64).tolist(), strict=True)]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns[:5]] + [pa.array(list(columns[5]), pa.list_(pa.int64()))], names=_PARTS.names)
+
+    return run
+
+
+def _parted(passages: DataFrame, window: int, order: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(spans, passages, tables): crowded passages divided by second anchors of their windows. Equal parts are repeated but for the first; parts with an anchor of their own are done."""
+    rows, path = common.materialize(passages.select("id", "tie", "start", "a", "words").mapInArrow(_part_passages(window, order), _PARTS), "parts")
+    kinds, k_path = common.materialize(rows.groupBy(F.struct("a", "c").alias("k")).agg(F.min(F.struct("id", "tie", "start")).alias("f"), F.count("*").alias("n")), "passages")
+    met, m_path = common.materialize(common.spread_join(rows.withColumn("k", F.struct("a", "c")), kinds, "k", common.HUB).withColumn("first", F.struct("id", "tie", "start") == F.col("f")).select("id", "tie", "start", "a", "words", "first"), "parts")
+    several = kinds.groupBy(F.col("k.a").alias("a")).agg(F.count("*").alias("m")).where("m > 1")
+    rest, r_path = common.materialize(met.where("first").join(several, "a").select("id", "tie", "start", "a", "m", "words"), "references")
+    common.discard(rows.sparkSession, path, k_path)
+    return met.where("not first").select("id", "tie", "start", (F.col("start") + F.size("words")).alias("end")), rest, [m_path, r_path]
+
+
 def _window_spans(passages: DataFrame, window: int) -> DataFrame:
     """Spans of windows that stand earlier, by hashes of 128 bits of the windows themselves: for anchors of so many passages that no shard could hold them."""
     at = passages.select("id", "tie", "start", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("i"))
@@ -243,7 +278,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) ->
     3. What is left are anchors with several different passages: the ends of repeated ones, and places of edits. The first place of each such passage is a reference.
        References are dealt to shards by their anchor, so all that can match is in one shard, of bounded size. A shard's suffix automaton is made where the shard
        is; the references are streamed through it for matching statistics, and what first ended elsewhere is repeated.
-    Anchors with more than `crowd` passages (one very common passage between ever new words) would make one shard too large; their windows meet by hash. Both ways are exact.
+    Anchors with more than `crowd` passages (one very common passage between ever new words) would make one shard too large. Their passages are divided by second and third anchors, in
+    other orders of grams, and what is crowded still meets by hashes of its windows. All ways are exact.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -266,12 +302,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) ->
     texts = docs.join(common.sized(marks.select("id").distinct()), "id", "left_semi")
     passages, p_path = common.materialize(texts.join(marks.hint("merge"), ["id", "tie"]).mapInArrow(_cut_passages(window), _PASSAGES), "references")
     common.discard(spark, m_path)
-    shards = max(1, passages.count() // SHARD)
-    dealt = passages.where(F.col("m") <= crowd).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
-    matched, d_path = common.materialize(dealt.drop("a", "m").groupBy("shard").applyInPandas(_match_shard(window), _SPANS), "matched")
-    common_ones, c_path = common.materialize(_window_spans(passages.where(F.col("m") > crowd), window), "windows")
-    common.discard(spark, p_path)
-    return whole.unionByName(matched).unionByName(common_ones), [w_path, d_path, c_path]
+    spans, paths = whole, [w_path]
+    for order in (*ORDERS, None):
+        shards = max(1, passages.count() // SHARD)
+        dealt = passages.where(F.col("m") <= crowd).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
+        matched, d_path = common.materialize(dealt.drop("a", "m").groupBy("shard").applyInPandas(_match_shard(window), _SPANS), "matched")
+        spans, crowded = spans.unionByName(matched), passages.where(F.col("m") > crowd)
+        paths += [d_path, p_path]
+        if crowded.isEmpty():
+            break
+        if order is None:
+            rest, r_path = common.materialize(_window_spans(crowded, window), "windows")
+            spans, paths = spans.unionByName(rest), [*paths, r_path]
+        else:
+            more, passages, (m_path, p_path) = _parted(crowded, window, order)
+            spans, paths = spans.unionByName(more), [*paths, m_path]
+    return spans, paths
 
 
 _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
