@@ -254,7 +254,8 @@ def test_no_words(spark):
 
 
 def test_long_texts_in_pieces(monkeypatch):
-    text = "".join(random.Random(7).choice("abcÀÿ .\n") for _ in range(4000))
+    r = random.Random(7)
+    text = "".join(r.choice("abcÀÿ .\n") for _ in range(4000))
     whole = spelling.runs_of(text)
     monkeypatch.setattr(spelling, "CHUNK", 50)
     assert whole and spelling.runs_of(text) == whole
