@@ -49,12 +49,12 @@ def _moved(edges: DataFrame, places: DataFrame) -> DataFrame:
     return moved.drop("source_cluster_id", "target_cluster_id").withColumnsRenamed({"_s": "source_cluster_id", "_t": "target_cluster_id"})
 
 
-def rollup(edges: DataFrame, clusters: DataFrame, nodes: DataFrame, min_post_count: int = 1, closure: DataFrame | None = None) -> DataFrame:
+def rollup(edges: DataFrame, clusters: DataFrame, nodes: DataFrame, min_post_count: int = 1) -> DataFrame:
     """Leaf edges summed to any set of nodes, levels mixed or not: each leaf counts for the nearest node above it.
 
     Counts add up, so a post counts once for each leaf edge it is in; the mean is that of leaf means weighted by posts, 0 without posts.
     """
-    places = T.nearest(closure if closure is not None else T.closure(clusters), nodes)
+    places = T.nearest(clusters, nodes)
     weight = F.sum("post_count")
     out = _moved(edges, places).groupBy("source_cluster_id", "target_cluster_id").agg(F.sum("relation_count").alias("relation_count"), weight.alias("post_count"), F.coalesce(F.try_divide(F.sum(F.col("avg_score") * F.col("post_count")), weight), F.lit(0.0)).alias("avg_score"), F.sum("countercausal_count").alias("countercausal_count"))
     return strong(out, min_post_count)
@@ -62,7 +62,7 @@ def rollup(edges: DataFrame, clusters: DataFrame, nodes: DataFrame, min_post_cou
 
 def exact_rollup(store: Store, nodes: DataFrame, min_post_count: int = 1, include_no_rel: bool = True) -> DataFrame:
     """As rollup(), but from the relations themselves: distinct relations and posts of each pair of nodes, mean score per row."""
-    places = T.nearest(T.closure(store.clusters), nodes)
+    places = T.nearest(store.clusters, nodes)
     return strong(_weights(_moved(pairs(store, include_no_rel), places).groupBy("source_cluster_id", "target_cluster_id")), min_post_count)
 
 

@@ -12,9 +12,13 @@ from . import tree as T
 SORTS = {"score": "score", "date": "created_utc", "comments": "num_comments"}
 
 
+#: The most posts of a page: what a page looks up is broadcast, so it has a bound.
+MOST = 1000
+
+
 def _page(df: DataFrame, column: str, limit: int, offset: int) -> DataFrame:
-    if limit < 1 or offset < 0:
-        raise ValueError("limit is at least 1, offset at least 0")
+    if not 1 <= limit <= MOST or offset < 0:
+        raise ValueError(f"limit is 1 to {MOST}, offset at least 0")
     return df.orderBy(F.col(column).desc(), "id").offset(offset).limit(limit)
 
 
@@ -22,31 +26,36 @@ def member_relations(store: Store, cluster: int, role: str | None = None, descen
     """(relation_id): relations with a membership in a cluster; descend: or in one below it."""
     members = store.members.where(F.col("role") == role) if role else store.members
     if descend:
-        inside = T.descendants(T.closure(store.clusters), cluster).select(F.col("id").alias("cluster_id"))
+        inside = T.descendants(store.clusters, cluster).select(F.col("id").alias("cluster_id"))
         return members.join(inside, "cluster_id", "left_semi").select("relation_id").distinct()
     return members.where(F.col("cluster_id") == cluster).select("relation_id").distinct()
 
 
 def edge_relations(store: Store, source: int, target: int) -> DataFrame:
-    """(relation_id): relations whose cause is in or below source and whose effect is in or below target."""
-    return member_relations(store, source, "cause", True).join(member_relations(store, target, "effect", True), "relation_id", "left_semi")
+    """(relation_id): relations whose cause is in or below source and whose effect is in or below target; found in one pass over the members."""
+    ends = (("cause", source, 1), ("effect", target, 2))
+    wanted = [T.descendants(store.clusters, node).select(F.col("id").alias("cluster_id"), F.lit(role).alias("role"), F.lit(bit).alias("_bit")) for role, node, bit in ends]
+    met = store.members.join(wanted[0].unionByName(wanted[1]), ["cluster_id", "role"])
+    return met.groupBy("relation_id").agg(F.bit_or("_bit").alias("_bits")).where("_bits = 3").select("relation_id")
 
 
 def first_relations(store: Store, chosen: DataFrame) -> DataFrame:
-    """One row per post among the chosen relations: the relation of least id. The least is found before the shuffle, without a sort."""
-    mine = store.relations.join(chosen.select(F.col("relation_id").alias("id")), "id", "left_semi")
-    return mine.groupBy("post_id").agg(F.min_by(F.struct(*mine.columns), "id").alias("_r")).select("_r.*")
+    """(post_id, id): of each post the least id among the chosen relations (relation_id). Only ids are shuffled."""
+    mine = store.relations.select("id", "post_id").join(chosen.select(F.col("relation_id").alias("id")), "id", "left_semi")
+    return mine.groupBy("post_id").agg(F.min("id").alias("id"))
 
 
-def _with_posts(store: Store, first: DataFrame) -> DataFrame:
-    r = first.select("post_id", F.col("id").alias("relation_id"), "cause_text", "effect_text", "relation_type", (F.col("relation_type") == "countercausal").alias("is_countercausal"))
-    return store.posts.withColumn("post_id", F.col("id")).join(r, "post_id").drop("post_id")
+def _shown(store: Store, first: DataFrame, column: str, limit: int, offset: int) -> DataFrame:
+    """A page of posts by a column, with the texts of their first relations: the page is cut on ids, then its relations are looked up."""
+    ids = first.select(F.col("post_id").alias("id"), F.col("id").alias("relation_id"))
+    page = F.broadcast(_page(store.posts.join(ids, "id"), column, limit, offset))
+    r = store.relations.select(F.col("id").alias("relation_id"), "cause_text", "effect_text", "relation_type", (F.col("relation_type") == "countercausal").alias("is_countercausal"))
+    return page.join(r, "relation_id").select(*store.posts.columns, "relation_id", "cause_text", "effect_text", "relation_type", "is_countercausal").orderBy(F.col(column).desc(), "id")
 
 
 def cluster_posts(store: Store, cluster: int, sort: str = "score", limit: int = 20, offset: int = 0, descend: bool = False) -> DataFrame:
     """A page of a cluster's posts, each with its first relation. sort: score, date or comments; anything else means score."""
-    found = _with_posts(store, first_relations(store, member_relations(store, cluster, None, descend)))
-    return _page(found, SORTS.get(sort, "score"), limit, offset)
+    return _shown(store, first_relations(store, member_relations(store, cluster, None, descend)), SORTS.get(sort, "score"), limit, offset)
 
 
 def cluster_total(store: Store, cluster: int, descend: bool = False) -> DataFrame:
@@ -56,7 +65,7 @@ def cluster_total(store: Store, cluster: int, descend: bool = False) -> DataFram
 
 def edge_posts(store: Store, source: int, target: int, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of the posts behind an edge at any levels, by score."""
-    return _page(_with_posts(store, first_relations(store, edge_relations(store, source, target))), "score", limit, offset)
+    return _shown(store, first_relations(store, edge_relations(store, source, target)), "score", limit, offset)
 
 
 def edge_total(store: Store, source: int, target: int) -> DataFrame:
@@ -94,7 +103,7 @@ def top_events(store: Store, cluster: int, n: int = 20, descend: bool = False) -
     """The n most frequent event texts of a cluster; ties by text."""
     members = store.members.where(F.col("cluster_id") == cluster)
     if descend:
-        inside = T.descendants(T.closure(store.clusters), cluster).withColumnRenamed("id", "cluster_id")
+        inside = T.descendants(store.clusters, cluster).withColumnRenamed("id", "cluster_id")
         members = store.members.join(inside, "cluster_id", "left_semi")
     return members.groupBy("event_text").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "event_text").limit(n)
 

@@ -5,41 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Depth that a closure follows unless told otherwise; deeper trees need a greater one, cycles end there.
-DEPTH = 16
+from . import doubling
 
 
-def closure(clusters: DataFrame, max_depth: int = DEPTH) -> DataFrame:
-    """(node, ancestor, depth): every node with itself at depth 0 and all above it; the least depth of each pair.
+def closure(clusters: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): every node with itself at depth 0 and all above it, at their least depth; parents that don't exist are ancestors too, as ids.
 
-    A recursive query walks up all nodes at once, a level a step. A cycle of parents ends at max_depth and yields no pair twice. Parents that don't exist
-    are ancestors too, as ids. Closures of over a million rows need a higher spark.sql.cteRecursionRowLimit; otherwise the query fails rather than losing any.
+    Trees of any depth, cycles too: see doubling.ancestors(). It has a row for every pair, so what follows asks for less.
     """
-    walk = """
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT id, id, 0 FROM {tree}
-            UNION ALL
-            SELECT up.node, t.parent_id, up.depth + 1 FROM up JOIN {tree} t ON t.id = up.ancestor WHERE t.parent_id IS NOT NULL AND up.depth < {most})
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor"""
-    return clusters.sparkSession.sql(walk, tree=clusters.select("id", "parent_id"), most=max_depth)
+    pairs = doubling.ancestors(doubling.forest(clusters))
+    ids = clusters.select(F.col("id").alias("parent_id"))
+    strays = clusters.where(F.col("parent_id").isNotNull()).join(ids, "parent_id", "left_anti").select(F.col("id").alias("ancestor"), "parent_id")
+    return pairs.unionByName(pairs.join(strays, "ancestor").select("node", F.col("parent_id").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
 
 
-def nearest(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+def nearest(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, target): each node with the nearest of itself and its ancestors that is in nodes (id); nodes without one are left out."""
-    wanted = nodes.select(F.col("id").alias("ancestor")).distinct()
-    return tree.join(wanted, "ancestor", "left_semi").groupBy("node").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("target"))
+    return doubling.nearest(doubling.forest(clusters), nodes.select(F.col("id").alias("node")))
 
 
-def descendants(tree: DataFrame, node: int) -> DataFrame:
+def descendants(clusters: DataFrame, node: int) -> DataFrame:
     """(id): a node and all below it."""
-    return tree.where(F.col("ancestor") == node).select(F.col("node").alias("id"))
+    return nearest(clusters, clusters.where(F.col("id") == node)).select(F.col("node").alias("id"))
 
 
-def member_counts(clusters: DataFrame, members: DataFrame, tree: DataFrame | None = None) -> DataFrame:
-    """clusters with member_count: member rows of the cluster and of all below it, in one pass over the closure; 0 where there are none."""
+def member_counts(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """clusters with member_count: member rows of the cluster and of all below it, added up the tree; 0 where there are none."""
     own = members.groupBy("cluster_id").agg(F.count("*").alias("n")).withColumnRenamed("cluster_id", "node")
-    sums = (tree if tree is not None else closure(clusters)).join(own, "node").groupBy(F.col("ancestor").alias("id")).agg(F.sum("n").alias("_n"))
-    return clusters.drop("member_count").join(sums, "id", "left").withColumn("member_count", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n")
+    counted = doubling.forest(clusters).join(own, "node", "left").select("node", "up", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = doubling.accumulated(counted, "n").select(F.col("node").alias("id"), F.col("n").cast("bigint").alias("member_count"))
+    return clusters.drop("member_count").join(sums, "id")
 
 
 def level_counts(clusters: DataFrame) -> DataFrame:
@@ -73,16 +68,15 @@ def with_labels(df: DataFrame, id_column: str, *sources: DataFrame, out: str = "
     return df.join(best, id_column, "left").withColumn(out, F.coalesce("_s.label", F.concat(F.lit("Cluster "), F.col(id_column).cast("string")))).drop("_s")
 
 
-def collapsed(clusters: DataFrame, expanded: DataFrame, node: int, max_depth: int = DEPTH) -> DataFrame:
+def collapsed(clusters: DataFrame, expanded: DataFrame, node: int) -> DataFrame:
     """(id): what closes with a node: itself and the expanded nodes that are reached from it through expanded nodes only."""
-    open_nodes = clusters.join(expanded.select("id").distinct(), "id", "left_semi")
-    kept = open_nodes.join(open_nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").where(F.col("id") != node).select("id", "parent_id")
-    return closure(kept.unionByName(open_nodes.where(F.col("id") == node).select("id", F.lit(None).cast("bigint").alias("parent_id"))), max_depth).where(F.col("ancestor") == node).select(F.col("node").alias("id"))
+    open_nodes = clusters.join(expanded.select("id").distinct(), "id", "left_semi").select("id", F.when(F.col("id") != node, F.col("parent_id")).alias("parent_id"))
+    return descendants(open_nodes, node)
 
 
-def frontier(clusters: DataFrame, expanded: DataFrame, node: int, max_depth: int = DEPTH) -> DataFrame:
+def frontier(clusters: DataFrame, expanded: DataFrame, node: int) -> DataFrame:
     """(id): the nodes in view below a node: from it down through expanded nodes to those that aren't."""
-    inside = collapsed(clusters, expanded, node, max_depth)
+    inside = collapsed(clusters, expanded, node)
     below = clusters.join(inside.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
     start = clusters.where(F.col("id") == node).select("id")
     return below.unionByName(start).distinct().join(expanded.select("id"), "id", "left_anti")

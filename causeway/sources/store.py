@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import datetime
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,33 +28,43 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table behind what settled() returned, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upserted(old: DataFrame | None, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Rows of both, the last written of each key: new before old; among new ones the greatest `order`, then the greatest row."""
+    """Rows of both, the last written of each key: new before old; among new ones the greatest `order`, then the greatest row. Only the new rows are grouped; old ones stay where they have no new row."""
     columns = new.columns
-    newer = new.withColumn("_batch", F.lit(1))
-    both = newer if old is None else old.select(columns).withColumn("_batch", F.lit(0)).unionByName(newer)
-    last = F.struct("_batch", *([F.col(order)] if order else []), F.struct(*columns).alias("row"))
-    return both.groupBy(key).agg(F.max(last).alias("_last")).select("_last.row.*")
+    last = F.struct(*([F.col(order)] if order else []), F.struct(*columns).alias("row"))
+    newest = new.groupBy(key).agg(F.max(last).alias("_last")).select("_last.row.*")
+    return newest if old is None else old.select(columns).join(newest.select(key), key, "left_anti").select(columns).unionByName(newest)
 
 
 def numbered(new: DataFrame, order: list[str], start: int = 0, id_column: str = "id") -> DataFrame:
     """new with dense ids from start + 1 in the given total order.
 
-    The rows are ranged by the order, counted per range, and numbered inside their range: no task sees more than its own.
+    The rows are written, dealt by ranges of the order and written with their range and place in it; a range's first id follows from the counts of those before, one number for
+    each range. Ids depend on the written table alone, so whatever runs again gives the same; new itself is computed once.
     """
-    spark = new.sparkSession
-    dealt = new.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()).persist()
-    counts = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    spark, rows = new.sparkSession, settled(new, "rows")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    dropped(rows)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     offsets, at = [], start
-    for r, n in counts:
+    for r, n in sorted(tuple(r) for r in dealt.groupBy(part.alias("r")).agg(F.count("*").alias("n")).collect()):
         offsets.append((r, at))
         at += n
-    table = F.broadcast(spark.createDataFrame(offsets, "_range int, _from bigint"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(table, "_range").withColumn(id_column, (F.col("_from") + rank).cast("bigint")).drop("_range", "_from")
+    table = F.broadcast(spark.createDataFrame(offsets, "_range bigint, _from bigint"))
+    return dealt.withColumn("_range", part).join(table, "_range").withColumn(id_column, (F.col("_from") + place + 1).cast("bigint")).drop("_range", "_from", "_at")
 
 
 def updated(old: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -122,9 +131,8 @@ class Tables:
     def log(self, step: str, implementer: str, status: str, run: str | None = None, rows_in: int | None = None, rows_out: int | None = None, error: str | None = None) -> str:
         """Appends an event to the run log; a run's first event gives its id."""
         run = run or uuid.uuid4().hex
-        at = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
-        row = self.spark.createDataFrame([(run, step, implementer, at, rows_in, rows_out, status, error)], "run string, step string, implementer string, at timestamp_ntz, rows_in bigint, rows_out bigint, status string, error_msg string")
-        row.write.mode("append").parquet(f"{self.root}/pipeline_runs")
+        row = self.spark.createDataFrame([(run, step, implementer, rows_in, rows_out, status, error)], "run string, step string, implementer string, rows_in bigint, rows_out bigint, status string, error_msg string")
+        row.withColumn("at", F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")).write.mode("append").parquet(f"{self.root}/pipeline_runs")
         return run
 
     def runs(self) -> DataFrame:
