@@ -132,3 +132,34 @@ titles AS MATERIALIZED (SELECT cast(o_orderkey AS varchar) id, CASE o_orderkey %
   WHEN 4 THEN 'The '||c||' increases the '||e||', says study' WHEN 5 THEN c||' prevents '||e||'.' WHEN 6 THEN 'Study shows that '||c||' reduces '||e WHEN 7 THEN e||' due to '||c WHEN 8 THEN c||' does not cause '||e
   WHEN 9 THEN c||' cannot improve '||e WHEN 10 THEN c||' is not linked to '||e WHEN 11 THEN 'No significant evidence for '||c||' and '||e WHEN 12 THEN 'New work finds no link between '||c||' and '||e
   WHEN 13 THEN 'Video: '||c||' causes '||e WHEN 14 THEN c||' and '||e ELSE 'short one' END title, cast(floor(o_totalprice/1000) AS bigint) score, c_name author FROM named)"""
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables as a parser of the titles would supply them, by a rule: (texts, tokens, phrases, spans).
+
+    Tokens are the words of a title; even ones depend on the word before, odd ones on the word at half their place. Phrases are every three words, every six, and every fifth word alone;
+    spans are all words and all pairs of neighbours.
+    """
+    texts = titles(spark, sf_dir).select(F.col("id").alias("doc"), F.col("title").alias("text"))
+    words = F.split("text", " ")
+    before = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.array_join(F.slice(words, 1, i), " ")) + (i > 0).cast("int"))
+    rows = texts.select("doc", F.posexplode(F.arrays_zip(words.alias("word"), before.alias("start"))).alias("i", "t")).select("doc", "i", F.col("t.start").alias("start"), (F.col("t.start") + F.length("t.word")).alias("end"), F.col("t.word").alias("text"))
+    i = F.col("i")
+    tokens = rows.withColumn("head", F.when(i == 0, i).when(i % 2 == 0, i - 1).otherwise(F.floor((i - 1) / 2).cast("int")))
+    last = rows.groupBy("doc").agg(F.max("i").alias("n"))
+    to = rows.select("doc", F.col("i").alias("j"), "end")
+
+    def runs(starts: DataFrame, length: int) -> DataFrame:
+        return starts.join(last, "doc").select("doc", "start", F.least(F.col("i") + length - 1, "n").alias("j")).join(to, ["doc", "j"]).select("doc", "start", "end")
+
+    phrases = runs(rows.where(i % 3 == 0), 3).unionByName(runs(rows.where(i % 6 == 0), 6)).unionByName(runs(rows.where(i % 5 == 4), 1))
+    return texts, tokens, phrases, runs(rows, 1).unionByName(runs(rows, 2))
+
+
+#: The same for the oracle.
+PARSED = B + """,
+cut AS MATERIALIZED (SELECT id doc, title, string_split(title, ' ') ws FROM titles),
+tokens AS MATERIALIZED (SELECT doc, i, s, s+length(w) e, w, n, CASE WHEN i=0 THEN 0 WHEN i%2=0 THEN i-1 ELSE (i-1)//2 END head FROM (SELECT doc, i, len(ws)-1 n, ws[i+1] w, length(array_to_string(ws[1:i], ' ')) + CASE WHEN i>0 THEN 1 ELSE 0 END s FROM (SELECT *, unnest(range(0, len(ws))) i FROM cut))),
+phrases AS (SELECT a.doc, a.s, b.e FROM tokens a JOIN tokens b ON b.doc=a.doc AND b.i=least(a.i+2, a.n) WHERE a.i%3=0 UNION SELECT a.doc, a.s, b.e FROM tokens a JOIN tokens b ON b.doc=a.doc AND b.i=least(a.i+5, a.n) WHERE a.i%6=0 UNION SELECT doc, s, e FROM tokens WHERE i%5=4),
+spans AS (SELECT doc, s, e FROM tokens UNION SELECT a.doc, a.s, b.e FROM tokens a JOIN tokens b ON b.doc=a.doc AND b.i=least(a.i+1, a.n)),
+enclosing AS MATERIALIZED (SELECT x.doc, x.s, x.e, p.s ps, p.e pe, p.s<=x.s AND x.e<=p.e covers FROM spans x JOIN phrases p ON p.doc=x.doc AND ((p.s<=x.s AND x.e<=p.e) OR (p.e=x.e AND p.s>x.s)))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 import pandas as pd
@@ -119,6 +121,16 @@ def tokens(column: Column) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit("[a-z]{3,}"), 0)
 
 
+def words(column: Column) -> Column:
+    """Runs of letters a to z and digits, in lower case."""
+    return F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), 0)
+
+
+def words_of(text: str) -> list[str]:
+    """words() of a Python string."""
+    return re.findall("[a-z0-9]+", text.lower())
+
+
 def prompt(template: str, text: Column, span: Column) -> Column:
     """template with {text} and {span} filled in; braces in the values are not read again."""
     made, rest = [], template

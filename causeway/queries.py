@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +14,11 @@ from .functions import text as S
 from .functions import urls as U
 from .operators import edges as E
 from .operators import evidence as V
+from .operators import maintenance, paths, phrases
 from .operators import tree as T
 from .operators import views as G
 from .plans import analyze, patterns, steps, vectors
+from .sources import database
 from .sources import posts as P
 from .sources import store as D
 
@@ -26,7 +29,7 @@ PAIRS = """pairs AS MATERIALIZED (SELECT a.cluster_id s, b.cluster_id t, r.id ri
   JOIN members b ON b.relation_id=r.id AND b.role='effect' JOIN posts p ON p.id=r.post_id WHERE a.cluster_id<>b.cluster_id)"""
 WEIGHTS = "count(DISTINCT rid) relation_count, count(DISTINCT pid) post_count, avg(score) avg_score, cast(count(*) FILTER (relation_type='countercausal') AS bigint) countercausal_count"
 EDGES = f"{PAIRS}, edges AS MATERIALIZED (SELECT s source_cluster_id, t target_cluster_id, {WEIGHTS} FROM pairs GROUP BY 1, 2)"
-CLOSURE = "closure(node, ancestor, depth) AS (SELECT id, id, 0 FROM clusters UNION ALL SELECT node, c.parent_id, depth+1 FROM closure JOIN clusters c ON c.id=ancestor WHERE c.parent_id IS NOT NULL AND depth<16)"
+CLOSURE = "closure(node, ancestor, depth) AS (SELECT id, id, 0 FROM clusters UNION ALL SELECT node, c.parent_id, depth+1 FROM closure JOIN clusters c ON c.id=ancestor WHERE c.parent_id IS NOT NULL)"
 COUNTED = f"{CLOSURE}, counted AS (SELECT c.*, cast(coalesce(n, 0) AS bigint) member_count FROM clusters c LEFT JOIN (SELECT ancestor, count(*) n FROM closure JOIN members ON cluster_id=node GROUP BY 1) ON ancestor=id)"
 PLACES = "places AS (SELECT node, arg_min(ancestor, depth) target FROM closure JOIN nodes ON ancestor=nodes.id GROUP BY 1)"
 
@@ -128,6 +131,46 @@ def _(spark, d):
     return T.member_counts(s.clusters, s.members).select("id", "label", "level", "member_count")
 
 
+def _database(spark) -> database.Database:
+    """A new database in the shared folder."""
+    return database.Database(spark, f"{D.shared_dir(spark)}/database-{uuid.uuid4().hex}")
+
+
+@add("s8_bucketed_merge", "SELECT id, title, CASE WHEN cast(id AS bigint)%4=0 THEN score+1 ELSE score END score FROM posts WHERE cast(id AS bigint)%11<>0 UNION ALL SELECT id||'n', title, score FROM posts WHERE cast(id AS bigint)%4=0")
+def _(spark, d):
+    db = _database(spark)
+    old = X.posts(spark, d).select("id", "title", "score")
+    with db.begin() as tx:
+        tx.create("posts", old.schema, ["id"], 16)
+        tx.replace("posts", old)
+    some = old.where(F.col("id").cast("bigint") % 4 == 0)
+    with db.begin() as tx:
+        tx.merge("posts", some.withColumn("score", F.col("score") + 1).unionByName(some.withColumn("id", F.concat("id", F.lit("n")))), old.where(F.col("id").cast("bigint") % 11 == 0).select("id").join(some.select("id"), "id", "left_anti"))
+    with db.begin() as tx:
+        tx.merge("posts", gone=old.where(F.col("id").cast("bigint") % 11 == 0).select("id"))
+    return db.read("posts")
+
+
+LIVE = """posts2 AS (SELECT id, CASE WHEN cast(id AS bigint)%5=0 THEN score+1000 ELSE score END score FROM posts),
+  relations2 AS (SELECT id, post_id, CASE WHEN id%7=0 THEN 'countercausal' ELSE relation_type END relation_type FROM relations WHERE id%13<>0),
+  members2 AS (SELECT relation_id, role, CASE WHEN relation_id%11=0 AND role='cause' THEN 100+(cluster_id-99)%25 ELSE cluster_id END cluster_id FROM members)"""
+
+
+@add("s16_incremental_edges", f"{LIVE}, pairs AS (SELECT a.cluster_id s, b.cluster_id t, r.id rid, r.post_id pid, p.score, r.relation_type FROM relations2 r JOIN members2 a ON a.relation_id=r.id AND a.role='cause' JOIN members2 b ON b.relation_id=r.id AND b.role='effect' JOIN posts2 p ON p.id=r.post_id WHERE a.cluster_id<>b.cluster_id), edges AS (SELECT s source_cluster_id, t target_cluster_id, {WEIGHTS} FROM pairs GROUP BY 1, 2) SELECT {EDGE_ROW} FROM edges")
+def _(spark, d):
+    """A first load and three batches: new relations; changed ones, moved members and scores; ended ones. It equals a rebuild of what the tables hold in the end."""
+    s, live = X.store(spark, d), maintenance.LiveEdges(_database(spark), 16)
+    posts, relations = s.posts.select("id", "score"), s.relations.select("id", "post_id", "relation_type")
+    members = s.members.select("relation_id", "cluster_id", "role")
+    late, of = F.col("id") % 10 == 3, F.col("relation_id") % 10 == 3
+    live.apply(posts, relations.where(~late), members.where(~of))
+    live.apply(relations=relations.where(late), members=members.where(of))
+    moved = F.when((F.col("role") == "cause"), 100 + (F.col("cluster_id") - 99) % 25).otherwise(F.col("cluster_id"))
+    live.apply(posts.where(F.col("id").cast("bigint") % 5 == 0).withColumn("score", F.col("score") + 1000), relations.where("id % 7 = 0").withColumn("relation_type", F.lit("countercausal")), members.where("relation_id % 11 = 0").withColumn("cluster_id", moved))
+    live.apply(gone=relations.where("id % 13 = 0").select("id"))
+    return rounded(live.leaf_edges())
+
+
 @add("s17_conform", "SELECT id, post_id, cause_text, CASE WHEN relation_type='countercausal' THEN 'countercausal' ELSE 'causal' END relation_type, '' cause_canonical, 1.0::double confidence FROM relations")
 def _(spark, d):
     legacy = X.relations(spark, d).select("id", "post_id", "cause_text", "effect_text", "cause_norm", "effect_norm", (F.col("relation_type") == "countercausal").cast("int").alias("is_countercausal"))
@@ -429,7 +472,7 @@ def _(spark, d):
 @add("j15_nearest", f"{CLOSURE}, nodes AS ({MIXED}), {PLACES} SELECT node, target FROM places")
 def _(spark, d):
     c = X.clusters(spark, d)
-    return T.nearest(T.closure(c), c.where("parent_id = 11 or level = 1"))
+    return T.nearest(c, c.where("parent_id = 11 or level = 1"))
 
 
 @add("j19_labels", "SELECT id, coalesce(label, 'Cluster '||id) label FROM (SELECT id, label FROM clusters WHERE level<2 UNION ALL SELECT 999, NULL)")
@@ -612,6 +655,53 @@ def _(spark, d):
     return E.two_hops(E.leaf_edges(X.store(spark, d)), 101, 117, 60)
 
 
+FROM_WORDS, TO_WORDS = "red widget nation", "nation 7"
+
+
+def _matching_sql(query: str) -> str:
+    some = sorted(set(S.words_of(query)))
+    return f"SELECT id, sum(weight) weight FROM word_index WHERE word IN ({', '.join(repr(w) for w in some)}) GROUP BY 1 HAVING count(*)={len(some)}"
+
+
+WORD_INDEX = f"word_index AS (SELECT word, id, cast(sum(weight) AS bigint) weight FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+'))) word, {paths.LABEL} weight FROM clusters UNION ALL SELECT cluster_id, unnest(list_distinct(regexp_extract_all(lower(event_text), '[a-z0-9]+'))), 1 FROM members) GROUP BY 1, 2)"
+PATHS = f"""{WORD_INDEX},
+  sources AS ({_matching_sql(FROM_WORDS)}), targets AS ({_matching_sql(TO_WORDS)}), walk(source, node, hops, width, path) AS (SELECT id, id, 0, 9223372036854775807, [id] FROM sources UNION ALL SELECT source, target_cluster_id, hops+1, least(width, post_count), list_append(path, target_cluster_id) FROM walk JOIN edges ON source_cluster_id=node WHERE hops<4 AND post_count>=92),
+  best AS (SELECT source, node target, width, hops, path FROM walk JOIN targets ON node=targets.id WHERE hops>0 AND source<>node QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY width DESC, hops, path)=1)"""
+
+
+@add("p2_path_search", f"{EDGES}, {PATHS} SELECT source, target, width, hops::bigint hops, array_to_string(path, '-') AS path, cast(a.weight+b.weight AS bigint) AS match FROM best JOIN sources a ON a.id=source JOIN targets b ON b.id=target")
+def _(spark, d):
+    s = X.store(spark, d)
+    found = paths.search(s, E.leaf_edges(s), FROM_WORDS, TO_WORDS, 4, 92)
+    return found.select("source", "target", "width", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.transform("path", lambda n: n.cast("string")), "-").alias("path"), "match")
+
+
+@add("p2_word_index", f"{WORD_INDEX} SELECT word, id, weight FROM word_index")
+def _(spark, d):
+    return paths.word_index(X.store(spark, d))
+
+
+# Phrases ------------------------------------------------------------------------------------------------------------
+
+
+@add("j13_enclosing_phrases", 'SELECT doc, s AS start, e AS "end", ps p_start, pe p_end, covers FROM enclosing', X.PARSED)
+def _(spark, d):
+    _, _, some, spans = X.parsed(spark, d)
+    return phrases.enclosing(spans, some)
+
+
+@add("a23_smallest_phrase", """best AS (SELECT doc, s, e, ps, pe FROM enclosing WHERE covers QUALIFY row_number() OVER (PARTITION BY doc, s, e ORDER BY pe-ps, ps)=1), part AS (SELECT doc, s, e, ps, pe FROM enclosing x WHERE NOT covers AND NOT EXISTS (SELECT 1 FROM best b WHERE b.doc=x.doc AND b.s=x.s AND b.e=x.e) QUALIFY row_number() OVER (PARTITION BY doc, s, e ORDER BY ps)=1),
+  hung AS (SELECT p.* FROM part p JOIN cut c ON c.doc=p.doc WHERE EXISTS (SELECT 1 FROM tokens t JOIN tokens h ON h.doc=t.doc AND h.i=t.head WHERE t.doc=p.doc AND t.s>=p.ps AND t.s<p.pe AND h.w=rtrim(substr(title, p.s+1, p.ps-p.s)))) SELECT doc, s AS start, e AS "end", ps p_start, pe p_end FROM (SELECT * FROM best UNION ALL SELECT * FROM hung)""", X.PARSED)
+def _(spark, d):
+    texts, tokens, some, spans = X.parsed(spark, d)
+    return phrases.smallest_phrase(spans, some, tokens, texts)
+
+
+@add("a24_subtree_end", "up(doc, i, above) AS (SELECT doc, i, i FROM tokens UNION ALL SELECT up.doc, up.i, t.head FROM up JOIN tokens t ON t.doc=up.doc AND t.i=above WHERE t.head<>t.i) SELECT doc, above i, max(i) AS last FROM up GROUP BY 1, 2", X.PARSED)
+def _(spark, d):
+    return phrases.reach(X.parsed(spark, d)[1])
+
+
 # Text ---------------------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from causeway import schemas
 from causeway.plans import hierarchy, steps, vectors
 from causeway.plans.pipeline import Pipeline
+from causeway.sources.database import Database
 from causeway.sources.store import Tables
 from causeway.streaming.ingest import ingest
 
@@ -31,7 +32,9 @@ def test_pipeline(spark, corpus, tmp_path, infer):
     assert [r.n for r in schemas.violations(s.posts, s.relations, s.clusters, s.members).collect()] == [0] * 9
     tops = s.clusters.where("parent_id is null").persist()
     assert {r.level for r in tops.collect()} == {2} and tops.agg(F.sum("member_count")).first()[0] == 180
-    assert p.tables.runs().where("status = 'done'").count() == 4
+    runs = {r.step: r for r in p.tables.runs().where("status = 'done'").collect()}
+    assert {k: (r.rows_in, r.rows_out) for k, r in runs.items() if k != "infer"} == {"detect": (91, 90), "extract": (90, 90), "canonize": (90, 90)}
+    assert runs["infer"].rows_out == s.clusters.count() and all(r.finished_at >= r.started_at for r in runs.values())
     p.run(2)
     assert p.store().relations.count() == 90  # a step run again replaces its table
 
@@ -42,10 +45,15 @@ def test_unknown_implementation():
 
 
 def test_stream(spark, corpus, tmp_path):
-    tables = Tables(spark, str(tmp_path / "t"))
+    db = Database(spark, f"file://{tmp_path}/t")
     for _ in range(2):
-        ingest(spark, corpus, tables, str(tmp_path / "c"), max_files=1).awaitTermination()
-    assert tables.read("posts").count() == 90
+        ingest(spark, corpus, db, str(tmp_path / "c"), max_files=1).awaitTermination()
+    assert db.read("posts").count() == 90
+    last = db.version()
+    # the same files under a new checkpoint say nothing new: commits name their batches, and no bucket
+    ingest(spark, corpus, db, str(tmp_path / "d"), max_files=1).awaitTermination()
+    assert db.read("posts").count() == 90 and db.version() > last
+    assert not any(b for n in range(last + 1, db.version() + 1) for t, b in db.state(n)["wrote"].items() if not t.startswith("mark:"))
 
 
 def test_ward_against_plain_search():
