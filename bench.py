@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from causeway import queries
 
-HEADLINE = ("a1_leaf_edges", "a2_rollup_top", "a2_rollup_mixed", "a6_member_counts", "f4_detect_regex", "a12_cluster_label", "n5_edge_posts", "t2_posts_by_score", "a10_centroids", "j14_nearest_centroid")
+HEADLINE = ("a1_leaf_edges", "a2_rollup_top", "a2_rollup_mixed", "a6_member_counts", "f4_detect_regex", "a12_cluster_label", "n5_edge_posts", "t2_posts_by_score", "a10_centroids", "j14_nearest_centroid", "x3_extract_pairs")
 
 
 def main() -> None:

@@ -1,17 +1,13 @@
-"""Text expressions: cleaning, spans, sentences, markers, tokens and labels. All are native columns but fold_unicode()'s slow path."""
+"""Text expressions: cleaning, spans, sentences, markers, tokens and labels. All are native columns."""
 
 from __future__ import annotations
 
+import functools
 import re
-
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .. import workers
 
 #: Every pattern that models text gets these: case, Unicode classes, and only \n as a line end.
 FLAGS = "(?iuUd)"
@@ -32,23 +28,41 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _ascii(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
+@functools.cache
+def _folds() -> tuple[str, str, str, str, int]:
+    """From Unicode's own tables: the characters that one ASCII letter stands for and these letters; those that several stand for, and these, each as wide as the longest."""
+    one, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if folded:
+            (one if len(folded) == 1 else several)[chr(code)] = folded
+    width = max(map(len, several.values()))
+    return "".join(one), "".join(one.values()), "".join(several), "".join(v.ljust(width, _PAD) for v in several.values()), width
+
+
+#: Fills up folded letters; no character folds to it.
+_PAD = "\x01"
+
+
+def fold_unicode(column: Column) -> Column:
+    """Letters without marks and compatibility forms as the letters they stand for; what has no ASCII form is dropped.
+
+    Most characters have one letter and are translated at once. Where others are left, the text is taken apart, and each of them looked up in one constant.
+    """
+    singles, letters, several, packed, width = _folds()
+    plain = F.translate(column, singles, letters)
 
+    def letter(c: Column) -> Column:
+        at = F.call_function("locate", c, F.lit(several))
+        long = F.when(at > 0, F.rtrim(F.substring(F.lit(packed), (at - 1) * width + 1, F.lit(width)), F.lit(_PAD))).otherwise("")
+        return F.when(F.ascii(c) < 128, c).otherwise(long)
 
-def fold_unicode(column: Column, native_only: bool = False) -> Column:
-    """Letters without marks, other than ASCII dropped. Compatibility decomposition has no native form, so it runs in Python; native_only is for text known to be ASCII."""
-    if native_only:
-        return column
-    workers.ship()
-    plain = ~column.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(F.when(plain, column), _ascii(F.when(~plain, column)))  # only what needs it is sent to Python
+    return F.when(~plain.rlike(r"[^\x00-\x7F]"), plain).otherwise(F.array_join(F.transform(F.split(plain, ""), letter), ""))
 
 
-def normalize(column: Column, native_only: bool = False) -> Column:
+def normalize(column: Column) -> Column:
     """Lower case ASCII with single spaces and none at the ends."""
-    return strip(F.regexp_replace(F.lower(fold_unicode(column, native_only)), r"\s+", " "))
+    return strip(F.regexp_replace(F.lower(fold_unicode(column)), r"\s+", " "))
 
 
 #: Longest phrase, in characters.

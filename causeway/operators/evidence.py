@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import Store
+from ..sources.store import settled
 from . import tree as T
 
 #: Sort keys that callers may name, and the columns they mean.
@@ -33,9 +34,9 @@ def member_relations(store: Store, cluster: int, role: str | None = None, descen
 
 def edge_relations(store: Store, source: int, target: int) -> DataFrame:
     """(relation_id): relations whose cause is in or below source and whose effect is in or below target; found in one pass over the members."""
-    ends = (("cause", source, 1), ("effect", target, 2))
-    wanted = [T.descendants(store.clusters, node).select(F.col("id").alias("cluster_id"), F.lit(role).alias("role"), F.lit(bit).alias("_bit")) for role, node, bit in ends]
-    met = store.members.join(wanted[0].unionByName(wanted[1]), ["cluster_id", "role"])
+    ends = store.clusters.sparkSession.createDataFrame([("cause", source, 1), ("effect", target, 2)], "role string, within bigint, _bit int")
+    wanted = T.inside(store.clusters, source, target).join(F.broadcast(ends), "within").select(F.col("id").alias("cluster_id"), "role", "_bit")
+    met = store.members.select("relation_id", "cluster_id", "role").join(wanted, ["cluster_id", "role"])
     return met.groupBy("relation_id").agg(F.bit_or("_bit").alias("_bits")).where("_bits = 3").select("relation_id")
 
 
@@ -46,9 +47,9 @@ def first_relations(store: Store, chosen: DataFrame) -> DataFrame:
 
 
 def _shown(store: Store, first: DataFrame, column: str, limit: int, offset: int) -> DataFrame:
-    """A page of posts by a column, with the texts of their first relations: the page is cut on ids, then its relations are looked up."""
+    """A page of posts by a column, with the texts of their first relations: the page is cut on ids and written, then its relations are looked up."""
     ids = first.select(F.col("post_id").alias("id"), F.col("id").alias("relation_id"))
-    page = F.broadcast(_page(store.posts.join(ids, "id"), column, limit, offset))
+    page = F.broadcast(settled(_page(store.posts.join(ids, "id"), column, limit, offset), "page"))
     r = store.relations.select(F.col("id").alias("relation_id"), "cause_text", "effect_text", "relation_type", (F.col("relation_type") == "countercausal").alias("is_countercausal"))
     return page.join(r, "relation_id").select(*store.posts.columns, "relation_id", "cause_text", "effect_text", "relation_type", "is_countercausal").orderBy(F.col(column).desc(), "id")
 

@@ -29,6 +29,22 @@ def descendants(clusters: DataFrame, node: int) -> DataFrame:
     return nearest(clusters, clusters.where(F.col("id") == node)).select(F.col("node").alias("id"))
 
 
+def inside(clusters: DataFrame, *nodes: int) -> DataFrame:
+    """(id, within): every cluster with each of the given nodes that it is, or is below; found in one walk. Given nodes may be below each other."""
+    links = doubling.forest(clusters)
+    given = links.where(F.col("node").isin(*nodes))
+    found = doubling.nearest(links, given.select("node"))
+    next_up = given.select("node", F.col("up").alias("_up")).join(found.select(F.col("node").alias("_up"), "target"), "_up").select("node", "target")
+    above = {r[0]: r[1] for r in next_up.collect()}  # a row for each given node at most
+    pairs = []
+    for n in set(nodes):
+        at = n
+        while at is not None and (n, at) not in pairs:
+            pairs.append((n, at))
+            at = above.get(at)
+    return found.join(F.broadcast(clusters.sparkSession.createDataFrame(pairs, "target bigint, within bigint")), "target").select(F.col("node").alias("id"), "within")
+
+
 def member_counts(clusters: DataFrame, members: DataFrame) -> DataFrame:
     """clusters with member_count: member rows of the cluster and of all below it, added up the tree; 0 where there are none."""
     own = members.groupBy("cluster_id").agg(F.count("*").alias("n")).withColumnRenamed("cluster_id", "node")

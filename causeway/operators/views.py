@@ -42,13 +42,18 @@ def dimmed(nodes: DataFrame, edges: DataFrame, node: int) -> DataFrame:
     return nodes.join(neighbourhood(edges, node).select("id").distinct(), "id", "left_anti").select("id")
 
 
+def density(edges: Column, nodes: Column) -> Column:
+    """Edges of a directed graph as a share of all that its nodes could have; 0 for fewer than two nodes."""
+    return F.coalesce(F.try_divide(edges.cast("double"), nodes * (nodes - 1)), F.lit(0.0))
+
+
 def statistics(edges: DataFrame, node_count: Column | int) -> DataFrame:
     """One row: relations, countercausal and causal ones, their rates, the density of the directed graph, posts per edge. Empty graphs give 0."""
     n = F.lit(node_count).cast("double") if isinstance(node_count, int) else node_count
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     sums = edges.agg(F.count("*").alias("edges"), F.coalesce(F.sum("relation_count"), F.lit(0)).cast("bigint").alias("relations"), F.coalesce(F.sum("countercausal_count"), F.lit(0)).cast("bigint").alias("countercausal"), F.coalesce(F.sum("post_count"), F.lit(0)).cast("bigint").alias("posts"))
     real = lambda c: F.col(c).cast("double")
-    return sums.select("edges", "relations", "countercausal", (F.col("relations") - F.col("countercausal")).alias("causal"), safe(real("countercausal"), real("relations")).alias("refuted_rate"), safe(real("edges"), n * (n - 1)).alias("density"), safe(real("posts"), real("edges")).alias("posts_per_edge"))
+    return sums.select("edges", "relations", "countercausal", (F.col("relations") - F.col("countercausal")).alias("causal"), safe(real("countercausal"), real("relations")).alias("refuted_rate"), density(F.col("edges"), n).alias("density"), safe(real("posts"), real("edges")).alias("posts_per_edge"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

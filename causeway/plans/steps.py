@@ -90,10 +90,10 @@ def pair(title: Column, study_first: bool = False) -> Column:
 
 
 @register("extract", "regex")
-def extract(posts: DataFrame, text: str = "title", study_first: bool = False, ascii_only: bool = False) -> DataFrame:
-    """posts' columns and cause_text, effect_text, their norms, kind and relation_type, for posts that a pattern fits. ascii_only keeps the norms native."""
+def extract(posts: DataFrame, text: str = "title", study_first: bool = False) -> DataFrame:
+    """posts' columns and cause_text, effect_text, their norms, kind and relation_type, for posts that a pattern fits."""
     found = posts.withColumn("_pair", pair(F.col(text), study_first)).where("_pair is not null")
-    return found.select(*posts.columns, F.col("_pair.cause").alias("cause_text"), F.col("_pair.effect").alias("effect_text"), F.col("_pair.kind").alias("kind")).withColumns({"cause_norm": X.normalize(F.col("cause_text"), ascii_only), "effect_norm": X.normalize(F.col("effect_text"), ascii_only), "relation_type": F.when(F.col("kind") == "negation", "countercausal").otherwise("causal"), "extractor": F.lit("regex"), "confidence": F.lit(1.0)})
+    return found.select(*posts.columns, F.col("_pair.cause").alias("cause_text"), F.col("_pair.effect").alias("effect_text"), F.col("_pair.kind").alias("kind")).withColumns({"cause_norm": X.normalize(F.col("cause_text")), "effect_norm": X.normalize(F.col("effect_text")), "relation_type": F.when(F.col("kind") == "negation", "countercausal").otherwise("causal"), "extractor": F.lit("regex"), "confidence": F.lit(1.0)})
 
 
 def entity_pairs(posts: DataFrame, entities: str = "entities") -> DataFrame:
@@ -104,12 +104,17 @@ def entity_pairs(posts: DataFrame, entities: str = "entities") -> DataFrame:
     return both.withColumn("marked", X.mark_pair(F.col("title"), F.col("_a.start"), F.col("_a.end"), F.col("_b.start"), F.col("_b.end"))).withColumns({"cause_text": X.cut(F.col("title"), F.col("_a.start"), F.col("_a.end")), "effect_text": X.cut(F.col("title"), F.col("_b.start"), F.col("_b.end"))}).drop("_a", "_b", "_i", "_j")
 
 
+def best_label(scores: Column) -> Column:
+    """The (label, score) of greatest score of an array of them; of equal ones the least label."""
+    return F.element_at(F.array_sort(F.transform(scores, lambda s: F.struct((-s["score"]).alias("k"), s["label"].alias("label"), s["score"].alias("score")))), 1)
+
+
 @register("extract", "model")
 def extract_with_models(posts: DataFrame, entities: Callable[[Column], Column], classify: Callable[[Column], Column], include_no_rel: bool = False) -> DataFrame:
     """Pairs of the entities that one model finds, typed by another. entities: title to array<struct<start, end>>; classify: marked title to array<struct<label, score>>. Pairs without relation are left out unless asked for."""
     pairs = entity_pairs(posts.withColumn("entities", entities(F.col("title"))))
     scored = pairs.withColumn("_s", classify(F.col("marked")))
-    best = F.element_at(F.array_sort(F.transform("_s", lambda s: F.struct((-s["score"]).alias("k"), s["label"].alias("label"), s["score"].alias("score")))), 1)
+    best = best_label(F.col("_s"))
     typed = scored.withColumns({"relation_type": X.relation_type(best["label"]), "confidence": best["score"], "extractor": F.lit("model")}).drop("_s", "entities", "marked")
     valid = typed.where((F.col("cause_text") != "") & (F.col("effect_text") != "") & (F.col("cause_text") != F.col("effect_text")))
     return valid if include_no_rel else valid.where("relation_type <> 'no_rel'")

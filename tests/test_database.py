@@ -170,6 +170,13 @@ def test_deep_chain_counts(spark):
     assert {tuple(x) for x in tops.groupBy("target").count().collect()} == {(1000, 1001), (4999, 3999)}
 
 
+def test_nodes_inside_each_other(spark, rows):
+    clusters = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 3), (5, None), (6, 7), (7, 6)], "id long, parent_id long")
+    assert rows(R.inside(clusters, 2, 3)) == [(1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (4, 3)]
+    assert rows(R.inside(clusters, 5, 5)) == [(5, 5)] and rows(R.inside(clusters, 6, 7)) == [(6, 6), (6, 7), (7, 6), (7, 7)]
+    assert rows(R.descendants(clusters, 99)) == []
+
+
 def plain_walk(up, node):
     seen = []
     while node is not None and node not in seen:

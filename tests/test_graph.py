@@ -101,15 +101,3 @@ def test_reading(spark, rows):
 def test_conform(spark):
     legacy = spark.createDataFrame([(1, "p", 1), (2, "p", 0)], "id long, post_id string, is_countercausal int")
     assert [r.relation_type for r in schemas.conform(legacy, schemas.RELATIONS).orderBy("id").collect()] == ["countercausal", "causal"]
-
-
-def test_relation_clusters_of_all_posts(spark):
-    import os
-
-    from causeway import fixtures, queries
-
-    d = "/root/testdata/sf0.001"
-    if not os.path.isdir(d):
-        pytest.skip("no test tables")
-    s, rows = fixtures.store(spark, d), queries.queries()["j6_all_relation_clusters"](spark, d)
-    assert rows.count() == s.relations.join(s.posts.selectExpr("id as post_id"), "post_id", "left_semi").count() == queries.queries()["j6_relation_clusters"](spark, d).count()
