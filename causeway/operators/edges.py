@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import Store
+from ..functions.settings import checked
 from . import tree as T
 
 
@@ -73,6 +74,7 @@ def shown(edges: DataFrame) -> DataFrame:
 
 def level_graph(store: Store, edges: DataFrame, level: int | None = None, min_post_count: int = 1) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a level, the highest by default."""
+    checked(level=level, min_post_count=min_post_count)
     counted = T.member_counts(store.clusters, store.members)
     nodes = T.at_level(counted, level)
     return nodes, rollup(edges, store.clusters, nodes, min_post_count)
@@ -89,6 +91,7 @@ def id_list(text: str) -> list[int]:
 
 def expand(store: Store, edges: DataFrame, node: int, context: str = "", min_post_count: int = 1) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after opening a node: its children, and edges among them and the context nodes. A leaf gives itself and no edges."""
+    checked(min_post_count=min_post_count)
     spark = store.clusters.sparkSession
     counted = T.member_counts(store.clusters, store.members)
     below = T.children(counted, node)

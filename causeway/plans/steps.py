@@ -89,11 +89,47 @@ def pair(title: Column, study_first: bool = False) -> Column:
     return F.coalesce(*[attempt(kind, *row) for kind, rows in (("negation", P.NEGATED), ("regex", affirmed)) for row in rows])
 
 
+def _typed(found: DataFrame) -> DataFrame:
+    """Pairs (cause_text, effect_text, kind, relation_type, extractor, confidence) with their norms."""
+    return found.withColumns({f"{r}_norm": X.normalize(F.col(f"{r}_text")) for r in ("cause", "effect")})
+
+
 @register("extract", "regex")
-def extract(posts: DataFrame, text: str = "title", study_first: bool = False) -> DataFrame:
-    """posts' columns and cause_text, effect_text, their norms, kind and relation_type, for posts that a pattern fits."""
-    found = posts.withColumn("_pair", pair(F.col(text), study_first)).where("_pair is not null")
-    return found.select(*posts.columns, F.col("_pair.cause").alias("cause_text"), F.col("_pair.effect").alias("effect_text"), F.col("_pair.kind").alias("kind")).withColumns({"cause_norm": X.normalize(F.col("cause_text")), "effect_norm": X.normalize(F.col("effect_text")), "relation_type": F.when(F.col("kind") == "negation", "countercausal").otherwise("causal"), "extractor": F.lit("regex"), "confidence": F.lit(1.0)})
+def extract(posts: DataFrame, text: str = "title", study_first: bool = False, fallback: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """posts' columns and cause_text, effect_text, their norms, kind, relation_type, extractor and confidence, for posts that a pattern fits; those that none fits go to a second extractor, if one is given."""
+    tried = posts.withColumn("_pair", pair(F.col(text), study_first))
+    found = tried.where("_pair is not null").select(*posts.columns, F.col("_pair.cause").alias("cause_text"), F.col("_pair.effect").alias("effect_text"), F.col("_pair.kind").alias("kind"))
+    first = _typed(found.withColumns({"relation_type": F.when(F.col("kind") == "negation", "countercausal").otherwise("causal"), "extractor": F.lit("regex"), "confidence": F.lit(1.0)}))
+    return first if fallback is None else first.unionByName(fallback(tried.where("_pair is null").select(*posts.columns)))
+
+
+#: What a plug-in extractor gives for a title: any number of (cause, effect, relation type, confidence).
+Pairs = list[tuple[str, str, str, float]]
+
+
+@register("extract", "table")
+def extract_with(posts: DataFrame, load: Callable[[], Callable[[str], Pairs]], text: str = "title", name: str = "table") -> DataFrame:
+    """As extract(), by a plug-in: load() makes the extractor once for each task, and it is joined laterally, so a title has as many rows as it gives.
+
+    A title on which it fails, or for which it gives what is no pair, has no rows; all others keep theirs. Empty phrases, and pairs of equal ones, are no pairs.
+    """
+    workers.ship(posts.sparkSession)
+
+    @F.udtf(returnType="cause_text string, effect_text string, relation_type string, confidence double", useArrow=True)
+    class Extractor:
+        def __init__(self):
+            self.find = load()
+
+        def eval(self, title: str):
+            try:
+                rows = [(str(c), str(e), str(kind), float(sure)) for c, e, kind, sure in (self.find(title) if title else [])]
+            except Exception:
+                return
+            yield from rows
+
+    found = posts.lateralJoin(Extractor(F.col(text).outer()))
+    valid = found.where("cause_text <> '' and effect_text <> '' and cause_text <> effect_text and relation_type in ('no_rel', 'causal', 'countercausal')")
+    return _typed(valid.withColumns({"kind": F.lit(name), "extractor": F.lit(name)}))
 
 
 def entity_pairs(posts: DataFrame, entities: str = "entities") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from . import schemas
+from .functions import settings
 from .functions import text as S
 from .functions import urls as U
 from .operators import edges as E
@@ -17,7 +18,7 @@ from .operators import evidence as V
 from .operators import maintenance, paths, phrases
 from .operators import tree as T
 from .operators import views as G
-from .plans import analyze, patterns, steps, vectors
+from .plans import analyze, hierarchy, patterns, sparse, steps, vectors
 from .sources import database
 from .sources import posts as P
 from .sources import store as D
@@ -404,11 +405,6 @@ def _(spark, d):
     return V.first_relations(s, V.member_relations(s, 101)).select("post_id", "id")
 
 
-@add("a13_texts_by_cluster", "SELECT cluster_id, event_text, count(*) n FROM members GROUP BY 1, 2")
-def _(spark, d):
-    return X.members(spark, d).groupBy("cluster_id", "event_text").agg(F.count("*").alias("n"))
-
-
 @add("a14_unique_events", "ends AS (SELECT id, 0 o, cause_norm norm, coalesce(nullif(cause_canonical,''), nullif(cause_text,''), cause_norm) txt FROM relations UNION ALL SELECT id, 1, effect_norm, coalesce(nullif(effect_canonical,''), nullif(effect_text,''), effect_norm) FROM relations) SELECT norm, arg_min(txt, id*2+o) AS text, min(id) AS first FROM ends GROUP BY 1")
 def _(spark, d):
     return steps.unique_events(X.relations(spark, d))
@@ -490,11 +486,6 @@ def _(spark, d):
     return T.with_labels(c.where("level < 2").select("id").unionByName(ids(spark, 999)), "id", c.withColumn("label", F.lit("old")), c)
 
 
-@add("j21_fine_to_coarse", "SELECT DISTINCT label fine, label//4 coarse FROM embeddings", "")
-def _(spark, d):
-    return X.table(spark, d, "embeddings").select(F.col("label").alias("fine"), F.expr("cast(label div 4 as int)").alias("coarse")).distinct()
-
-
 # Posts and pages ------------------------------------------------------------------------------------------------------
 
 
@@ -719,17 +710,17 @@ def _clean_sql(x: str) -> str:
     return f"trim(CASE WHEN length({bare})>80 THEN CASE WHEN contains(left({bare},80),' ') THEN regexp_extract(left({bare},80), '^(.*) [^ ]*$', 1) ELSE left({bare},80) END ELSE {bare} END)"
 
 
-def _pairs_sql() -> str:
+def _pairs_sql(columns: str = "id, title", source: str = "titles", name: str = "found", where: str = "true") -> str:
     rows = []
     for kind, some in (("negation", patterns.NEGATED), ("regex", patterns.AFFIRMED)):
         for p, c, e in some:
             q = f"(?i){p}".replace("'", "''")
             rows.append(f"{{'cause': regexp_extract(title, '{q}', {c}), 'effect': regexp_extract(title, '{q}', {e}), 'kind': '{kind}'}}")
     clean = f"list_transform([{', '.join(rows)}], lambda z: {{'cause': {_clean_sql('z.cause')}, 'effect': {_clean_sql('z.effect')}, 'kind': z.kind}})"
-    return f"found AS MATERIALIZED (SELECT id, title, list_filter({clean}, lambda z: z.cause<>'' AND z.effect<>'' AND z.cause<>z.effect)[1] p FROM titles WHERE {CAUSAL})"
+    return f"{name} AS MATERIALIZED (SELECT {columns}, list_filter({clean}, lambda z: z.cause<>'' AND z.effect<>'' AND z.cause<>z.effect)[1] p FROM {source} WHERE {where})"
 
 
-FOUND = f"{X.B}, {_pairs_sql()}"
+FOUND = f"{X.B}, {_pairs_sql(where=CAUSAL)}"
 
 
 @add("x2_clean_phrase", f"SELECT id, {_clean_sql('t')} phrase FROM (SELECT id, CASE WHEN cast(id AS bigint)%2=0 THEN '  The '||title||' '||title||' '||title||'.,; ' ELSE ' an '||replace(title||title||title,' ','_')||')' END t FROM titles)", X.B)
@@ -836,24 +827,48 @@ def _(spark, d):
     return out.select("post_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "text", F.size("events").cast("bigint").alias("n_events"))
 
 
-@add("w6_without_overlap")
+@add("w6_without_overlap", "ord AS (SELECT post_id, s, e, row_number() OVER (PARTITION BY post_id ORDER BY s, e) rn FROM spans), kept(post_id, rn, fin, texts) AS (SELECT DISTINCT post_id, 0::bigint, 0::bigint, '' FROM spans UNION ALL SELECT k.post_id, o.rn, CASE WHEN o.s<fin THEN fin ELSE o.e END, CASE WHEN o.s<fin THEN texts ELSE texts||' '||o.s||'-'||o.e END FROM kept k JOIN ord o ON o.post_id=k.post_id AND o.rn=k.rn+1) SELECT post_id, arg_max(texts, rn) kept FROM kept GROUP BY 1", SPANS)
 def _(spark, d):
     spans = G.event_spans(_title_relations(spark, d)).groupBy("post_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return spans.select("post_id", F.to_json(G.without_overlap(F.col("spans"))).alias("kept"))
+    kept = F.transform(G.without_overlap(F.col("spans")), lambda s: F.concat(F.lit(" "), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    return spans.select("post_id", F.array_join(kept, "").alias("kept"))
 
 
-@add("x6_sentences")
+@add("x6_sentences", r"""parts AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), '. '), '([.!?])["'']?\s+', '\1'||chr(1), 'g'), chr(1)), lambda z: regexp_replace(trim(z, ' '||chr(9)||chr(13)||chr(12)), '\.+$', '')), lambda z: z<>'') ps FROM documents),
+  walk(doc_id, k, pos, cur) AS (SELECT doc_id, 0, 0::bigint, 1::bigint FROM parts UNION ALL SELECT doc_id, k+1, pos, CASE WHEN pos>0 THEN pos+length(p) ELSE cur END FROM (SELECT w.doc_id, k, cur, ps[k+1] p, CASE WHEN instr(substr(text, cur), ps[k+1])>0 THEN cur+instr(substr(text, cur), ps[k+1])-1 WHEN instr(lower(substr(text, cur)), lower(ps[k+1]))>0 THEN cur+instr(lower(substr(text, cur)), lower(ps[k+1]))-1 ELSE 0 END pos FROM walk w JOIN parts USING (doc_id) WHERE k<len(ps)))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)-1 i, ps[k] sentence, pos-1 AS start FROM walk JOIN parts USING (doc_id) WHERE pos>0""".replace("parts AS", "WITH RECURSIVE parts AS", 1), "")
 def _(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.posexplode(S.sentences(F.col("text"))).alias("i", "s")).select("doc_id", "i", "s.sentence", "s.start")
 
 
-TEXTS = f"{X.B}, texts AS (SELECT id, string_agg(title, chr(10) ORDER BY id) AS text FROM (SELECT cast(cast(id AS bigint)%1000 AS varchar) id, title FROM titles) GROUP BY 1)"
+ANALYZED = f"""{X.B}, texts AS (SELECT doc_id, array_to_string(ls, chr(10)) AS text, ls FROM (SELECT cast(id AS bigint)%1000 doc_id, list_sort(list(title)) ls FROM titles GROUP BY 1)),
+  lines AS MATERIALIZED (SELECT doc_id, text, k-1 line, rtrim(ls[k], '.') title, coalesce(list_sum(list_transform(ls[1:k-1], lambda z: length(z)+1)), 0) off FROM (SELECT *, unnest(range(1, len(ls)+1)) k FROM texts)),
+  {_pairs_sql("doc_id, text, line, title, off", "lines")},
+  said AS MATERIALIZED (SELECT *, instr(lower(title), lower(p.cause)) ca, instr(lower(title), lower(p.effect)) ea FROM found WHERE p IS NOT NULL AND instr(lower(title), lower(p.cause))>0 AND instr(lower(title), lower(p.effect))>0),
+  ends AS (SELECT doc_id, text, line, 0 o, p.cause phrase, off+ca-1 s FROM said UNION ALL SELECT doc_id, text, line, 1, p.effect, off+ea-1 FROM said),
+  evs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, o)-1 idx FROM (SELECT doc_id, lower(phrase) nm, line, o, phrase, s, substr(text, instr(lower(text), lower(phrase)), length(phrase)) descr FROM ends QUALIFY row_number() OVER (PARTITION BY doc_id, lower(phrase) ORDER BY line, o)=1))"""
+
+
+def _texts(spark, d):
+    return X.titles(spark, d).groupBy((F.col("id").cast("bigint") % 1000).alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list("title")), "\n").alias("text"))
+
+
+@add("u_analyze_events", 'SELECT doc_id, idx::bigint AS "index", phrase span_text, descr description, s::bigint AS start, (s+length(phrase))::bigint AS "end" FROM evs', ANALYZED)
+def _(spark, d):
+    e = analyze.analyze(_texts(spark, d))[0]
+    return e.withColumns({c: F.col(c).cast("bigint") for c in ("index", "start", "end")})
+
+
+@add("u_analyze_relations", "SELECT b.doc_id, b.line::bigint sentence_index, c.idx::bigint cause_event_index, e.idx::bigint effect_event_index, p.cause cause_text, p.effect effect_text, c.descr cause_canonical, e.descr effect_canonical, CASE p.kind WHEN 'negation' THEN 'countercausal' ELSE 'causal' END relation_type, 0.0::double p_none, CASE p.kind WHEN 'negation' THEN 0.0 ELSE 1.0 END::double p_causal, CASE p.kind WHEN 'negation' THEN 1.0 ELSE 0.0 END::double p_countercausal FROM said b JOIN evs c ON c.doc_id=b.doc_id AND c.nm=lower(p.cause) JOIN evs e ON e.doc_id=b.doc_id AND e.nm=lower(p.effect)", ANALYZED)
+def _(spark, d):
+    r = analyze.analyze(_texts(spark, d))[1]
+    return r.withColumns({c: F.col(c).cast("bigint") for c in ("sentence_index", "cause_event_index", "effect_event_index")})
 
 
-@add("u_analyze_relations")
+@add("a26_analysis_counts", "SELECT (SELECT count(*) FROM evs) events, count(*) relations, count(*) FILTER (p.kind='negation') countercausal FROM said", ANALYZED)
 def _(spark, d):
-    grouped = X.titles(spark, d).groupBy((F.col("id").cast("bigint") % 1000).alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list("title")), "\n").alias("text"))
-    return analyze.analyze(grouped)[1]
+    events, relations = analyze.analyze(_texts(spark, d))
+    return events.agg(F.count("*").alias("events")).crossJoin(relations.agg(F.count("*").alias("relations"), F.count_if(F.col("relation_type") == "countercausal").alias("countercausal")))  # one row each
 
 
 @add("s24_analyze_json")
@@ -861,10 +876,109 @@ def _(spark, d):
     return analyze.response(X.titles(spark, d).select(F.col("id").alias("doc_id"), F.col("title").alias("text")))
 
 
-@add("e2e_leaf_edges", "titled AS (SELECT *, row_number() OVER (ORDER BY cast(id AS bigint)) rid FROM found WHERE p IS NOT NULL), ends AS (SELECT rid, left(p.cause, 1) s, left(p.effect, 1) t, p.kind kind FROM titled) SELECT s source, t target, count(*) relation_count, cast(count(*) FILTER (kind='negation') AS bigint) countercausal_count FROM ends WHERE s<>t GROUP BY 1, 2", FOUND)
+def _ruled(spark, d):
+    """(store, titles): the titles' relations extracted, canonized and put below clusters by a rule, the length of their norms."""
+    titles = X.titles(spark, d)
+    found = steps.extract(steps.detect(titles).select(F.col("id").alias("post_id"), "title"))
+    relations = D.settled(steps.canonize(D.numbered(found, ["post_id", "cause_text", "effect_text"])), "relations")
+    unique = D.settled(steps.unique_events(relations), "events")
+    label = F.length("norm") % 7
+    leaf = unique.select("norm", label.cast("bigint").alias("label"))
+    up = leaf.select("label", (F.col("label") % 3).alias("up")).distinct()
+    clusters, members = hierarchy.assemble(relations, unique, leaf, [up], "rule")
+    return X.Store(titles.select("id", "score"), relations, clusters, members)
+
+
+RULED = f"""{FOUND}, rel AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id, p.cause, p.effect) rid, id pid, title, p FROM found WHERE p IS NOT NULL),
+  ends AS MATERIALIZED (SELECT rid, pid, 'cause' AS role, 0 o, trim(regexp_replace(lower(p.cause), '\\s+', ' ', 'g')) norm, substr(title, instr(lower(title), lower(p.cause)), length(p.cause)) txt, p.kind kind FROM rel UNION ALL SELECT rid, pid, 'effect', 1, trim(regexp_replace(lower(p.effect), '\\s+', ' ', 'g')), substr(title, instr(lower(title), lower(p.effect)), length(p.effect)), p.kind FROM rel),
+  lab AS MATERIALIZED (SELECT norm, arg_min(txt, rid*2+o) t, length(norm)%7 l0, length(norm)%7%3 l1 FROM ends GROUP BY 1),
+  numbers AS (SELECT level, k, row_number() OVER (ORDER BY level, k) id FROM (SELECT DISTINCT 0 AS level, l0 k FROM lab UNION SELECT DISTINCT 1, l1 FROM lab)),
+  mem AS MATERIALIZED (SELECT n.id cluster_id, e.rid, e.pid, e.role, e.kind, l.t FROM ends e JOIN lab l USING (norm) JOIN numbers n ON n.level=0 AND n.k=l.l0)"""
+
+
+@add("a13_texts_by_cluster", "SELECT cluster_id, t event_text, count(*) n FROM mem GROUP BY 1, 2", RULED)
+def _(spark, d):
+    return _ruled(spark, d).members.groupBy("cluster_id", "event_text").agg(F.count("*").alias("n"))
+
+
+@add("j21_fine_to_coarse", "SELECT DISTINCT a.id, b.id parent_id FROM lab JOIN numbers a ON a.level=0 AND a.k=l0 JOIN numbers b ON b.level=1 AND b.k=l1 UNION ALL SELECT id, NULL FROM numbers WHERE level=1", RULED)
+def _(spark, d):
+    return _ruled(spark, d).clusters.select("id", "parent_id")
+
+
+@add("e2e_leaf_edges", f"pairs AS (SELECT a.cluster_id s, b.cluster_id t, a.rid, a.pid, p.score, CASE a.kind WHEN 'negation' THEN 'countercausal' ELSE 'causal' END relation_type FROM mem a JOIN mem b ON a.rid=b.rid AND a.role='cause' AND b.role='effect' JOIN titles p ON p.id=a.pid WHERE a.cluster_id<>b.cluster_id), edges AS (SELECT s source_cluster_id, t target_cluster_id, {WEIGHTS} FROM pairs GROUP BY 1, 2) SELECT {EDGE_ROW} FROM edges", RULED)
+def _(spark, d):
+    return rounded(E.leaf_edges(_ruled(spark, d)))
+
+
+@add("u4c_tfidf_hierarchy")
+def _(spark, d):
+    """From titles to clusters by the default steps: detection, extraction, canonization, sparse TF-IDF and spherical k-means."""
+    found = steps.extract(steps.detect(X.titles(spark, d)).select(F.col("id").alias("post_id"), "title"))
+    relations = D.settled(steps.canonize(D.numbered(found, ["post_id", "cause_text", "effect_text"])), "relations")
+    clusters, members = hierarchy.infer_tfidf(relations)
+    return T.member_counts(clusters, members).select("id", "label", "level", "parent_id", "member_count")
+
+
+@add("a27_tfidf", f"""kept AS (SELECT id, list_filter(regexp_extract_all(lower(title), '\\b\\w\\w+\\b'), lambda w: w NOT IN ({STOP})) ws FROM titles), counts AS (SELECT id, term, count(*) n FROM (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1]))) term FROM kept) GROUP BY 1, 2),
+  vocabulary AS (SELECT term, ln((1+(SELECT count(*) FROM titles))/(1.0+count(*)))+1 idf FROM counts GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 60), raw AS (SELECT id, term, (1+ln(n))*idf w FROM counts JOIN vocabulary USING (term)) SELECT id, term, round(w/sqrt(sum(w*w) OVER (PARTITION BY id)), 6)::double w FROM raw""", X.B)
+def _(spark, d):
+    return sparse.weighted(X.titles(spark, d), "id", "title", 60).select("id", "term", F.round("w", 6).alias("w"))
+
+
+def _halves(title: str) -> list:
+    """A plug-in: what stands around the first ' and ', which must not be steel."""
+    cause, effect = title.split(" and ", 1)
+    if cause.startswith("red"):
+        raise RuntimeError("a title that breaks the extractor")
+    return [(cause, effect, "causal", 0.5), (effect, cause, "no_rel", 0.25)]
+
+
+@add("u2a_fallback_extractor", "rest AS (SELECT id, title, split_part(title, ' and ', 1) c, substr(title, instr(title, ' and ')+5) e FROM everything WHERE p IS NULL AND contains(title, ' and ') AND title NOT LIKE 'red%') SELECT id, p.cause cause_text, p.effect effect_text, 'regex' AS extractor, 1.0::double confidence FROM everything WHERE p IS NOT NULL UNION ALL SELECT id, c, e, 'halves', 0.5 FROM rest WHERE c<>e UNION ALL SELECT id, e, c, 'halves', 0.25 FROM rest WHERE c<>e", f"{X.B}, {_pairs_sql('id, title', 'titles', 'everything')}")
+def _(spark, d):
+    """Patterns first; titles that none fits go to a plug-in, which fails on some and loses their rows only."""
+    second = lambda posts: steps.extract_with(posts, lambda: _halves, name="halves")
+    return steps.extract(X.titles(spark, d).select("id", "title"), fallback=second).select("id", "cause_text", "effect_text", "extractor", "confidence")
+
+
+@add("j11_entity_pairs", "ent AS (SELECT doc, s, e, w FROM tokens WHERE length(w)>=6), two AS (SELECT a.doc, a.w cause_text, b.w effect_text, a.s s0, a.e e0, b.s s1, b.e e1 FROM ent a JOIN ent b ON b.doc=a.doc AND b.s<>a.s) SELECT t.doc, cause_text, effect_text, CASE WHEN s0<s1 THEN substr(title,1,s0)||'<e0>'||cause_text||'</e0>'||substr(title,e0+1,s1-e0)||'<e1>'||effect_text||'</e1>'||substr(title,e1+1) ELSE substr(title,1,s1)||'<e1>'||effect_text||'</e1>'||substr(title,e1+1,s0-e1)||'<e0>'||cause_text||'</e0>'||substr(title,e0+1) END marked FROM two t JOIN cut ON cut.doc=t.doc", X.PARSED)
+def _(spark, d):
+    texts, tokens, _, _ = X.parsed(spark, d)
+    found = tokens.where(F.length("text") >= 6).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("entities"))
+    return steps.entity_pairs(texts.join(found, "doc").select("doc", F.col("text").alias("title"), "entities")).select("doc", "cause_text", "effect_text", "marked")
+
+
+@add("a15_canonize_distinct", "SELECT id, reverse(min(c) OVER (PARTITION BY effect_text, lower(c))) cause_canonical FROM (SELECT id, effect_text, CASE WHEN id%2=0 THEN upper(cause_text) ELSE cause_text END c FROM relations)")
+def _(spark, d):
+    """Each distinct phrase of a text is asked for once; its answer goes to all relations that have it."""
+    r = X.relations(spark, d).select("id", F.col("effect_text").alias("title"), F.when(F.col("id") % 2 == 0, F.upper("cause_text")).otherwise(F.col("cause_text")).alias("cause_text"), "effect_text")
+    said = steps.canonize_distinct(r, lambda asked: asked.withColumn("output", F.concat(F.lit(' "'), F.reverse("span"), F.lit('.\nmore'))))
+    return said.select("id", "cause_canonical")
+
+
+@add("x10_clean_generated", "SELECT id, CASE WHEN cast(id AS bigint)%3=0 THEN title ELSE rtrim(title, '.') END cleaned FROM titles", X.B)
+def _(spark, d):
+    said = F.when(F.col("id").cast("bigint") % 3 == 0, F.lit(' "\u00bb ')).otherwise(F.concat(F.lit("\n \u00ab'"), "title", F.lit(".. \nand more")))
+    return X.titles(spark, d).select("id", S.clean_generated(said, F.col("title")).alias("cleaned"))
+
+
+@add("x11_prompt", "SELECT id, 'Say  of \"'||title||'\": '||left(title, 5)||'!' said FROM titles", X.B)
+def _(spark, d):
+    return X.titles(spark, d).select("id", S.prompt('Say  of "{text}": {span}!', F.col("title"), F.left("title", F.lit(5))).alias("said"))
+
+
+@add("x15_counts_shown", "SELECT id, label||' ('||format('{:,}', member_count)||')' shown FROM counted".replace("SELECT", f"{COUNTED} SELECT", 1))
+def _(spark, d):
+    s = X.store(spark, d)
+    return T.member_counts(s.clusters, s.members).select("id", F.concat("label", F.lit(" ("), F.format_number("member_count", 0), F.lit(")")).alias("shown"))
+
+
+@add("x36_settings", """saved AS (SELECT id, CASE id%4 WHEN 0 THEN '{"nodeSpacing": "wide", "showLegend": false, "extra": 7}' WHEN 1 THEN '{bad' WHEN 2 THEN '{"layoutAlgorithm": null}' END j FROM clusters) SELECT id, CASE WHEN id%4=0 THEN 'wide' ELSE 'normal' END spacing, CASE WHEN id%4=0 THEN 'false' ELSE 'true' END legend, CASE WHEN id%4=2 THEN NULL ELSE 'fcose' END layout, CASE WHEN id%4=0 THEN '7' END extra, CASE WHEN id%4=0 THEN 13 ELSE 12 END n FROM saved""")
 def _(spark, d):
-    e = _extracted(spark, d).select(F.left("cause_text", F.lit(1)).alias("source"), F.left("effect_text", F.lit(1)).alias("target"), "kind").where("source <> target")
-    return e.groupBy("source", "target").agg(F.count("*").alias("relation_count"), F.count_if(F.col("kind") == "negation").cast("bigint").alias("countercausal_count"))
+    saved = F.when(F.col("id") % 4 == 0, '{"nodeSpacing": "wide", "showLegend": false, "extra": 7}').when(F.col("id") % 4 == 1, "{bad").when(F.col("id") % 4 == 2, '{"layoutAlgorithm": null}')
+    out = X.clusters(spark, d).select("id", settings.overlay(saved).alias("s"))
+    get = lambda k: F.try_element_at("s", F.lit(k))
+    return out.select("id", get("nodeSpacing").alias("spacing"), get("showLegend").alias("legend"), get("layoutAlgorithm").alias("layout"), get("extra").alias("extra"), F.size("s").cast("bigint").alias("n"))
 
 
 # Vectors ------------------------------------------------------------------------------------------------------------

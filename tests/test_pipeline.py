@@ -1,11 +1,13 @@
 """The batch pipeline, the stream and the hierarchies from end to end."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from causeway import schemas
-from causeway.plans import hierarchy, steps, vectors
+from causeway.functions.settings import checked
+from causeway.plans import hierarchy, sparse, steps, vectors
 from causeway.plans.pipeline import Pipeline
 from causeway.sources.database import Database
 from causeway.sources.store import Tables
@@ -154,3 +156,79 @@ def test_writes_that_die_leave_the_version_before(spark, tmp_path):
     tables.vacuum("t", 1)
     assert len(tables.versions("t")) == 1 and tables.read("t").count() == 5
     assert tables.read("none") is None
+
+
+def test_sparse_weights_by_hand(spark):
+    """Two texts, one term in both: idf is 1 for it and ln(3/2) + 1 for the others; pairs skip stop words."""
+    texts = spark.createDataFrame([("a", "Tea and tea cake"), ("b", "the tea"), ("c", "of a")], "norm string, text string")
+    got = {(r.norm, r.term): r.w for r in sparse.weighted(texts).collect()}
+    n, idf = 3, lambda df: np.log((1 + 3) / (1 + df)) + 1
+    raw = {"tea": (1 + np.log(2)) * idf(2), "cake": idf(1), "tea tea": idf(1), "tea cake": idf(1)}
+    length = np.sqrt(sum(w * w for w in raw.values()))
+    assert n == 3 and got.keys() == {("a", t) for t in raw} | {("b", "tea")} and np.isclose(got["b", "tea"], 1)
+    assert all(np.isclose(got["a", t], w / length) for t, w in raw.items())
+    packed = {r.norm: (r.idx, r.val) for r in sparse.tfidf(texts).collect()}
+    assert packed["c"] == ([], []) and len(packed["a"][0]) == 4 and packed["b"][0] == [0]
+    assert {t for _, t in ((r.i, r.term) for r in sparse.weighted(texts, max_features=1).collect())} == {"tea"}
+    wide = {r.norm: r.vector for r in sparse.dense(sparse.tfidf(texts, max_features=4), "norm", 4).collect()}
+    assert wide["b"] == [1.0, 0.0, 0.0, 0.0] and wide["c"] == [0.0] * 4
+
+
+def test_spherical_k_means_against_numpy(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for k in range(120):
+        at = sorted(set((r.integers(0, 6, 4) + 6 * (k % 3)).tolist()))
+        w = r.random(len(at)) + 0.1
+        rows.append((k, at, (w / np.linalg.norm(w)).tolist()))
+    rows.append((500, [], []))
+    space = spark.createDataFrame(rows, "k long, idx array<int>, val array<double>").repartition(4)
+    x = np.zeros((len(rows), 18))
+    for i, (_, at, w) in enumerate(rows):
+        x[i, at] = w
+    order = [q.k for q in space.where("size(idx) > 0").orderBy(F.xxhash64("k", F.lit(42)), "k").limit(5).collect()]
+    centers = x[order]
+    for _ in range(10):
+        label = (x @ centers.T).argmax(1)
+        sums = np.array([x[label == j].sum(0) for j in range(5)])
+        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(lengths > 0, sums / np.maximum(lengths, 1e-9), centers)
+    want = {q[0]: int(j) for q, j in zip(rows, (x @ centers.T).argmax(1), strict=True)}
+    labels = sparse.spherical(space, "k", 5, 18)
+    assert {q.k: q.label for q in labels.collect()} == want
+    made = {q.label: q for q in sparse.centers_of(space, labels, "k").collect()}
+    full = [j for j in range(5) if j in made]
+    assert all(np.allclose(np.array(made[j].val), centers[j, made[j].idx]) for j in full)
+    assert sparse.spherical(space.where("k = 500"), "k", 3, 18).collect()[0].label == 0
+    # few products are held at once, whatever the batch
+    idx, val = pa.array([q[1] for q in rows], pa.list_(pa.int32())), pa.array([q[2] for q in rows], pa.list_(pa.float64()))
+    whole, before = sparse.nearest_center(idx, val, centers), sparse.CELLS
+    try:
+        sparse.CELLS = 20
+        assert (sparse.nearest_center(idx, val, centers) == whole).all()
+    finally:
+        sparse.CELLS = before
+
+
+def test_extractor_that_fails_loses_its_own_rows(spark):
+    posts = spark.createDataFrame([("a", "tea causes joy"), ("b", "bad title"), ("c", "x and y"), ("d", None), ("e", "strange")], "id string, title string")
+
+    def load():
+        def find(title):
+            if title.startswith("bad"):
+                raise ValueError(title)
+            return {"x and y": [("x", "y", "causal", 0.5), ("y", "x", "no_rel", 1), ("y", "y", "causal", 1), ("", "y", "causal", 1)], "strange": [("too", "few")]}.get(title, [])
+
+        return find
+
+    found = steps.extract(posts, fallback=lambda rest: steps.extract_with(rest, load, name="mine"))
+    assert sorted((r.id, r.cause_text, r.effect_text, r.extractor, r.cause_norm, r.confidence) for r in found.collect()) == [("a", "tea", "joy", "regex", "tea", 1.0), ("c", "x", "y", "mine", "x", 0.5), ("c", "y", "x", "mine", "y", 1.0)]
+    built = steps.build("extract", {"implementation": "table", "load": load, "unknown": 1})
+    assert {r.id for r in built(posts).collect()} == {"c"}
+
+
+def test_ranges_of_requests():
+    checked(level=10, limit=200)
+    for bad in ({"level": 11}, {"level": -1}, {"min_post_count": 0}, {"limit": 0}, {"limit": 201}, {"offset": -1}, {"sort": "title"}):
+        with pytest.raises(ValueError):
+            checked(**bad)
