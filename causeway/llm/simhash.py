@@ -181,7 +181,8 @@ def _sets(size: int):
 def _common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of many texts, at most OFTEN, as found in one text of SAMPLE. They only set the order of shingles: any order gives the same groups, a good one fewer pairs."""
     some = docs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(_sets(size)("text").alias("set"))
-    found = some.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(OFTEN)
+    # outer: otherwise Spark infers a filter on the sets and has Python make all of them twice, in a second worker for each core
+    found = some.select(F.explode_outer("set").alias("h")).where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(OFTEN)
     table, path = common.materialize(found.select("h"), "common")
     out = np.sort(table.toArrow().column("h").to_numpy().view(np.uint64))
     common.discard(docs.sparkSession, path)
