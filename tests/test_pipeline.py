@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway import schemas
 from causeway.functions.settings import checked
-from causeway.plans import hierarchy, sparse, steps, vectors
+from causeway.plans import hierarchy, linkage, sparse, steps, vectors
 from causeway.plans.pipeline import Pipeline
 from causeway.sources.database import Database
 from causeway.sources.store import Tables
@@ -58,18 +58,32 @@ def test_stream(spark, corpus, tmp_path):
     assert not any(b for n in range(last + 1, db.version() + 1) for t, b in db.state(n)["wrote"].items() if not t.startswith("mark:"))
 
 
-def test_ward_against_plain_search():
-    x = np.random.default_rng(0).normal(size=(30, 3))
-    groups = [[i] for i in range(30)]
+@pytest.mark.parametrize("last", [512, 4])
+def test_ward_against_plain_search(spark, last):
+    """Both by chain and by rounds of reciprocal neighbours."""
+    x = np.random.default_rng(0).normal(size=(40, 3))
+    groups = [[i] for i in range(40)]
     cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
-    while len(groups) > 5:
+    merges = linkage.ward(spark, x, last)
+    for n in range(40, 1, -1):
+        labels = hierarchy.cuts(merges, 40, [n])[:, 0] if n < 40 else np.arange(40)
+        assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())}
         i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda t: cost(groups[t[0]], groups[t[1]]))
+        assert np.isclose(merges[40 - n][2] ** 2, 2 * cost(groups[i], groups[j]))
         groups[j] += groups.pop(i)
-    labels = hierarchy.cuts(x, [5])[:, 0]
-    assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)}
-    nested = hierarchy.cuts(x, [50, 10, 10, 3])
-    assert [len(set(c)) for c in nested.T] == [29, 10, 9, 3]
-    assert hierarchy.cuts(x[:1], [4, 2]).tolist() == [[0, 0]]
+    nested = hierarchy.cuts(merges, 40, [50, 10, 10, 3])
+    assert [len(set(c)) for c in nested.T] == [39, 10, 9, 3]
+    assert hierarchy.cuts([], 1, [4, 2]).tolist() == [[0, 0]]
+
+
+def test_ward_by_rounds_equals_chain(spark):
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    x[40:45] = x[0]  # repeated rows
+    fast, plain = linkage.ward(spark, x, 20), linkage.ward(spark, x, 300)
+    assert np.allclose([m[2] for m in fast], [m[2] for m in plain])
+    same = lambda a: {frozenset(np.flatnonzero(a == k).tolist()) for k in set(a.tolist())}
+    for n in (250, 100, 20, 3):
+        assert same(hierarchy.cuts(fast, 300, [n])[:, 0]) == same(hierarchy.cuts(plain, 300, [n])[:, 0])
 
 
 def test_entity_pairs_and_models(spark):
@@ -97,16 +111,46 @@ def test_nearest_centroid_limit(spark):
         vectors.nearest(v, "k", "v", c, "g", most=1)
 
 
-def test_density():
+def plain_tree(x, near, weights):
+    """Prim's tree of mutual reachability over all distances."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    order = np.argsort(d, axis=1, kind="stable")
+    reached = (np.cumsum(weights[order], axis=1) >= min(near, weights.sum())).argmax(1)
+    core = d[np.arange(len(x)), order[np.arange(len(x)), reached]]
+    reach, inside, edges = np.maximum(d, np.maximum(core[:, None], core[None])), [0], []
+    while len(inside) < len(x):
+        rest = [i for i in range(len(x)) if i not in inside]
+        at = reach[np.ix_(inside, rest)]
+        i, j = np.unravel_index(at.argmin(), at.shape)
+        edges.append((float(at[i, j]), inside[i], rest[j]))
+        inside.append(rest[j])
+    return edges
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_density(spark, heavy):
     r = np.random.default_rng(3)
     spots = [(0, 0), (8, 0), (0, 8), (9, 9)]
     x = np.vstack([r.normal(c, 0.4, size=(25, 2)) for c in spots] + [[[30, 30], [-30, 4]]])
-    labels = hierarchy.density_labels(x, 8)
+    weights = r.integers(1, 4, len(x)) if heavy else np.ones(len(x), int)
+    labels = linkage.density_labels(spark, x, 8, weights=weights)
+    tree, plain = linkage.least_tree(spark, x, 8, weights), plain_tree(x, 8, weights)
+    assert np.allclose(sorted(e[0] for e in tree), sorted(e[0] for e in plain))
     assert len(set(labels[:100].tolist()) - {-1}) >= 4 and set(labels[100:].tolist()) == {-1}
     for i in range(4):
         others = set(labels[[j for j in range(100) if j // 25 != i]].tolist()) - {-1}
         assert not others & (set(labels[25 * i : 25 * i + 25].tolist()) - {-1})
-    assert hierarchy.density_labels(x[:3], 8).tolist() == [-1] * 3
+    assert linkage.density_labels(spark, x[:3], 8).tolist() == [-1] * 3
+
+
+def test_groups_of_a_tree_by_hand():
+    """Two groups of three, joined by a far edge; a point that hangs on one of them; ties join at once."""
+    one = np.ones(7, int)
+    edges = [(1.0, 0, 1), (1.0, 1, 2), (2.0, 3, 4), (2.0, 4, 5), (9.0, 2, 3), (5.0, 6, 5)]
+    assert linkage.condensed(edges, 7, 3, one).tolist() == [0, 0, 0, 1, 1, 1, 1]
+    assert linkage.condensed(edges, 7, 4, one).tolist() == [0] * 7  # one side is too small, so there is nothing to split
+    assert linkage.condensed([(1.0, 0, 1), (1.0, 2, 3), (1.0, 1, 2)], 4, 2, one[:4]).tolist() == [0] * 4
+    assert linkage.condensed([], 0, 2, one[:0]).tolist() == []
 
 
 def test_density_of_all_texts(spark):
@@ -130,18 +174,15 @@ def test_density_of_all_texts(spark):
     assert all(parts.values()) and not any(parts[a] & parts[b] for a in parts for b in parts if a < b)
 
 
-def test_linkage_needs_no_third_axis():
-    """600 vectors of 512 places: an array by row, row and place would take 1.5 GB."""
-    import tracemalloc
-
-    x = np.random.default_rng(9).normal(size=(600, 512))
-    tracemalloc.start()
-    hierarchy.cuts(x, [5])
-    hierarchy.density_labels(x, 8)
-    most = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert most < 100e6
-    assert np.allclose(hierarchy._squares(x[:40]), ((x[:40, None] - x[None, :40]) ** 2).sum(-1))
+def test_linkage_holds_some_rows_at_a_time(spark, monkeypatch):
+    """3,000 vectors: all their distances would be 72 MB; a task has 100 kB of them at once."""
+    monkeypatch.setattr(linkage, "CELLS", 1 << 14)
+    x = np.random.default_rng(9).normal(size=(3000, 4))
+    best, cost = linkage.by_rows(spark, 3000, linkage._cheapest, x, np.ones(3000))
+    d = linkage.squares(x, np.arange(3000))
+    np.fill_diagonal(d, np.inf)
+    assert (best == d.argmin(1)).all() and np.allclose(cost, d.min(1))
+    assert np.allclose(linkage.squares(x, np.array([5, 7])), ((x[[5, 7]][:, None] - x[None]) ** 2).sum(-1))
 
 
 def test_writes_that_die_leave_the_version_before(spark, tmp_path):
