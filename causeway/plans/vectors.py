@@ -38,12 +38,18 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, centers: DataFrame, group: str, most: int = 10_000) -> DataFrame:
     """(key, group, cosine): the centroid of greatest cosine for each vector, the least group among equals.
 
-    Centroids, `most` at the outside (else ValueError), are gathered into one row that every vector is compared with inside its own task: no row is paired.
+    Up to `most` centroids are gathered into one row that every vector is compared with inside its own task: no row is paired. More are dealt to blocks of about half as many; the vectors are
+    compared with one block after the other, and the best of all blocks counts, so results don't depend on `most`.
     """
-    table = centers.select(F.struct(F.col(group).alias("g"), unit(F.col(vector)).alias("c")).alias("s")).limit(most + 1).agg(F.array_sort(F.collect_list("s")).alias("_all"))
-    if centers.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids; cluster them first")
-    against = let(unit(F.col(vector)), lambda u: F.transform("_all", lambda s: F.struct(dot(u, s["c"]).alias("cosine"), (-s["g"]).alias("k"))))
-    scored = df.crossJoin(F.broadcast(table)).select(key, against.alias("_s"))  # one row
-    best = scored.select(key, F.array_max("_s").alias("b"))
-    return best.select(key, (-F.col("b.k")).alias(group), F.col("b.cosine").alias("cosine"))
+    blocks = max(1, -(-2 * n // most)) if (n := centers.count()) > most else 1
+    best = None
+    for b in range(blocks):
+        some = centers if blocks == 1 else centers.where(F.pmod(F.xxhash64(group), F.lit(blocks)) == b)
+        table = some.select(F.struct(F.col(group).alias("g"), unit(F.col(vector)).alias("c")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("_all"))
+        against = let(unit(F.col(vector)), lambda u: F.transform("_all", lambda s: F.struct(dot(u, s["c"]).alias("cosine"), (-s["g"]).alias("k"))))
+        scored = df.crossJoin(F.broadcast(table)).select(key, against.alias("_s"))  # one row
+        found = scored.select(key, F.array_max("_s").alias("b"))
+        best = found if best is None else best.unionByName(found)
+    if blocks > 1:
+        best = best.groupBy(key).agg(F.max("b").alias("b"))
+    return best.where("b is not null").select(key, (-F.col("b.k")).alias(group), F.col("b.cosine").alias("cosine"))

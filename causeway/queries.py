@@ -911,15 +911,29 @@ def _(spark, d):
     return rounded(E.leaf_edges(_ruled(spark, d)))
 
 
-@add("u4c_tfidf_hierarchy")
-def _(spark, d):
-    """From titles to clusters by the default steps: detection, extraction, canonization, sparse TF-IDF and spherical k-means."""
+def _clustered(spark, d, infer):
     found = steps.extract(steps.detect(X.titles(spark, d)).select(F.col("id").alias("post_id"), "title"))
     relations = D.settled(steps.canonize(D.numbered(found, ["post_id", "cause_text", "effect_text"])), "relations")
-    clusters, members = hierarchy.infer_tfidf(relations)
+    clusters, members = infer(relations)
     return T.member_counts(clusters, members).select("id", "label", "level", "parent_id", "member_count")
 
 
+@add("u4c_tfidf_hierarchy")
+def _(spark, d):
+    """From titles to clusters by the default steps: detection, extraction, canonization, sparse TF-IDF and spherical k-means."""
+    return _clustered(spark, d, hierarchy.infer_tfidf)
+
+
+@add("u4b_ward_hierarchy")
+def _(spark, d):
+    return _clustered(spark, d, hierarchy.infer_ward)
+
+
+@add("u4a_density_hierarchy")
+def _(spark, d):
+    return _clustered(spark, d, hierarchy.infer_density)
+
+
 @add("a27_tfidf", f"""kept AS (SELECT id, list_filter(regexp_extract_all(lower(title), '\\b\\w\\w+\\b'), lambda w: w NOT IN ({STOP})) ws FROM titles), counts AS (SELECT id, term, count(*) n FROM (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1]))) term FROM kept) GROUP BY 1, 2),
   vocabulary AS (SELECT term, ln((1+(SELECT count(*) FROM titles))/(1.0+count(*)))+1 idf FROM counts GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 60), raw AS (SELECT id, term, (1+ln(n))*idf w FROM counts JOIN vocabulary USING (term)) SELECT id, term, round(w/sqrt(sum(w*w) OVER (PARTITION BY id)), 6)::double w FROM raw""", X.B)
 def _(spark, d):

@@ -103,12 +103,12 @@ def test_canonize_distinct(spark):
     assert out.count() == 3 and {x.effect_canonical for x in out.collect()} == {"B", "C"}
 
 
-def test_nearest_centroid_limit(spark):
-    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "g int, v array<double>")
-    v = spark.createDataFrame([(7, [0.9, 0.1]), (8, [0.0, 0.0])], "k int, v array<double>")
-    assert sorted(tuple(r)[:2] for r in vectors.nearest(v, "k", "v", c, "g").collect()) == [(7, 0), (8, 0)]
-    with pytest.raises(ValueError):
-        vectors.nearest(v, "k", "v", c, "g", most=1)
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_nearest_centroid(spark, most):
+    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0]), (3, [2.0, 0.0])], "g int, v array<double>")
+    v = spark.createDataFrame([(7, [0.9, 0.1]), (8, [0.0, 0.0]), (9, [-3.0, 1.0])], "k int, v array<double>")
+    assert sorted(tuple(r)[:2] for r in vectors.nearest(v, "k", "v", c, "g", most).collect()) == [(7, 0), (8, 0), (9, 2)]
+    assert vectors.nearest(v, "k", "v", c.limit(0), "g", most).count() == 0
 
 
 def plain_tree(x, near, weights):
