@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the whole documents table of sf_dir."""
-    docs = common.read(spark, sf_dir, "documents")
+    docs, path = common.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = common.materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        docs, new = common.materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if path:
+            common.discard(spark, path)
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)
