@@ -45,7 +45,7 @@ def test_clean_phrase_by_hand(spark):
 words = st.text(alphabet="ab THEn.,;:)\t \u00e9", max_size=120)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(words, min_size=1, max_size=20))
 def test_clean_phrase_always(spark, texts):
     for t, p in zip(texts, one(spark, X.clean_phrase, *[(t,) for t in texts]), strict=True):
@@ -55,8 +55,9 @@ def test_clean_phrase_always(spark, texts):
             assert len(t.strip()) > 80 or re.search(re.escape(p) + r"\s+[.,;:)]+\s*$", t)
         if p and len(t.strip()) <= 80:
             # nothing but an article in front, and marks behind, went away
-            front, _, behind = t.strip().rpartition(p)
-            assert (not front or ARTICLE.fullmatch(front.rstrip() + " ")) and set(behind) <= set(".,;:) \t")
+            body = t.strip()
+            bodies = [body, *([body.split(maxsplit=1)[-1]] if ARTICLE.match(body) else [])]
+            assert any(x.startswith(p) and set(x[len(p) :]) <= set(".,;:) \t") for x in bodies)
 
 
 SENTENCES = [
@@ -79,7 +80,7 @@ def test_sentences_by_hand(spark):
     assert [[tuple(s) for s in g] for g in got] == [s for _, s in SENTENCES]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet="abC .!?\n\"'", max_size=60), min_size=1, max_size=20))
 def test_sentences_always(spark, texts):
     for t, found in zip(texts, one(spark, X.sentences, *[(t,) for t in texts]), strict=True):
