@@ -12,7 +12,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op1_fingerprints", "op2_licenses", "op4_url_filter"])
+@pytest.mark.parametrize("name", ["op1_fingerprints", "op2_licenses", "op4_url_filter", "op11_substrings", "op12_manifest"])
 def test_rows_equal_sql(spark, name):
     from causeway.llm import queries
 
