@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +81,46 @@ def test_separators_and_lengths(spark):
     assert not any(r.same for r in got) and got[1].near > 0.3 and got[2].near > 0.95
 
 
+def drawn(alphabet, n, seed):
+    r = random.Random(seed)
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+@pytest.mark.parametrize("alphabet", [[chr(c) for c in range(0x4E00, 0x9FA5)], "абвгдежзийклмнопрстуфхцчшщъыьэюя   ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ETAOINSHRDLU   "])
+def test_insertions_move_no_other_run(spark, alphabet):
+    """In long lines of any script and case, one character more near the start leaves almost all runs as they were."""
+    text = drawn(alphabet, 1500, 3)
+    u, v = fingerprints.tree(F.col("u")), fingerprints.tree(F.col("v"))
+    assert spark.createDataFrame([(text, text[:5] + alphabet[7] + text[5:])], "u string, v string").select(fingerprints.likeness(u, v).alias("n")).first().n >= 0.95
+
+
+def test_likeness_against_all_runs(spark):
+    """The walk into differing branches finds what a comparison of all runs with their counts finds; unequal texts stay below 1."""
+    r = random.Random(5)
+    lines = [drawn("abc de", r.randrange(0, 40), i) for i in range(12)] + ["", " "]
+    pairs = [tuple("\n".join(r.choice(lines) for _ in range(r.randrange(0, 30))) for _ in range(2)) for _ in range(60)]
+    pairs += [("a\nb", "b\na"), ("a " * 50, "a " * 5000), ("", ""), (None, ""), ("", "x")]
+    u, v = fingerprints.tree(F.col("u")), fingerprints.tree(F.col("v"))
+
+    def runs(text):
+        out = Counter()
+        for line in (line for section in re.split(r"\n[ \t\r]*\n", text or "") for line in section.split("\n")):
+            run = b""
+            for byte in line.encode():
+                run += bytes([byte])
+                if len(run) > 1 and (run[-2] % 16 == run[-1] % 16 or (5 * (run[-2] % 16) + 3 * (run[-1] % 16)) % 13 == 0):
+                    out[run] += 1
+                    run = b""
+            if run:
+                out[run] += 1
+        return out
+
+    for (a, b), row in zip(pairs, spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, u string, v string").select("i", fingerprints.likeness(u, v).alias("n")).orderBy("i").collect()):
+        x, y = runs(a), runs(b)
+        same = (a or "") == (b or "")
+        assert row.n == pytest.approx(1.0 if same else 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()) + 2)) and (row.n == 1.0) == same
+
+
 def test_edges_of_ranges(spark, tmp_path):
     rows = [(None, "n"), (5, "five"), (5, "fivefive"), (9, "nine nine"), (-3, "minus"), (None, "null id")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
