@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -13,8 +13,6 @@ SHARE, MOST = 1.5, 2.0
 GROUP = 512
 #: A probability nearer than this to 0 or 1 counts as integral.
 TINY = 1e-9
-#: A source whose words are within this share of its target is left as rounded; else so many single changes are tried.
-NEAR, ROUNDS = 0.005, 4
 
 
 def size_of(text: str = "text") -> Column:
@@ -22,30 +20,41 @@ def size_of(text: str = "text") -> Column:
     return F.regexp_count(common.whole_text(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[dict]:
-    """What each source shall give. sizes: source, total (one row per source), source null for those without.
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (one row per source) with part: its number from 0 in code point order, null last. Numbers come from ranges, so no task sees all sources."""
+    spark = sources.sparkSession
+    order = F.col("source").asc_nulls_last()
+    cut = sources.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_range", F.spark_partition_id())
+    cut, _ = common.materialize(cut, "sources")
+    before, starts = 0, []
+    for r in cut.groupBy("_range").count().orderBy("_range").collect():  # one row per range, a number that the session sets
+        starts.append((r["_range"], before))
+        before += r["count"]
+    table = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return cut.withColumn("_number", number).join(table, "_range").withColumn("part", F.col("_start") + F.col("_number")).drop("_range", "_start", "_number")
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sizes (source, total; one row per source, null for those without; other columns stay) with part, weight and target: what each source shall give.
 
     Sources in code point order, null last, get the weights in turn and share `share` times all sizes by weight; a target above `most` times its
-    source's size stops there and its excess is shared again among the others by weight, until none is above. The
-    table of sources comes to the driver: one row per source.
+    source's size stops there and its excess is shared again among the others by weight, until none is above. Each round of that is one sum over the
+    table of sources. If all are at their most, that is what they give.
     """
-    rows = sorted(({"source": r["source"], "total": int(r["total"] or 0)} for r in sizes.collect()), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    for i, r in enumerate(rows):
-        r |= {"weight": weights[i % len(weights)], "target": None}
-    left = share * sum(r["total"] for r in rows)
-    free = list(rows)
-    while free:
-        whole = sum(r["weight"] for r in free)
-        over = [r for r in free if left * r["weight"] / whole > most * r["total"]]
-        if not over:
-            for r in free:
-                r["target"] = left * r["weight"] / whole
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = ranked(sizes.withColumn("total", F.coalesce("total", F.lit(0)))).withColumn("weight", F.get(table, F.pmod("part", F.lit(len(weights))).cast("int")))
+    weighed, _ = common.materialize(weighed, "weights")
+    top = F.col("total") * F.lit(float(most))
+    left = share * (weighed.agg(F.sum("total").alias("s")).first()["s"] or 0)
+    level, free = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.lit(level) * F.col("weight") > top
+        r = weighed.agg(F.sum(F.when(over, top).otherwise(0.0)).alias("given"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("whole"), F.count(F.when(~over, 1)).alias("free")).first()
+        if r["free"] in (0, free):
             break
-        for r in over:
-            r["target"] = most * r["total"]
-        left -= sum(r["target"] for r in over)
-        free = [r for r in free if r["target"] is None]
-    return rows
+        level, free = (left - r["given"]) / r["whole"], r["free"]
+    return weighed.withColumn("target", F.least(F.lit(level or 0.0) * F.col("weight"), top))
 
 
 def _unit(*parts: Column) -> Column:
@@ -54,63 +63,59 @@ def _unit(*parts: Column) -> Column:
 
 
 def _round(items: Column, seed: int) -> Column:
-    """One pass of the pivotal method over an array of (size, id, p): each pair passes mass until one of the two is integral.
+    """One pass of the pivotal method over an array of (size, id, p): each pair passes words until one of the two is integral.
 
     Returns (left, done): the item that is still fractional, or null, and (id, copy) of all others.
     """
     null = F.expr("cast(null as struct<size: bigint, id: bigint, p: double>)")
     none = F.expr("cast(array() as array<struct<id: bigint, copy: bigint>>)")
 
-    def item(x, p):
-        return F.struct(x["size"].alias("size"), x["id"].alias("id"), p.alias("p"))
-
-    def decided(x, copy):
-        return F.array(F.struct(x["id"].alias("id"), F.lit(copy).cast("bigint").alias("copy")))
-
-    def step(acc, x):
-        a, b = acc["left"], x
-        total = a["p"] + b["p"]
-        u = _unit(a["id"], b["id"], F.lit(seed))
-        below = total < 1.0 - TINY
-        # below one: one of them gets all the mass, the other 0; from one on: one of them gets 1, the other the rest
-        first = F.when(below, u * total < a["p"]).otherwise(u * (2.0 - total) < 1.0 - b["p"])
-        stays = F.when(first == below, a).otherwise(b)
-        goes = F.when(first == below, b).otherwise(a)
-        rest = F.when(below, total).otherwise(total - 1.0)
-        drops = decided(goes, 0)
-        takes = decided(goes, 1)
-        out = F.concat(acc["done"], F.when(below, drops).otherwise(takes))
-        return (
-            F.when(a.isNull(), F.struct(item(b, b["p"]).alias("left"), acc["done"].alias("done")))
-            .when(rest <= TINY, F.struct(null.alias("left"), F.concat(out, decided(stays, 0)).alias("done")))
-            .when(rest >= 1.0 - TINY, F.struct(null.alias("left"), F.concat(out, decided(stays, 1)).alias("done")))
-            .otherwise(F.struct(item(stays, rest).alias("left"), out.alias("done")))
-        )
+    def step(acc, b):
+        a = acc["left"]
+        # words by which a can grow at b's cost, and shrink in b's favour; either way the sum of size * p stays, and so does each one's expectation
+        grow = F.least(a["size"] * (1.0 - a["p"]), b["size"] * b["p"])
+        shrink = F.least(a["size"] * a["p"], b["size"] * (1.0 - b["p"]))
+        up = _unit(a["id"], b["id"], F.lit(seed)) * (grow + shrink) < shrink
+        by = F.when(up, grow).otherwise(-shrink)
+
+        def settle(m: Column) -> Column:
+            pair = F.array(m["a"], m["b"])
+            open_ = F.filter(pair, lambda x: (x["p"] > TINY) & (x["p"] < 1.0 - TINY))
+            shut = F.filter(pair, lambda x: (x["p"] <= TINY) | (x["p"] >= 1.0 - TINY))
+            return F.struct(F.get(open_, F.lit(0)).alias("left"), F.concat(acc["done"], F.transform(shut, lambda x: F.struct(x["id"].alias("id"), F.round(x["p"]).cast("bigint").alias("copy")))).alias("done"))
+
+        def item(x, p):
+            return F.struct(x["size"].alias("size"), x["id"].alias("id"), p.alias("p"))
+
+        moved = F.struct(item(a, a["p"] + by / a["size"]).alias("a"), item(b, b["p"] - by / b["size"]).alias("b"))
+        return F.when(a.isNull(), F.struct(b.alias("left"), acc["done"].alias("done"))).otherwise(common.let(moved, settle))
 
     return F.aggregate(items, F.struct(null.alias("left"), none.alias("done")), step)
 
 
 def pivotal(rows: DataFrame, seed: int = 7, group: int = GROUP) -> DataFrame:
-    """Rounds fractional probabilities dependently. rows: part, id, size, p with 0 < p < 1; returns id, copy (0 or 1).
+    """Rounds fractional probabilities dependently. rows: part, n (rows of the part, or more), id, size > 0, p with 0 < p < 1; returns part, id, copy (0 or 1).
 
-    Each level of the tree deals the rows of a part by hash to groups of about `group`, so that a part of any size is
-    spread over all tasks; inside a group, rows of near sizes are paired. What stays fractional, one row per group at most, goes to
-    the next level, until no part has two. The last row of a part is drawn by its own probability. Sums of p over a part
-    are kept to less than one. Draws depend on ids only, so reruns agree; ids must differ within a part.
+    Pairs pass words (size times p), not bare probability, so the words of a part are kept. Each level of the tree deals the rows of a part by hash to
+    groups of about `group`, so that a part of any size is spread over all tasks; inside a group the largest come first, so neighbours are of near sizes and
+    what is left is small. What stays fractional, one row per group at most, goes to the next level, until each part is one group; its last row is drawn
+    by its own probability. So the sum of size * copy differs from that of size * p by less than the size of one row. Draws depend on ids only, so reruns
+    agree; ids must differ within a part.
     """
-    spark, decided, level = rows.sparkSession, [], 0
+    most = rows.agg(F.max("n").alias("n")).first()["n"] or 0
+    decided, level = [], 0
     while True:
-        counts = rows.groupBy("part").agg(F.count("*").alias("_n"))
-        dealt = rows.join(F.broadcast(counts), "part")  # one row per part, whose number targets() has bounded
-        dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.greatest(F.lit(1), F.ceil(F.col("_n") / group))))
-        packed = dealt.groupBy("part", "_g").agg(F.array_sort(F.collect_list(F.struct("size", "id", "p"))).alias("items"))
-        out, _ = common.materialize(packed.select("part", _round(F.col("items"), seed + level).alias("r")).select("part", "r.left", "r.done"), "mix")
-        decided.append(out.select(F.explode("done").alias("d")).select("d.id", "d.copy"))
-        rows = out.where("left is not null").select("part", "left.id", "left.size", "left.p")
+        groups = F.greatest(F.lit(1), F.ceil(F.col("n") / group)).cast("long")
+        dealt = rows.withColumn("_groups", groups).withColumn("_g", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("_groups")))
+        packed = dealt.groupBy("part", "_g").agg(F.max("_groups").alias("n"), F.sort_array(F.collect_list(F.struct("size", "id", "p")), asc=False).alias("items"))
+        out, _ = common.materialize(packed.select("part", "n", _round(F.col("items"), seed + level).alias("r")).select("part", "n", "r.left", "r.done"), "mix")
+        decided.append(out.select("part", F.explode("done").alias("d")).select("part", "d.id", "d.copy"))
+        rows = out.where("left is not null").select("part", "n", "left.id", "left.size", "left.p")
         level += 1
-        if not rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        if most <= group:
             break
-    decided.append(rows.select("id", (_unit(F.col("id"), F.lit(seed + 1000)) < F.col("p")).cast("bigint").alias("copy")))
+        most = -(-most // group)
+    decided.append(rows.select("part", "id", (_unit(F.col("id"), F.lit(seed + 1000)) < F.col("p")).cast("bigint").alias("copy")))
     whole = decided[0]
     for d in decided[1:]:
         whole = whole.unionByName(d)
@@ -120,58 +125,26 @@ def pivotal(rows: DataFrame, seed: int = 7, group: int = GROUP) -> DataFrame:
 def plan(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
     """How often the mix takes each row of df (doc_id, text, source): doc_id, row, size, source_size, target, copies.
 
-    A row of a source with target t and size s is taken floor(t/s) times and once more with the fractional part as its probability, rounded by pivotal(); repaired() then evens out sources of few documents.
-    `row` is a hash of the id and the text that pairs results with rows. Null texts have size 0; a null source is a source of its own;
-    a source of size 0 has target 0 and gives nothing. Rows equal in id, source and text share one decision. An empty table gives an empty result.
+    A row of a source with target t and size s is taken floor(t/s) times and once more with the fractional part as its probability, rounded by pivotal(), so a source's words miss
+    its target by less than its longest document. `row` is a hash of the id and the text that pairs results with rows. Null texts have size 0, and rows of size 0
+    are drawn each for itself; a null source is a source of its own; a source of size 0 has target 0 and gives nothing. Rows equal in id, source and text share one
+    decision, with all their words: a source that is one such row over and over gives all or nothing of a copy. An empty table gives an empty result.
+    The table of sources stays in Spark. It is broadcast up to common.SMALL rows; beyond, it is shuffled, with its largest sources looked up.
     """
-    spark = df.sparkSession
-    narrow = df.select("doc_id", "source", F.xxhash64(F.col("doc_id"), common.whole_text(), F.col("source")).alias("row"), size_of().alias("size"))
+    narrow = df.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), F.xxhash64(F.col("doc_id"), common.whole_text(), F.col("source")).alias("row"), size_of().alias("size"))
     narrow, _ = common.materialize(narrow, "sizes")
-    rows = targets(narrow.groupBy("source").agg(F.sum("size").alias("total")), weights, share, most)
-    schema = "source string, part int, source_size long, target double, base long, p double"
-    table = []
-    for i, r in enumerate(rows):
-        ratio = min(most, r["target"] / r["total"]) if r["total"] else 0.0
-        base = int(ratio + TINY)
-        p = ratio - base
-        table.append((r["source"], i, r["total"], float(r["target"]), base, 0.0 if p < TINY else p))
-    quotas = F.broadcast(spark.createDataFrame(table, schema).withColumnRenamed("source", "_source"))
-    placed = narrow.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    unsure = placed.where("p > 0").select("part", F.col("row").alias("id"), "size", "p").dropDuplicates(["id"])
-    chosen = pivotal(unsure, seed).where("copy = 1").select(F.col("id").alias("row"), F.lit(1).cast("bigint").alias("_more"))
-    rounded = placed.join(chosen, "row", "left").select("doc_id", "part", "row", "size", "source_size", "target", (F.col("base") + F.coalesce("_more", F.lit(0))).alias("copies"))
-    return repaired(rounded, most).drop("part")
-
-
-def repaired(rows: DataFrame, most: float, near: float = NEAR, rounds: int = ROUNDS) -> DataFrame:
-    """rows with copy numbers changed by one where that brings a source's words nearer to its target.
-
-    Rounding keeps the number of copies, not of words: in a source of few documents one long text can weigh. While a source is further than
-    the share `near` from its target, the document whose size is nearest to what is missing or too much gets a copy more or less, from 0 to `most`.
-    One document of each such source changes in a round; sources of many documents need none. What comes to the driver is one row per source.
-    """
-    rows, _ = common.materialize(rows, "rounded")
-    spark, changes = rows.sparkSession, {}
-
-    def changed(df: DataFrame) -> DataFrame:
-        if not changes:
-            return df
-        table = F.broadcast(spark.createDataFrame([(k, v) for k, v in changes.items()], "row long, _by long"))
-        return df.join(table, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("_by", F.lit(0))).drop("_by")
-
-    for _ in range(rounds):
-        now = changed(rows)
-        off = [(r["part"], float(r["e"])) for r in now.groupBy("part").agg((F.sum(F.col("size") * F.col("copies")) - F.max("target")).alias("e"), F.max("target").alias("t")).collect() if r["t"] and abs(r["e"]) > near * r["t"]]
-        if not off:
-            break
-        errors = F.broadcast(spark.createDataFrame(off, "part int, e double"))
-        can = F.when(F.col("e") > 0, F.col("copies") >= 1).otherwise(F.col("copies") + 1 <= most) & (F.abs(F.col("e").cast("double")) > F.abs(F.abs("e") - F.col("size")))
-        best = now.join(errors, "part").where(can).groupBy("part").agg(F.min_by(F.struct("row", "e"), F.struct(F.abs(F.abs("e") - F.col("size")), F.col("row"))).alias("b")).collect()
-        if not best:
-            break
-        for r in best:
-            changes[r["b"]["row"]] = changes.get(r["b"]["row"], 0) + (-1 if r["b"]["e"] > 0 else 1)
-    return changed(rows)
+    sources = narrow.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("n")).withColumn("source", F.when(F.col("key") != "", F.substr("key", F.lit(2))))
+    ratio = F.when(F.col("total") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("total"))).otherwise(0.0)
+    shares = targets(sources, weights, share, most).withColumn("_ratio", ratio).withColumn("base", F.floor(F.col("_ratio") + TINY)).withColumn("p", F.col("_ratio") - F.col("base"))
+    quotas, _ = common.materialize(shares.select("key", "part", "n", F.col("total").alias("source_size"), "target", "base", F.when(F.col("p") < TINY, 0.0).otherwise(F.col("p")).alias("p")), "quotas")
+    if quotas.limit(common.SMALL + 1).count() <= common.SMALL:
+        placed = narrow.join(F.broadcast(quotas), "key")
+    else:
+        placed = common.spread_join(narrow, quotas, "key", common.hub_bound(narrow.count()))
+    unsure = placed.where("p > 0 and size > 0").groupBy("part", F.col("row").alias("id")).agg(F.max("n").alias("n"), F.sum("size").alias("size"), F.max("p").alias("p"))
+    chosen = pivotal(unsure, seed).where("copy = 1").select("part", F.col("id").alias("row"), F.lit(1).cast("bigint").alias("_more"))
+    alone = F.when((F.col("size") == 0) & (_unit(F.col("row"), F.lit(seed + 2000)) < F.col("p")), 1).otherwise(0)
+    return placed.join(chosen, ["part", "row"], "left").select("doc_id", "row", "size", "source_size", "target", (F.col("base") + F.coalesce("_more", alone)).alias("copies"))
 
 
 def mix(df: DataFrame, **options) -> DataFrame:

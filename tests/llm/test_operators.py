@@ -535,10 +535,42 @@ def test_mixing(spark, docs, table):
 
 
 def test_pivotal_keeps_sums(spark):
-    rows = spark.createDataFrame([(p, p * 10_000 + i, 1 + (i * 37) % 50, 0.1 + 0.2 * p) for p in range(4) for i in range(900)], "part int, id long, size long, p double")
-    got = mixing.pivotal(rows, group=64).groupBy((F.col("id") / 10_000).cast("int").alias("p")).agg(F.sum("copy").alias("n"), F.count("*").alias("m"), F.count_distinct("id").alias("d")).collect()
+    """Counts are kept where sizes are the same, words where they differ, to less than one row."""
+    rows = spark.createDataFrame([(p, 900, p * 10_000 + i, 1 if p % 2 else 1 + (i * 37) % 50, 0.1 + 0.2 * p) for p in range(4) for i in range(900)], "part int, n long, id long, size long, p double")
+    got = mixing.pivotal(rows, group=64).join(rows.drop("n"), ["part", "id"]).groupBy("part").agg(F.sum(F.col("copy") * F.col("size")).alias("n"), F.sum(F.col("p") * F.col("size")).alias("t"), F.count("*").alias("m"), F.count_distinct("id").alias("d"), F.max("size").alias("s"), F.avg("copy").alias("c")).collect()
     for r in got:
-        assert abs(r.n - 900 * (0.1 + 0.2 * r.p)) < 1 + 1e-6 and r.m == r.d == 900
+        assert abs(r.n - r.t) < r.s + 1e-6 and r.m == r.d == 900 and abs(r.c - (0.1 + 0.2 * r.part)) < 0.06
+
+
+def test_pairs_are_fair(spark):
+    """Over many seeds each row is taken as often as its probability says, in pairs of any sizes."""
+    rows = [(k, 3, k * 3 + i, s, p) for k in range(3000) for i, (s, p) in enumerate([(7, 0.3), (2, 0.6), (40, 0.45)])]
+    got = mixing.pivotal(spark.createDataFrame(rows, "part long, n long, id long, size long, p double")).groupBy((F.col("id") % 3).alias("i")).agg(F.avg("copy").alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == pytest.approx([0.3, 0.6, 0.45], abs=0.04)
+
+
+def test_targets_of_many_sources(spark):
+    """Targets of 5,000 sources, most of them at their cap, equal the plain rounds; no row of them comes to the driver."""
+    r = random.Random(2)
+    sizes = {f"s{r.randrange(10**9)}é{i}": int(r.paretovariate(0.7)) - 1 for i in range(5000)} | {None: 10, "": 3}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, total long")).collect()
+    want = target_model(sizes)
+    assert len(got) == len(sizes) and all(x.target == pytest.approx(want[x.source], rel=1e-9) for x in got)
+
+
+def test_mix_of_ties_repeats_and_hot_sources(spark, monkeypatch):
+    """Null and hot sources, repeated rows, null ids and empty texts; the table of sources may also be shuffled. Extra columns stay."""
+    rows = [(i, "w " * (1 + i % 5), "hot", i) for i in range(800)] + [(7, "a b c", None, 1)] * 3 + [(None, None, "x", 2), (None, "", "x", 2), (5000, "q r s t u", "y", 3)] + [(6000 + i, "k", "z", 4) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    first = mixing.plan(df).collect()
+    monkeypatch.setattr(common, "SMALL", 1)
+    monkeypatch.setattr(common, "hub_bound", lambda n: 100)
+    again = mixing.plan(df).collect()
+    assert sorted(map(tuple, first), key=repr) == sorted(map(tuple, again), key=repr) and len(first) == len(rows)
+    for size, source in {(x.source_size, x.target) for x in first}:
+        taken = sum(x.size * x.copies for x in first if x.source_size == size)
+        assert abs(taken - source) < max(x.size for x in first if x.source_size == size) * 3 + 1e-6
+    assert all(0 <= x.copies <= 2 for x in first) and mixing.mix(df).columns == df.columns
 
 
 # Empty tables and batches
