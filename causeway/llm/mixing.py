@@ -62,10 +62,60 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def _round(items: Column, seed: int) -> Column:
-    """One pass of the pivotal method over an array of (size, id, p): each pair passes words until one of the two is integral.
+def _together(items: Column, seed: int) -> Column:
+    """One pass of the pivotal method over an array of (size, id, p), largest first, of equal p: each row is paired with all that follow it, and the pair passes words until one of the two is integral.
 
-    Returns (left, done): the item that is still fractional, or null, and (id, copy) of all others.
+    What the rows behind give or take is shared by all of them, so their probabilities, a * p + b, stay equal. If they run out of words, or
+    can take no more, all of them are integral, and the row stays fractional; else it is decided, and the next one has its turn. Returns (left, done): the
+    rows still fractional, one at most, and (id, copy) of all others.
+    """
+    struct = "size: bigint, id: bigint, p: double"
+    start = F.struct(
+        F.expr(f"cast(array() as array<struct<{struct}>>)").alias("left"),
+        F.expr("cast(array() as array<struct<id: bigint, copy: bigint>>)").alias("done"),
+        F.lit(1.0).alias("a"),
+        F.lit(0.0).alias("b"),
+        F.aggregate(items, F.lit(0).cast("bigint"), lambda n, x: n + x["size"]).alias("size"),
+        F.aggregate(items, F.lit(0.0), lambda n, x: n + x["size"] * x["p"]).alias("words"),
+    )
+
+    def step(acc, x):
+        size = x["size"]
+
+        def turn(m: Column) -> Column:
+            """m: the row's p, and the size and words of the rows behind."""
+            p, behind, words = m["p"], m["size"], m["words"]
+            # words by which the row can grow at the others' cost, and shrink in their favour; either way the sum of words stays, and so does each one's expectation
+            fractional = (p > TINY) & (p < 1.0 - TINY)
+            grow = F.when(fractional, F.least(size * (1.0 - p), words)).otherwise(0.0)
+            shrink = F.when(fractional, F.least(size * p, behind - words)).otherwise(0.0)
+            up = _unit(x["id"], F.lit(seed)) * (grow + shrink) < shrink
+            part = F.coalesce(F.when(up, F.try_divide(grow, words)).otherwise(F.try_divide(shrink, behind - words)), F.lit(0.0))
+            return common.let(F.struct(up.alias("up"), F.when(up, grow).otherwise(-shrink).alias("by"), part.alias("part")), lambda move: moved(m, move))
+
+        def moved(m: Column, move: Column) -> Column:
+            p, keep = m["p"] + move["by"] / size, 1.0 - move["part"]
+            row = F.array(F.struct(size.alias("size"), x["id"].alias("id"), p.alias("p")))
+            return F.struct(
+                F.concat(acc["left"], F.filter(row, lambda r: (r["p"] > TINY) & (r["p"] < 1.0 - TINY))).alias("left"),
+                F.concat(acc["done"], F.transform(F.filter(row, lambda r: (r["p"] <= TINY) | (r["p"] >= 1.0 - TINY)), lambda r: F.struct(r["id"].alias("id"), F.round(r["p"]).cast("bigint").alias("copy")))).alias("done"),
+                (acc["a"] * keep).alias("a"),
+                (acc["b"] * keep + F.when(move["up"], 0.0).otherwise(move["part"])).alias("b"),
+                m["size"].alias("size"),
+                (m["words"] - move["by"]).alias("words"),
+            )
+
+        p = acc["a"] * x["p"] + acc["b"]
+        behind = acc["size"] - size
+        return common.let(F.struct(p.alias("p"), behind.alias("size"), F.greatest(F.lit(0.0), F.least(behind.cast("double"), acc["words"] - size * p)).alias("words")), turn)
+
+    return F.aggregate(items, start, step, lambda acc: F.struct(acc["left"].alias("left"), acc["done"].alias("done")))
+
+
+def _pairs(items: Column, seed: int) -> Column:
+    """One pass of the pivotal method over an array of (size, id, p) of any probabilities: each pair passes words until one of the two is integral.
+
+    Returns (left, done): an array of the row that is still fractional, if there is one, and (id, copy) of all others.
     """
     null = F.expr("cast(null as struct<size: bigint, id: bigint, p: double>)")
     none = F.expr("cast(array() as array<struct<id: bigint, copy: bigint>>)")
@@ -90,15 +140,15 @@ def _round(items: Column, seed: int) -> Column:
         moved = F.struct(item(a, a["p"] + by / a["size"]).alias("a"), item(b, b["p"] - by / b["size"]).alias("b"))
         return F.when(a.isNull(), F.struct(b.alias("left"), acc["done"].alias("done"))).otherwise(common.let(moved, settle))
 
-    return F.aggregate(items, F.struct(null.alias("left"), none.alias("done")), step)
+    return F.aggregate(items, F.struct(null.alias("left"), none.alias("done")), step, lambda acc: F.struct(F.array_compact(F.array(acc["left"])).alias("left"), acc["done"].alias("done")))
 
 
 def pivotal(rows: DataFrame, seed: int = 7, group: int = GROUP) -> DataFrame:
-    """Rounds fractional probabilities dependently. rows: part, n (rows of the part, or more), id, size > 0, p with 0 < p < 1; returns part, id, copy (0 or 1).
+    """Rounds fractional probabilities dependently. rows: part, n (rows of the part, or more), id, size > 0, and p with 0 < p < 1, the same in a whole part; returns part, id, copy (0 or 1).
 
     Pairs pass words (size times p), not bare probability, so the words of a part are kept. Each level of the tree deals the rows of a part by hash to
-    groups of about `group`, so that a part of any size is spread over all tasks; inside a group the largest come first, so neighbours are of near sizes and
-    what is left is small. What stays fractional, one row per group at most, goes to the next level, until each part is one group; its last row is drawn
+    groups of about `group`, so that a part of any size is spread over all tasks; inside a group the largest are decided first, on the first level each
+    against all that follow, so what is left is small. What stays fractional, one row per group at most, goes to the next level, until each part is one group; its last row is drawn
     by its own probability. So the sum of size * copy differs from that of size * p by less than the size of one row. Draws depend on ids only, so reruns
     agree; ids must differ within a part.
     """
@@ -108,9 +158,9 @@ def pivotal(rows: DataFrame, seed: int = 7, group: int = GROUP) -> DataFrame:
         groups = F.greatest(F.lit(1), F.ceil(F.col("n") / group)).cast("long")
         dealt = rows.withColumn("_groups", groups).withColumn("_g", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("_groups")))
         packed = dealt.groupBy("part", "_g").agg(F.max("_groups").alias("n"), F.sort_array(F.collect_list(F.struct("size", "id", "p")), asc=False).alias("items"))
-        out, _ = common.materialize(packed.select("part", "n", _round(F.col("items"), seed + level).alias("r")).select("part", "n", "r.left", "r.done"), "mix")
+        out, _ = common.materialize(packed.select("part", "n", (_pairs if level else _together)(F.col("items"), seed + level).alias("r")).select("part", "n", "r.left", "r.done"), "mix")
         decided.append(out.select("part", F.explode("done").alias("d")).select("part", "d.id", "d.copy"))
-        rows = out.where("left is not null").select("part", "n", "left.id", "left.size", "left.p")
+        rows = out.select("part", "n", F.explode("left").alias("l")).select("part", "n", "l.id", "l.size", "l.p")
         level += 1
         if most <= group:
             break

@@ -542,11 +542,14 @@ def test_pivotal_keeps_sums(spark):
         assert abs(r.n - r.t) < r.s + 1e-6 and r.m == r.d == 900 and abs(r.c - (0.1 + 0.2 * r.part)) < 0.06
 
 
-def test_pairs_are_fair(spark):
-    """Over many seeds each row is taken as often as its probability says, in pairs of any sizes."""
-    rows = [(k, 3, k * 3 + i, s, p) for k in range(3000) for i, (s, p) in enumerate([(7, 0.3), (2, 0.6), (40, 0.45)])]
-    got = mixing.pivotal(spark.createDataFrame(rows, "part long, n long, id long, size long, p double")).groupBy((F.col("id") % 3).alias("i")).agg(F.avg("copy").alias("c")).orderBy("i").collect()
-    assert [r.c for r in got] == pytest.approx([0.3, 0.6, 0.45], abs=0.04)
+@pytest.mark.parametrize("sizes", [(7, 2, 40), (5, 5, 4, 1), (1, 1, 1, 1, 90)])
+@pytest.mark.parametrize("group", [2, 512])
+def test_pairs_are_fair(spark, sizes, group):
+    """Over many parts each row is taken as often as its probability says, whatever the sizes, in one group and over several levels."""
+    n, p = len(sizes), 0.35
+    rows = [(k, n, k * n + i, s, p) for k in range(3000) for i, s in enumerate(sizes)]
+    got = mixing.pivotal(spark.createDataFrame(rows, "part long, n long, id long, size long, p double"), group=group).groupBy((F.col("id") % n).alias("i")).agg(F.avg("copy").alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == pytest.approx([p] * n, abs=0.04)
 
 
 def test_targets_of_many_sources(spark):
