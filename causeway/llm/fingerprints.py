@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A run, the finest branch of a tree, ends where a window of two bytes of UTF-8 says so: where the low halves a, b of the two give 5a + 3b = 0 (mod 13) or are the same, both bytes in the
-#: run. That is one place in seven or so, whatever the script or case; nothing further away counts, so runs are as before soon after an insertion. A stretch without such a place, such as "abab", is one run.
-_ENDS = "|".join(f"{a:X}.[{''.join(f'{b:X}' for b in range(16) if a == b or (5 * a + 3 * b) % 13 == 0)}]" for a in range(16))
+#: A run, the finest branch of a tree, ends where a window of two bytes of UTF-8 says so: where the low halves a, b of the two give b = 4a + 8 (mod 16), both bytes in the run. That is one
+#: place in ten to sixteen, whatever the script or case; nothing further away counts, so runs are as before soon after an insertion. A stretch without such a place, such as "abab", is one run.
+_ENDS = "|".join(f"[{''.join(f'{a:X}' for a in range(k, 16, 4))}].{(4 * k + 8) % 16:X}" for k in range(4))
 #: Over the hexadecimal digits of a text: a run, and what follows the last place.
 RUNS = f"(?:..)*?.(?:{_ENDS})|(?:..)+"
 #: Hexadecimal digits that a tree keeps of a run's hash; a paragraph's hash is made of whole ones.

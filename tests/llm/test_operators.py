@@ -108,7 +108,7 @@ def test_likeness_against_all_runs(spark):
             run = b""
             for byte in line.encode():
                 run += bytes([byte])
-                if len(run) > 1 and (run[-2] % 16 == run[-1] % 16 or (5 * (run[-2] % 16) + 3 * (run[-1] % 16)) % 13 == 0):
+                if len(run) > 1 and run[-1] % 16 == (4 * (run[-2] % 16) + 8) % 16:
                     out[run] += 1
                     run = b""
             if run:
