@@ -80,14 +80,15 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
         near = common.literal([0, *(1 << i for i in range(63)), -(1 << 63)], "bigint")
         named = members.select("fp", F.explode(near).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
         least = named.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("point", "a")
-        shared = named.join(least, "point").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
+        shared = named.join(least.hint("merge"), "point").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
         table, asks = table.join(busy, ["part", "key"], "left_anti"), asks.join(busy, ["part", "key"], "left_anti")
     else:
         shared = None
         common.discard(prints.sparkSession, path)
     x, y = asks.alias("x"), table.alias("y")
     apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    pairs = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (apart <= 2)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    # shuffled: Spark sizes both sides as before their explodes, 66 times too low for one of them, and would broadcast it
+    pairs = x.join(y.hint("merge"), (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (apart <= 2)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     return pairs if shared is None else pairs.unionByName(shared)
 
 

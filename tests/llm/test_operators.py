@@ -584,3 +584,19 @@ def test_empty_tables(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     for f in (fingerprints.op1, licenses.op2, lm_scoring.op3, quality.op5, simhash.op6, pii.op7, media.op9, mixing.op10):
         assert f(spark, d).count() == 0
+
+
+def test_exploded_fingerprints_are_never_broadcast(spark):
+    prints = spark.range(3000).select(F.xxhash64("id").alias("fp")).unionByName(spark.createDataFrame([(1 << i,) for i in range(40)], "fp long")).groupBy("fp").agg(F.count("*")).select("fp")
+    for crowd in (simhash.CROWD, 8):
+        df = simhash.links(prints, crowd)
+        pairs = {tuple(sorted(r)) for r in df.collect()}
+        assert len(pairs) >= 39
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        for at in (m.start() for m in re.finditer("BroadcastExchange", plan)):
+            line = plan[plan.rfind("\n", 0, at) + 1 : plan.find("\n", at)]
+            depth, below = at - plan.rfind("\n", 0, at), plan[at:].split("\n")[1:]
+            for b in below:
+                if len(b) - len(b.lstrip(" :+-*()0123456789")) < depth - 2:
+                    break
+                assert "Generate explode" not in b, line
