@@ -1,5 +1,6 @@
 """Text expressions against Python's own re and str."""
 
+import random
 import re
 import unicodedata
 
@@ -171,3 +172,34 @@ def test_analyze(spark):
     assert [(r["index"], r.span_text, r.start, r.end) for r in events.orderBy("index").collect()] == [(0, "Tea", 0, 3), (1, "joy", 11, 14), (2, "sleep!", 29, 35), (3, "harm", 55, 59)]
     assert [(r.cause_event_index, r.effect_event_index, r.relation_type, r.p_causal) for r in relations.orderBy("sentence_index").collect()] == [(0, 1, "causal", 1.0), (1, 2, "causal", 1.0), (0, 3, "countercausal", 0.0)]
     assert analyze.response(docs).count() == 3
+
+
+def test_first_places_are_those_of_find():
+    r = random.Random(1)
+    for _ in range(100):
+        t = "".join(r.choices("abcé\U0001f600 ", k=r.randint(1, 300)))
+        some = [t[i : i + r.randint(1, 9)] for i in r.choices(range(len(t)), k=20)] + ["zz", "", t + "x"]
+        assert analyze.first_places(t, some) == [t.find(p) for p in some]
+
+
+def test_analysis_of_a_long_document(spark, monkeypatch):
+    lines = [f"Stress {i % 700} causes Pain {i % 90}" + ("." if i % 3 else " . ") for i in range(2000)]
+    lines.insert(0, "the PAIN 7 was seen. STRESS 44 too")
+    text = "\n".join(lines)
+    asked = []
+    monkeypatch.setattr(steps, "pair", lambda c, pair=steps.pair: asked.append(1) or pair(c))
+    docs = spark.createDataFrame([(1, text), (2, "tea causes joy"), (3, " \n"), (None, "milk causes sleep")], "doc_id long, text string")
+    events, relations = analyze.analyze(docs)
+    got = {r.span_text.lower(): r for r in events.where("doc_id = 1").collect()}
+    low = text.lower()
+    assert len(got) == 790 and len(asked) == 1
+    for name, r in got.items():
+        at = low.find(name)
+        assert r.description == text[at : at + len(name)] and text[r.start : r.end].lower() == name
+    assert got["pain 7"].description == "PAIN 7" and got["stress 44"].description == "STRESS 44"
+    assert got["stress 0"]["index"] == 0 and got["pain 0"]["index"] == 1
+    assert sorted(r.sentence_index for r in relations.where("doc_id = 1").collect()) == list(range(2, 2002))
+    assert {r.description for r in events.where("doc_id = 2 or doc_id is null").collect()} == {"tea", "joy", "milk", "sleep"}
+    # lines are dealt to tasks: none has a document for itself
+    plan = events._jdf.queryExecution().analyzed().toString()
+    assert "_text" not in plan
