@@ -30,12 +30,6 @@ def enclosing(spans: DataFrame, phrases: DataFrame) -> DataFrame:
     return around.select(*columns, F.lit(True).alias("covers")).unionByName(inside.select(*columns, F.lit(False).alias("covers")))
 
 
-def headed(tokens: DataFrame) -> DataFrame:
-    """tokens (doc, i, start, end, text, head) with head_text, the text of the token that i depends on; its own for a root."""
-    heads = tokens.select("doc", F.col("i").alias("head"), F.col("text").alias("head_text"))
-    return tokens.join(heads, ["doc", "head"])
-
-
 def smallest_phrase(spans: DataFrame, phrases: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, start, end, p_start, p_end) for the spans that a phrase stands for.
 
@@ -48,8 +42,10 @@ def smallest_phrase(spans: DataFrame, phrases: DataFrame, tokens: DataFrame, tex
     part = found.where("not covers").groupBy(*span).agg(F.min(F.struct("p_start", "p_end")).alias("p")).select(*span, "p.p_start", "p.p_end").join(best.select(*span), span, "left_anti")
     before = part.join(texts.select("doc", "text"), "doc").select(*span, "p_start", "p_end", F.rtrim(F.substring("text", F.col("start") + 1, F.col("p_start") - F.col("start"))).alias("before"))
     at = before.withColumn("_bin", F.explode(F.sequence(F.expr(f"p_start div {BIN}"), F.expr(f"(p_end - 1) div {BIN}"))))
-    words = headed(tokens).select("doc", F.expr(f"start div {BIN}").alias("_bin"), F.col("start").alias("t_start"), F.col("head_text").alias("before"))
-    hung = at.join(words, ["doc", "_bin", "before"]).where((F.col("t_start") >= F.col("p_start")) & (F.col("t_start") < F.col("p_end")))
+    # only of tokens in such phrases is the head looked up
+    words = tokens.select("doc", F.expr(f"start div {BIN}").alias("_bin"), F.col("start").alias("t_start"), "head")
+    inside = at.join(words, ["doc", "_bin"]).where((F.col("t_start") >= F.col("p_start")) & (F.col("t_start") < F.col("p_end"))).select(*span, "p_start", "p_end", "before", "head").distinct()
+    hung = inside.join(tokens.select("doc", F.col("i").alias("head"), F.col("text").alias("before")), ["doc", "head", "before"])
     return best.unionByName(hung.select(*span, "p_start", "p_end").distinct())
 
 
