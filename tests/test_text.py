@@ -203,3 +203,20 @@ def test_analysis_of_a_long_document(spark, monkeypatch):
     # lines are dealt to tasks: none has a document for itself
     plan = events._jdf.queryExecution().analyzed().toString()
     assert "_text" not in plan
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_of_words_need_no_join(spark):
+    from causeway import fixtures
+
+    texts, tokens, some, spans = fixtures.parsed(spark, "/root/testdata/sf0.001")
+    for df in (tokens, some, spans):
+        assert _optimized(df).count("Join ") == _optimized(texts).count("Join ")
+
+
+def test_extraction_matches_a_title_once(spark):
+    titles = spark.range(4).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("tea causes joy "), F.col("id").cast("string")).alias("title"))
+    assert sum("regexp_extract" in line for line in _optimized(steps.extract(titles)).split("\n")) == 1
