@@ -101,3 +101,15 @@ def test_reading(spark, rows):
 def test_conform(spark):
     legacy = spark.createDataFrame([(1, "p", 1), (2, "p", 0)], "id long, post_id string, is_countercausal int")
     assert [r.relation_type for r in schemas.conform(legacy, schemas.RELATIONS).orderBy("id").collect()] == ["countercausal", "causal"]
+
+
+def test_leaf_edges_hold_rows_in_bounded_tasks(spark, small, rows):
+    """No row is tripled for two distinct counts, and relations meet members in as many tasks as the session shuffles to, whatever the bytes."""
+    plan = E.leaf_edges(small)._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan
+    twice = small.members.unionByName(spark.createDataFrame([(1, 1, "cause", "again"), (2, 1, "cause", "u")], small.members.schema))
+    posts = small.posts.withColumn("score", F.when(F.col("id") != "q", F.col("score")))
+    many = Store(posts, small.relations, small.clusters, twice)
+    assert rows(E.leaf_edges(many)) == [(1, 3, 2, 1, 10.0, 1), (2, 3, 1, 1, 10.0, 0)]
+    moved = many.members.where("relation_id <> 3").unionByName(spark.createDataFrame([(2, 3, "cause", "u"), (3, 3, "effect", "v")], small.members.schema))
+    assert rows(E.leaf_edges(Store(posts, small.relations, small.clusters, moved)))[1] == (2, 3, 2, 2, 10.0, 0)
