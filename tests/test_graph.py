@@ -113,3 +113,20 @@ def test_leaf_edges_hold_rows_in_bounded_tasks(spark, small, rows):
     assert rows(E.leaf_edges(many)) == [(1, 3, 2, 1, 10.0, 1), (2, 3, 1, 1, 10.0, 0)]
     moved = many.members.where("relation_id <> 3").unionByName(spark.createDataFrame([(2, 3, "cause", "u"), (3, 3, "effect", "v")], small.members.schema))
     assert rows(E.leaf_edges(Store(posts, small.relations, small.clusters, moved)))[1] == (2, 3, 2, 2, 10.0, 0)
+
+
+def test_relations_of_a_page_are_filtered_before_anything_else(spark, small, rows):
+    """The ids of a page are constants below the grouping that makes the relations."""
+    made = small.relations.groupBy("post_id", "id", "cause_text", "effect_text", "cause_canonical", "effect_canonical").agg(F.max("relation_type").alias("relation_type"))
+    view = Store(small.posts, made, small.clusters, small.members)
+    page = V.edge_posts(view, 10, 11)
+    assert "post_id#" in (plan := page._jdf.queryExecution().optimizedPlan().toString()) and plan.index("Aggregate") < plan.index(" = p)")
+    assert rows(V.page_with_relations(view, small.posts.where("id <> 'q'"))) == rows(V.with_relations(view, small.posts.where("id <> 'q'")))
+    assert V.page_with_relations(view, small.posts.limit(0)).count() == 0
+    assert str(V.with_relations(view, small.posts)._jdf.queryExecution().optimizedPlan().toString()).count("relation_id#") and len(V.relations_of(view, small.posts).collect()) == 3
+
+
+def test_all_relations_of_posts_are_made_once(spark, small):
+    """Members are not filtered by relations that are made a second time for it."""
+    plan = V.relations_of(small, small.posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and plan.count("Distinct") == 0
