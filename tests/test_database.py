@@ -11,6 +11,7 @@ from causeway.operators import doubling
 from causeway.operators import edges as E
 from causeway.operators import maintenance, paths
 from causeway.operators import tree as R
+from causeway.sources import database
 from causeway.sources.database import Conflict, Database
 
 
@@ -227,3 +228,22 @@ def test_widest_paths_against_all_walks(spark, rows):
         assert rows(paths.widest(df, ids(sources), ids(targets), hops, least)) == want
     with pytest.raises(ValueError):
         paths.widest(df, ids(sources), ids(targets), 9)
+
+
+def test_a_first_load_compares_nothing_and_a_bucket_has_several_writers(spark, tmp_path, monkeypatch):
+    compared = []
+    signed = database._signed
+    monkeypatch.setattr(database, "_signed", lambda *a: compared.append(1) or signed(*a))
+    db = database.Database(spark, f"file://{tmp_path}/first")
+    rows = spark.range(1000).selectExpr("id", "id * 2 AS v")
+    with db.begin() as tx:
+        tx.create("t", rows.schema, ["id"], 2)
+        assert tx.merge("t", rows, rows.where("id < 0").select("id")) == {0, 1} and not compared
+    with db.begin() as tx:
+        assert tx.merge("t", rows.where("id < 10")) == set() and compared
+    with db.begin() as tx:
+        tx.merge("t", rows.where("id < 10").withColumn("v", -rows.id), rows.where("id = 999").select("id"), differs=True)
+    got = {r.id: r.v for r in db.read("t").collect()}
+    assert len(got) == 999 and got[7] == -7 and got[10] == 20
+    huge = spark.createDataFrame([(1, 5), (1, 5), (2, 6)], "id long, v long")
+    assert {r.id: r.s.n for r in database._signed(huge, ["id"], ["id", "v"], "s").collect()} == {1: 2, 2: 1}
