@@ -220,3 +220,21 @@ def test_runs_of_words_need_no_join(spark):
 def test_extraction_matches_a_title_once(spark):
     titles = spark.range(4).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("tea causes joy "), F.col("id").cast("string")).alias("title"))
     assert sum("regexp_extract" in line for line in _optimized(steps.extract(titles)).split("\n")) == 1
+
+
+def test_titles_are_filtered_by_the_tasks_they_are_dealt_to(spark):
+    """A filter of many patterns stays above the exchange, not in the few tasks that read the orders."""
+    from causeway import fixtures
+
+    plan = _optimized(steps.detect(fixtures.titles(spark, "/root/testdata/sf0.001")))
+    assert plan.index("RLIKE") < plan.index("RepartitionByExpression") and plan.count("RLIKE") == len([line for line in plan.split("\n") if "RLIKE" in line]) * 2
+
+
+def test_first_texts_need_no_sort_of_all_events(spark):
+    rows = [(1, "a", "b", "A", "B"), (2, "b", "a", "B2", "A2"), (3, None, "c", None, "C"), (4, "c", "c", "C1", "C2"), (0, "z", "z", "Z1", "Z0")]
+    relations = spark.createDataFrame(rows, "id long, cause_norm string, effect_norm string, cause_text string, effect_text string").withColumns({"cause_canonical": F.lit(""), "effect_canonical": F.lit("")})
+    unique = steps.unique_events(relations)
+    # only the relations that some norm was in first reach the sort
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and plan.rindex("SortAggregate") < plan.index("Join")
+    assert {tuple(r) for r in unique.collect()} == {("a", "A", 1), ("b", "B", 1), ("c", "C", 3), ("z", "Z1", 0), (None, None, 3)}
