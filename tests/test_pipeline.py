@@ -215,6 +215,19 @@ def test_sparse_weights_by_hand(spark):
     assert wide["b"] == [1.0, 0.0, 0.0, 0.0] and wide["c"] == [0.0] * 4
 
 
+def test_terms_by_text_are_not_shuffled(spark):
+    """Words are found once for a text, and what is left to do with the weights needs no exchange. Rows of one key are one text, null texts count."""
+    texts = spark.createDataFrame([("a", "tea cake"), ("a", "tea"), ("b", "tea"), ("c", None)], "norm string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(texts.select(sparse.terms(F.col("text")).alias("terms"))).count("regexp_extract_all(") == 1
+    made = sparse.weighted(texts, max_features=2)
+    assert not any(word in plan(made) for word in ("Join", "Aggregate", "Repartition"))
+    got = {(r.norm, r.term): r.w for r in made.collect()}
+    tea, cake = (1 + np.log(2)) * (np.log(5 / 3) + 1), np.log(5 / 2) + 1
+    assert got.keys() == {("a", "tea"), ("a", "cake"), ("b", "tea")} and np.isclose(got["a", "tea"] / got["a", "cake"], tea / cake) and np.isclose(got["b", "tea"], 1)
+    assert sparse.weighted(texts.limit(0)).count() == 0 and sparse.weighted(texts.where("text is null")).count() == 0
+
+
 def test_spherical_k_means_against_numpy(spark):
     r = np.random.default_rng(2)
     rows = []
