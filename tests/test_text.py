@@ -91,6 +91,22 @@ def test_sentences_always(spark, texts):
             at = start + len(sentence)
 
 
+def test_sentences_are_looked_for_in_their_own_pieces(spark):
+    """The whole text is used once; a sentence that stands earlier, in what was cut away, is found there; runs of sentences, and line ends between them, are joined."""
+    df = spark.createDataFrame([("",)], "text string")
+    plan = next(line for line in _optimized(df.select(X.sentences(F.col("text")).alias("s"))).split("\n") if "split(" in line)
+    assert len(re.findall(r"\btext#", plan)) == 1
+    odd = ['abc." "', 'abc." " " "', ". \n.\n. a\n\n\n.5 b", "end \n next .\n'", "\n\n"]
+    found = [[("abc", 0), ('"', 4)], [("abc", 0), ('" " "', 4)], [("a", 7), (".5 b", 11)], [("end ", 0), ("next ", 6), ("'", 13)], []]
+    assert [[tuple(s) for s in g] for g in one(spark, X.sentences, *[(t,) for t in odd])] == found
+    for n in (X.RUN - 1, X.RUN, X.RUN + 1, 3 * X.RUN, 1000):
+        for gap in ("\n", ". ", '." ', "!\n\n"):
+            text, mark = gap.join(f"S{i}" for i in range(n)), gap[0].strip(".\n")
+            [got] = one(spark, X.sentences, (text,))
+            assert [tuple(s) for s in got] == [(f"S{i}" + mark * (i < n - 1), text.index(f"S{i}{gap}" if i < n - 1 else f"S{i}")) for i in range(n)]
+    assert one(spark, X.sentences, (None,)) == [None]
+
+
 def test_folding_of_every_code_point(spark):
     """As the standard library folds it, alone and between letters."""
     codes = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x110000))]
