@@ -174,6 +174,27 @@ def test_density_of_all_texts(spark):
     assert all(parts.values()) and not any(parts[a] & parts[b] for a in parts for b in parts if a < b)
 
 
+@pytest.mark.parametrize("max_texts", [70, 30])
+def test_ward_links_all_texts(spark, max_texts):
+    """The hierarchy doesn't depend on how many texts are one matrix: none goes to a cluster that was made without it."""
+    r = np.random.default_rng(11)
+    points = {f"t{i:02}": r.normal((9 * (i % 5), 9 * (i % 3)), 2.0, size=2).tolist() for i in range(80)}
+    points["t77"] = points["t03"]
+    names = list(points)
+    relations = spark.createDataFrame([(k + 1, names[k], names[k + 1]) for k in range(0, 80, 2)], "id long, cause_norm string, effect_norm string")
+    for side in ("cause", "effect"):
+        relations = relations.withColumn(f"{side}_text", F.col(f"{side}_norm")).withColumn(f"{side}_canonical", F.col(f"{side}_norm"))
+    table = spark.createDataFrame(list(points.items()), "norm string, vector array<double>")
+    x, sizes = np.array(list(points.values())), [17, 9, 4]
+    wanted = hierarchy.cuts(linkage.ward(spark, x), 80, sizes)
+    clusters, members = hierarchy.infer_ward(relations, lambda df: df.select("norm").join(table, "norm"), tuple(sizes), max_texts)
+    up = {c.id: c.parent_id for c in clusters.collect()}
+    leaf = {m.event_text: m.cluster_id for m in members.collect()}
+    labels = [[leaf[t], up[leaf[t]], up[up[leaf[t]]]] for t in names]
+    ids = [sorted(set(c)) for c in zip(*labels, strict=True)]
+    assert [[ids[i].index(v) for i, v in enumerate(row)] for row in labels] == wanted.tolist()
+
+
 def test_linkage_holds_some_rows_at_a_time(spark, monkeypatch):
     """3,000 vectors: all their distances would be 72 MB; a task has 100 kB of them at once."""
     monkeypatch.setattr(linkage, "CELLS", 1 << 14)
