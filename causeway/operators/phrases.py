@@ -1,4 +1,8 @@
-"""Phrases around spans, over supplied tables of phrases and tokens: which phrase covers a span, and how far the tokens below a token reach."""
+"""Phrases around spans, over supplied tables of phrases and tokens: which phrase covers a span, and how far the tokens below a token reach.
+
+Each has two forms. Over tables, long documents are dealt to many tasks, and what belongs together meets by shuffles. The forms named _in take a row for each document, with arrays: nothing of
+them is shuffled or written, but all that a row has is looked at together, so they are for short texts.
+"""
 
 from __future__ import annotations
 
@@ -30,6 +34,17 @@ def enclosing(spans: DataFrame, phrases: DataFrame) -> DataFrame:
     return around.select(*columns, F.lit(True).alias("covers")).unionByName(inside.select(*columns, F.lit(False).alias("covers")))
 
 
+def enclosing_in(rows: DataFrame) -> DataFrame:
+    """enclosing() of rows (doc, spans, phrases), one for each document: arrays of (start, end)."""
+    # generators, so that arrays are made once
+    once = rows.where("doc is not null").select("doc", F.explode(F.array(F.struct(F.array_distinct("spans").alias("s"), F.array_distinct("phrases").alias("p")))).alias("a"))
+    pairs = once.select("doc", F.explode("a.s").alias("s"), F.col("a.p").alias("ps")).select("doc", "s.start", "s.end", F.explode("ps").alias("p"))
+    pairs = pairs.select("doc", "start", "end", F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"))
+    covers = (F.col("p_start") <= F.col("start")) & (F.col("end") <= F.col("p_end"))
+    inside = (F.col("p_end") == F.col("end")) & (F.col("p_start") > F.col("start"))
+    return pairs.where(covers | inside).withColumn("covers", F.col("p_start") <= F.col("start"))
+
+
 def smallest_phrase(spans: DataFrame, phrases: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, start, end, p_start, p_end) for the spans that a phrase stands for.
 

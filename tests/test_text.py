@@ -254,3 +254,28 @@ def test_first_texts_need_no_sort_of_all_events(spark):
     plan = unique._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" in plan and plan.rindex("SortAggregate") < plan.index("Join")
     assert {tuple(r) for r in unique.collect()} == {("a", "A", 1), ("b", "B", 1), ("c", "C", 3), ("z", "Z1", 0), (None, None, 3)}
+
+
+def _odd_titles(spark):
+    """Short and long titles, one of no text, one that comes twice and two of one document."""
+    texts = ["tea causes joy and rest", "", " ", "a  b", None, "one", "red steel leads to more demand in all of the nine towns of the north", "tea causes joy and rest today"]
+    return spark.createDataFrame([(str(i % 7), t) for i, t in enumerate(texts)] + [("6", texts[6]), ("8", "x " * 200)], "id string, title string")
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_enclosing_shuffles_no_short_text(spark, monkeypatch, odd):
+    from causeway import fixtures
+    from causeway.operators import phrases
+
+    if odd:
+        monkeypatch.setattr(fixtures, "titles", lambda spark, _: _odd_titles(spark))
+    _, _, some, spans = fixtures.parsed(spark, "/root/testdata/sf0.001")
+    rows, (_, _, more, others) = fixtures.parsed_texts(spark, "/root/testdata/sf0.001", 9)
+    found = phrases.enclosing_in(rows)
+    sorted_rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    both = sorted_rows(found.unionByName(phrases.enclosing(others, more)))
+    assert both == sorted_rows(phrases.enclosing(spans, some)) and rows.count() and others.count()
+    if not odd:
+        titles = fixtures.titles(spark, "/root/testdata/sf0.001")
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert exchanges(found) == exchanges(titles)
