@@ -64,6 +64,20 @@ def smallest_phrase(spans: DataFrame, phrases: DataFrame, tokens: DataFrame, tex
     return best.unionByName(hung.select(*span, "p_start", "p_end").distinct())
 
 
+def smallest_phrase_in(rows: DataFrame) -> DataFrame:
+    """smallest_phrase() of rows (doc, text, tokens, phrases, spans), one for each document: arrays of (start, end), of tokens (start, text, head) by their place."""
+    once = rows.where("doc is not null").select("doc", F.explode(F.array(F.struct("text", "tokens", F.array_distinct("spans").alias("s"), F.array_distinct("phrases").alias("p")))).alias("a"))
+    each = once.select("doc", F.col("a.text").alias("text"), F.col("a.tokens").alias("tokens"), F.col("a.p").alias("ps"), F.explode("a.s").alias("s")).select("doc", "s.start", "s.end", "text", "tokens", "ps")
+    around = F.filter("ps", lambda p: (p["start"] <= F.col("start")) & (F.col("end") <= p["end"]))
+    best = F.array_min(F.transform(around, lambda p: F.struct((p["end"] - p["start"]).alias("n"), p["start"].alias("start"), p["end"].alias("end"))))
+    part = F.array_min(F.filter("ps", lambda p: (p["end"] == F.col("end")) & (p["start"] > F.col("start"))))
+    found = each.select("doc", "start", "end", "text", "tokens", F.explode(F.array(F.struct(best.alias("best"), part.alias("part")))).alias("f"))
+    before = F.rtrim(F.substring("text", F.col("start") + 1, F.col("f.part.start") - F.col("start")))
+    hung = F.exists("tokens", lambda t: (t["start"] >= F.col("f.part.start")) & (t["start"] < F.col("f.part.end")) & (F.get("tokens", t["head"])["text"] == before))
+    kept = found.where(F.col("f.best").isNotNull() | (F.col("f.part").isNotNull() & hung))
+    return kept.select("doc", "start", "end", F.coalesce("f.best.start", "f.part.start").alias("p_start"), F.coalesce("f.best.end", "f.part.end").alias("p_end"))
+
+
 def reach(tokens: DataFrame) -> DataFrame:
     """(doc, i, last): the greatest index among a token and all that depend on it, directly or not. tokens: (doc, i, head); a root's head is itself or null.
 

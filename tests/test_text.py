@@ -279,3 +279,22 @@ def test_enclosing_shuffles_no_short_text(spark, monkeypatch, odd):
         titles = fixtures.titles(spark, "/root/testdata/sf0.001")
         exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
         assert exchanges(found) == exchanges(titles)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_smallest_phrase_shuffles_no_short_text(spark, monkeypatch, odd):
+    from causeway import fixtures
+    from causeway.operators import phrases
+
+    if odd:
+        monkeypatch.setattr(fixtures, "titles", lambda spark, _: _odd_titles(spark))
+    texts, tokens, some, spans = fixtures.parsed(spark, "/root/testdata/sf0.001")
+    rows, (long, words, more, others) = fixtures.parsed_texts(spark, "/root/testdata/sf0.001", 9)
+    found = phrases.smallest_phrase_in(rows)
+    sorted_rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    both = sorted_rows(found.unionByName(phrases.smallest_phrase(others, more, words, long)))
+    assert both == sorted_rows(phrases.smallest_phrase(spans, some, tokens, texts)) and found.count()
+    if not odd:
+        titles = fixtures.titles(spark, "/root/testdata/sf0.001")
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert exchanges(found) == exchanges(titles)
