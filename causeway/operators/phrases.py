@@ -6,9 +6,14 @@ them is shuffled or written, but all that a row has is looked at together, so th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import workers
 from . import doubling
 
 #: Characters in a bin of positions.
@@ -86,3 +91,35 @@ def reach(tokens: DataFrame) -> DataFrame:
     node = lambda c: F.when(F.col(c).isNotNull(), F.struct("doc", F.col(c).alias("i")))
     rows = tokens.select(F.struct("doc", "i").alias("node"), node("head").alias("up"), F.col("i").alias("last"))
     return doubling.accumulated(doubling.forest(rows, "node", "up", "last"), "last", "max").select("node.doc", "node.i", "last")
+
+
+def _reached(heads: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, last) of the tokens of all rows: reach() of each row's heads. Steps up double, for all rows together; the greatest index may count twice, so cycles need no care."""
+    sizes = np.diff(heads.offsets.to_numpy())
+    row, begin = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i, here = np.arange(len(row)) - begin, np.arange(len(row))
+    head = heads.flatten().fill_null(-1).to_numpy()
+    up, last = np.where((head >= 0) & (head < sizes[row]), head + begin, here), i.copy()
+    step, longest = 1, int(sizes.max(initial=0))
+    while step < longest:
+        new = last.copy()
+        np.maximum.at(new, up, last)
+        last, further, step = new, up[up], step * 2
+        if (further == up).all():  # everything has met its root, a step of its own away at most
+            np.maximum.at(last, up, last.copy())
+            break
+        up = further
+    return row, i, last
+
+
+def reach_in(rows: DataFrame) -> DataFrame:
+    """reach() of rows (doc, heads), one for each document: the head of each token by its place i."""
+    workers.ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, i, last = _reached(b.column("heads"))
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(i, pa.int32()), pa.array(last, pa.int32())], names=["doc", "i", "last"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.select("doc", F.col("heads").cast("array<int>").alias("heads")).where("size(heads) > 0").mapInArrow(run, f"doc {kind}, i int, last int")

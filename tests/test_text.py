@@ -298,3 +298,18 @@ def test_smallest_phrase_shuffles_no_short_text(spark, monkeypatch, odd):
         titles = fixtures.titles(spark, "/root/testdata/sf0.001")
         exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
         assert exchanges(found) == exchanges(titles)
+
+
+def test_reach_in_rows(spark):
+    """Trees, a long chain, cycles, heads that are null or don't exist: as over tables, without a shuffle."""
+    from causeway.operators import phrases
+
+    r = random.Random(3)
+    docs = [("chain", [0, *range(300)]), ("down", [*range(1, 300), 299]), ("ring", [1, 2, 0, 1, 3]), ("self", [0]), ("odd", [None, 7, -1, 0, 3]), ("none", []), (None, [0, 0])]
+    docs += [(f"d{k}", [r.randrange(12) for _ in range(12)]) for k in range(40)]
+    rows = spark.createDataFrame(docs, "doc string, heads array<int>")
+    tokens = rows.select("doc", F.posexplode("heads").alias("i", "head"))
+    found = phrases.reach_in(rows)
+    assert found.dtypes == phrases.reach(tokens).dtypes
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, phrases.reach(tokens).collect()), key=repr)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
