@@ -127,6 +127,22 @@ def test_one_file_for_one_writer(spark, db):
     assert list(db.files.names(f"{db.root}/_commits")) == ["000000000009.json"]
 
 
+def test_batches_look_for_what_they_touch_once(spark, db, rows, monkeypatch):
+    """A first load looks for nothing; a later batch goes through the whole members once to find those it touches and once to write their buckets."""
+    live, made, reads = maintenance.LiveEdges(db, 1), [], []
+    settled, table = maintenance.settled, Database._rows
+    monkeypatch.setattr(maintenance, "settled", lambda df, name: made.append(name) or settled(df, name))
+    monkeypatch.setattr(Database, "_rows", lambda self, state, name, *more: reads.append(name) or table(self, state, name, *more))
+    posts, relations, members = spark.createDataFrame([("p", 4), ("q", 2)], "id string, score bigint"), "id bigint, post_id string, relation_type string", "relation_id bigint, cluster_id bigint, role string"
+    ends = lambda *some: spark.createDataFrame([r for i, a, b in some for r in ((i, a, "cause"), (i, b, "effect"))], members)
+    live.apply(posts, spark.createDataFrame([(1, "p", "causal"), (2, "q", "causal")], relations), ends((1, 5, 6), (2, 5, 6)))
+    assert not {"touched", "was", "before"} & set(made)
+    reads.clear()
+    live.apply(relations=spark.createDataFrame([(2, "p", "countercausal"), (3, "q", "causal"), (None, "q", "causal")], relations), members=ends((3, 7, 6)), gone=spark.createDataFrame([(1,)], "id bigint"))
+    assert reads.count("members") == 2 and reads.count("relations") == 2
+    assert rows(live.leaf_edges()) == [(5, 6, 1, 1, 4.0, 1), (7, 6, 1, 1, 2.0, 0)]
+
+
 def test_edges_follow_changes(spark, db, rows):
     """Random batches of changes: after each, the edges equal those of the whole tables."""
     r, live = random.Random(4), maintenance.LiveEdges(db, 8)
